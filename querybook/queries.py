@@ -14,6 +14,7 @@ from sessionlens.functions.columns import round6, stable_hash
 from sessionlens.operators import candidates as G
 from sessionlens.operators import features as X
 from sessionlens.operators import metrics as M
+from sessionlens.operators import models
 from sessionlens.operators import sampling as S
 from sessionlens.operators.covisit import covisit, session_tail
 from sessionlens.operators.distance import session_item_distance
@@ -23,7 +24,9 @@ from sessionlens.operators.submission import fold_ensemble, submission
 from sessionlens.operators.timeline import with_positions
 from sessionlens.plans import feature_table as FT
 from sessionlens.plans import generators as P
+from sessionlens.plans import ranking as R
 from sessionlens.sources import tables
+from sessionlens.sources.sinks import staged
 from sessionlens.sources.testbed import BASKET_WINDOW_MS, Testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,3 +500,69 @@ def submission_rows(t: Testbed) -> DataFrame:
 QUERIES["submission"] = QUERIES.pop("submission_rows")
 
 
+
+
+# ---- models (no SQL can say what they return) ------------------------------------------------
+
+
+def _voted(t: Testbed, vectors: DataFrame) -> DataFrame:
+    return G.suggest_clicks(t.test(), P.vector_neighbours(t.test(), vectors))
+
+
+@query
+def w2v_candidates(t: Testbed) -> DataFrame:
+    return _voted(t, models.word2vec_vectors(t.train()))
+
+
+@query
+def mf_candidates(t: Testbed) -> DataFrame:
+    return G.last_item_candidates(t.test(), P.vector_neighbours(t.test(), models.next_item_factors(t.train())))
+
+
+@query
+def als_embeddings(t: Testbed) -> DataFrame:
+    _, items = models.interaction_factors(S.interaction_matrix(t.train()))
+    return items
+
+
+@query
+def features_with_session_emb(t: Testbed) -> DataFrame:
+    sessions, _ = models.interaction_factors(S.interaction_matrix(t.train()), rank=10)
+    return models.with_session_embeddings(session_item_stats(t), sessions, 10)
+
+
+def _training_tables(t: Testbed, types=TYPES) -> dict[str, DataFrame]:
+    features = staged(candidate_features(t))
+    return {type_: S.training_set(features, t.labels(), type_) for type_ in types}
+
+
+def _held_out(t: Testbed, make: Callable[[], object]) -> DataFrame:
+    """Scores of the held-out rows of the first fold of the carts ranker."""
+    rows = S.labeled_candidates(_training_tables(t, ("carts",))["carts"], t.labels(), "carts")
+    names = R.feature_names(rows)
+    rows = R.prepared(rows.withColumn("gt", F.col("gt").cast("double")), names)
+    _, scored = R.fit_folds(rows, make, single=True)[0]
+    return scored
+
+
+@query
+def rank_gbt_reg(t: Testbed) -> DataFrame:
+    return _held_out(t, lambda: models.BoostedRanker(rounds=10, depth=4))
+
+
+@query
+def rank_gbt_clf(t: Testbed) -> DataFrame:
+    return _held_out(t, lambda: models.BoostedRanker(binary=True, rounds=10, depth=4))
+
+
+@query
+def rank_pairwise(t: Testbed) -> DataFrame:
+    return _held_out(t, models.PairwiseRanker)
+
+
+@query
+def cv_recall(t: Testbed) -> DataFrame:
+    training = _training_tables(t)
+    names = R.feature_names(training["clicks"])
+    _, recalls = R.cross_validate(training, t.labels(), models.PairwiseRanker, names)
+    return recalls

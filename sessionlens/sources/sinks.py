@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows read back from reliable storage, with the lineage cut."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the checkpoint folder.
+
+    For results several later steps read: they prune columns and push filters, no step repeats the
+    work behind it, and a lost executor costs a re-read. Deleting old tables is up to the cluster.
+    """
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
