@@ -174,7 +174,7 @@ def _sources(t: Testbed) -> list[DataFrame]:
 
 @query
 def candidate_union(t: Testbed) -> DataFrame:
-    return FT.candidate_union(t.test(), _sources(t))
+    return FT.candidate_union(FT.Stats(t.test()), _sources(t))
 
 
 # ---- features ------------------------------------------------------------------------------
@@ -238,12 +238,13 @@ def session_item_stats(t: Testbed) -> DataFrame:
 
 @query
 def candidate_features(t: Testbed) -> DataFrame:
-    return FT.candidate_features(t.test(), _sources(t))
+    return FT.candidate_features(FT.Stats(t.test()), _sources(t))
 
 
 @query
 def features_with_scores(t: Testbed) -> DataFrame:
-    union = candidate_union(t).select("session", "aid", *[X.slot_column(s) for s in DEFAULTS.slots])
+    slots = [X.slot_column(s) for s in DEFAULTS.slots]
+    union = staged(candidate_union(t).select("session", "aid", *slots))
     scores = session_item_distance(union, t.test(), t.vectors())
     return union.join(scores, ["session", "aid"], "left")
 
@@ -325,7 +326,7 @@ def zip_explode(t: Testbed) -> DataFrame:
 
 
 def _candidates(t: Testbed) -> DataFrame:
-    return candidate_union(t).select("session", "aid")
+    return staged(FT.candidate_keys(FT.Stats(t.test()), _sources(t)))
 
 
 @query
@@ -355,7 +356,7 @@ def negative_sample(t: Testbed) -> DataFrame:
 
 
 def _training_set(type_: str) -> Callable[[Testbed], DataFrame]:
-    return lambda t: S.training_set(candidate_features(t), t.labels(), type_)
+    return lambda t: S.training_set(staged(candidate_features(t)), t.labels(), type_)
 
 
 for _type in TYPES:

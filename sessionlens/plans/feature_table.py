@@ -2,50 +2,64 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 
 from sessionlens.config import DEFAULTS, Settings
 from sessionlens.operators import features as X
 from sessionlens.operators.candidates import popular_candidates, popular_items
+from sessionlens.sources.sinks import staged
 
 
-@dataclass(frozen=True)
 class Stats:
-    """Lazily built aggregates of one event log that share a base."""
+    """Aggregates of one event log.
 
-    events: DataFrame
-    settings: Settings = DEFAULTS
+    The event scan behind them runs once: the per-day base and the item table, which several
+    results read, are staged in shared storage when first asked for.
+    """
 
-    @property
+    def __init__(self, events: DataFrame, settings: Settings = DEFAULTS):
+        self.events = events
+        self.settings = settings
+
+    @cached_property
     def base(self) -> DataFrame:
-        return X.item_days(self.events, self.settings)
+        return staged(X.item_days(self.events, self.settings))
 
-    @property
+    @cached_property
     def totals(self) -> DataFrame:
         return X.session_item_totals(self.base, self.settings)
 
-    @property
+    @cached_property
     def sessions(self) -> DataFrame:
         return X.session_stats(self.totals, self.settings)
 
-    @property
+    @cached_property
     def items(self) -> DataFrame:
-        return X.item_stats(self.base, self.totals, self.settings)
+        return staged(X.item_stats(self.base, self.totals, self.settings))
 
-    @property
+    @cached_property
     def popular(self) -> DataFrame:
-        return popular_candidates(self.events, popular_items(self.items, self.settings))
+        return popular_candidates(self.base, popular_items(self.items, self.settings))
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return X.session_item_stats(self.events, self.settings)
+
+
+def candidate_keys(stats: Stats, sources: list[DataFrame]) -> DataFrame:
+    """(session, aid) of every candidate: ranked, popular or already in the history."""
+    rows = [*sources, stats.popular, stats.base]
+    return reduce(DataFrame.unionByName, [r.select("session", "aid") for r in rows]).distinct()
 
 
-def candidate_union(events: DataFrame, sources: list[DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
-    merged = X.merge_candidates(sources, Stats(events, settings).popular, settings)
-    return X.candidate_union(X.session_item_stats(events, settings), merged)
+def candidate_union(stats: Stats, sources: list[DataFrame]) -> DataFrame:
+    merged = X.merge_candidates(sources, stats.popular, stats.settings)
+    return X.candidate_union(stats.history, merged)
 
 
-def candidate_features(events: DataFrame, sources: list[DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
+def candidate_features(stats: Stats, sources: list[DataFrame]) -> DataFrame:
     """126 columns keyed by (session, aid): candidates of all sources, popular items and history."""
-    stats = Stats(events, settings)
-    union = candidate_union(events, sources, settings)
-    return X.candidate_features(union, stats.sessions, stats.items, settings)
+    union = candidate_union(stats, sources)
+    return X.candidate_features(union, stats.sessions, stats.items, stats.settings)
