@@ -385,10 +385,11 @@ from typed, (select unnest(range(5)) as fold)
 CTE["mean_scores"] = """
 select session, aid, type, round(avg(score), 6) as score from fold_scores group by 1, 2, 3
 """
-CTE["wrong"] = f"""
+CTE["hashed"] = f"select *, {_hash('session', 'pos')} as h from moves"
+CTE["wrong"] = """
 select *, coalesce(lead(aid_next) over w, first_value(aid_next) over w) as aid_wrong
-from (select *, {_hash('session', 'pos')} as h from moves)
-window w as (partition by h % 16 order by h, session, pos)
+from (select *, (select count(*) from hashed b where b.h < a.h) // 500 as batch from hashed a)
+window w as (partition by batch order by h, session, pos)
 """
 
 FINAL: dict[str, str] = {
@@ -473,7 +474,7 @@ select session, aid, ts, type from train where session in (
 select session, count(*) as session_length, (((session % 1000003) * 7919) % 1000003) % 5 as fold from test group by 1""",
     "next_item_pairs": "select * from moves",
     "next_item_pairs_baskets": """
-select aid, aid_next, count(*) as n from (
+select aid, aid_next, count(*) as moves from (
   select aid, lead(aid) over (partition by session order by ts, aid, type) as aid_next from baskets)
 where aid_next is not null group by 1, 2""",
     "pair_holdout": f"""

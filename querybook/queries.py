@@ -293,13 +293,13 @@ def pair_score(t: Testbed) -> DataFrame:
 
 @query
 def pair_negatives(t: Testbed) -> DataFrame:
-    return S.pair_negatives(G.next_item_pairs(t.train())).drop("ts")
+    return S.pair_negatives(G.next_item_pairs(t.train()), batch_size=500).drop("ts")
 
 
 @query
 def pair_accuracy(t: Testbed) -> DataFrame:
     """Share of true next items scored above one half and of wrong ones scored below."""
-    pairs = S.pair_negatives(G.next_item_pairs(t.train()))
+    pairs = S.pair_negatives(G.next_item_pairs(t.train()), batch_size=500)
     right = _scored_pairs(t, "aid", "aid_next", pairs).select("n", (V.sigmoid(F.col("score")) > 0.5).alias("ok"))
     wrong = _scored_pairs(t, "aid", "aid_wrong", pairs).select("n", (V.sigmoid(F.col("score")) < 0.5).alias("ok"))
     both = right.unionByName(wrong)
@@ -392,8 +392,7 @@ def next_item_pairs(t: Testbed) -> DataFrame:
 
 @query
 def next_item_pairs_baskets(t: Testbed) -> DataFrame:
-    pairs = G.next_item_pairs(t.baskets())
-    return pairs.groupBy("aid", "aid_next").agg(F.count(F.lit(1)).alias("n"))
+    return G.move_counts(t.baskets())
 
 
 @query

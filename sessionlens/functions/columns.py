@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,15 +60,28 @@ def positive_gap(start: Column, end: Column) -> Column:
     return F.when(end - start > 0, end - start)
 
 
+def _recency_step(length: Column) -> Column:
+    return F.lit(0.9).cast("double") / F.nullif(length - 1, F.lit(0)).cast("double")
+
+
 def log_recency(pos_from_end: Column, length: Column) -> Column:
     """1 for the newest event, falling to 2^0.1 - 1 for the oldest."""
-    step = F.lit(0.9).cast("double") / F.nullif(length - 1, F.lit(0)).cast("double")
-    power = F.lit(0.1).cast("double") + step * (length - pos_from_end - 1)
+    power = F.lit(0.1).cast("double") + _recency_step(length) * (length - pos_from_end - 1)
     return F.when(length == 1, F.lit(1.0).cast("double")).otherwise(
         F.pow(F.lit(2.0).cast("double"), power) - 1
     )
 
 
+def log_recency_sum(oldest: Column, n: Column, length: Column) -> Column:
+    """Sum of the scores of ``n`` neighbouring events, from the score of the oldest of them.
+
+    score + 1 grows by a constant factor from event to event: a geometric series.
+    """
+    growth = _recency_step(length) * F.lit(math.log(2.0))
+    series = (oldest + 1) * F.expm1(growth * n) / F.expm1(growth) - n
+    return F.when(n == 1, oldest).otherwise(series)
+
+
 def weighted_recency(type_col: Column, recency: Column) -> Column:
     return type_weight(type_col, RECENCY_TYPE_WEIGHT) * recency
 

@@ -11,7 +11,7 @@ from sessionlens.config import DEFAULTS, TYPES
 from sessionlens.functions.columns import round6
 from sessionlens.functions.lists import ordered_list
 from sessionlens.operators.ranking import top_n
-from sessionlens.operators.timeline import with_positions
+from sessionlens.operators.timeline import event_runs, numbered, with_positions
 
 BOUGHT = ("carts", "orders")
 
@@ -25,10 +25,9 @@ def session_items(events: DataFrame) -> DataFrame:
 
 def recent_unique_items(events: DataFrame) -> DataFrame:
     """Items of a session, newest last occurrence first, numbered from 1."""
-    items = session_items(events).select("session", "aid", F.col("last_ts").alias("ts"))
-    return with_positions(items).select(
-        "session", "aid", F.col("ts").alias("last_ts"), (F.col("pos_from_end") + 1).alias("position")
-    )
+    items = session_items(events).select("session", "aid", "last_ts")
+    position = (F.col("pos_from_end") + 1).alias("position")
+    return numbered(items, "last_ts").select("session", "aid", "last_ts", position)
 
 
 def _votes(items: DataFrame, neighbours: DataFrame, source: int = 0) -> DataFrame:
@@ -89,14 +88,25 @@ def last_item_candidates(
 
 
 def next_item_pairs(events: DataFrame) -> DataFrame:
-    """Consecutive items of a session (session, ts, aid, aid_next)."""
+    """Consecutive items of a session (session, ts, pos, aid, aid_next)."""
     moves = with_positions(events).filter(F.col("next_aid").isNotNull())
     return moves.select("session", "ts", "pos", "aid", F.col("next_aid").alias("aid_next"))
 
 
+def move_counts(events: DataFrame) -> DataFrame:
+    """How often an item directly follows another (aid, aid_next, moves). Copies of an event follow
+    each other, which adds n - 1 moves from the item to itself without unfolding them."""
+    runs = event_runs(events).select("aid", "next_aid", "n")
+    repeats = F.struct(F.col("aid").alias("aid_next"), (F.col("n") - 1).alias("moves"))
+    onward = F.struct(F.col("next_aid").alias("aid_next"), F.lit(1).cast("long").alias("moves"))
+    steps = runs.select("aid", F.inline(F.array(repeats, onward)))
+    steps = steps.filter((F.col("moves") > 0) & F.col("aid_next").isNotNull())
+    return steps.groupBy("aid", "aid_next").agg(F.sum("moves").alias("moves"))
+
+
 def transitions(events: DataFrame, top: int = DEFAULTS.candidates) -> DataFrame:
     """Next-item model: the ``top`` likeliest successors of each item (aid, aid_next, p)."""
-    moves = next_item_pairs(events).groupBy("aid", "aid_next").agg(F.count(F.lit(1)).alias("moves"))
+    moves = move_counts(events)
     totals = moves.groupBy("aid").agg(F.sum("moves").alias("total"))
     best = top_n(moves, ["aid"], [F.desc("moves"), F.asc("aid_next")], top, out="n")
     return best.join(totals, "aid").select("aid", "aid_next", (F.col("moves") / F.col("total")).alias("p"))

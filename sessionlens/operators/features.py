@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionlens.config import DEFAULTS, TYPES, UNRANKED, Settings
+from sessionlens.config import DEFAULTS, RECENCY_TYPE_WEIGHT, TYPES, UNRANKED, Settings
 from sessionlens.functions import columns as C
 from sessionlens.operators.ranking import competition_ranks
-from sessionlens.operators.timeline import with_positions
+from sessionlens.operators.timeline import event_runs, with_positions
 
 RECENCY = (
     "action_num_reverse_chrono",
@@ -200,22 +200,43 @@ def session_recency(events: DataFrame) -> DataFrame:
 
 
 def session_item_stats(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Recency and counts (total and by day) of each item of a session."""
+    """Recency and counts (total and by day) of each item of a session.
+
+    Works on folded copies: a run of n copies takes n neighbouring places, so its smallest, largest
+    and summed measures follow from its ends.
+    """
     dt = C.local_day(F.col("ts"), settings.day_offset_hours)
-    rows = session_recency(events).withColumn("dt", dt)
-    rows = rows.join(F.broadcast(day_numbers(events, settings)), "dt")  # one row per calendar day
-    recency = [
-        (C.round6(how(m)) if name == "avg" or m.endswith("_score") else how(m)).alias(f"{name}_{m}")
-        for m in RECENCY
-        for name, how in STATS
-    ]
-    counts = [C.count_when(_is(t)).alias(f"session_aid_{t}_cnt") for t in TYPES]
+    runs = event_runs(events).withColumn("dt", dt)
+    runs = runs.join(F.broadcast(day_numbers(events, settings)), "dt")  # one row per calendar day
+    n, length = F.col("n"), F.col("length")
+    back_first = length - F.col("pos") - 1
+    back_last = back_first - (n - 1)
+    since, left = F.col("ts") - F.col("start_ts"), F.col("end_ts") - F.col("ts")
+    low, high = C.log_recency(back_first, length), C.log_recency(back_last, length)
+    summed = C.log_recency_sum(low, n, length)
+    typed = C.type_weight(F.col("type"), RECENCY_TYPE_WEIGHT)
+    measures = {  # smallest, largest and sum over the copies of a run
+        "action_num_reverse_chrono": (back_last, back_first, n * (back_first + back_last) / 2),
+        "sec_since_session_start": (since, since, n * since),
+        "sec_to_session_end": (left, left, n * left),
+        "log_recency_score": (low, high, summed),
+        "type_weighted_log_recency_score": (typed * low, typed * high, typed * summed),
+    }
+    recency = []
+    for name, (smallest, largest, total) in measures.items():
+        tidy = C.round6 if name.endswith("_score") else (lambda c: c)
+        recency += [
+            C.round6(F.sum(total) / F.sum(n)).alias(f"avg_{name}"),
+            tidy(F.min(smallest)).alias(f"min_{name}"),
+            tidy(F.max(largest)).alias(f"max_{name}"),
+        ]
+    counts = [_total(F.when(_is(t), n).otherwise(0)).alias(f"session_aid_{t}_cnt") for t in TYPES]
     by_day = [
-        C.count_when(_is(t) & (F.col("num") == d)).alias(f"session_aid_{t}_cnt_day{d}")
+        _total(F.when(_is(t) & (F.col("num") == d), n).otherwise(0)).alias(f"session_aid_{t}_cnt_day{d}")
         for t in TYPES
         for d in _days(settings)
     ]
-    return rows.groupBy("session", "aid").agg(*recency, *counts, *by_day)
+    return runs.groupBy("session", "aid").agg(*recency, *counts, *by_day)
 
 
 def slot_column(slot: str) -> str:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from sessionlens.config import DEFAULTS, UNRANKED
 from sessionlens.functions.columns import stable_hash
 from sessionlens.functions.lists import ordered_list
-from sessionlens.operators.candidates import next_item_pairs
+from sessionlens.operators.candidates import move_counts
 from sessionlens.operators.ranking import dense_index
-from sessionlens.operators.timeline import with_positions
+from sessionlens.operators.timeline import numbered, with_positions
 
 VECTOR = "vector"
 
@@ -86,8 +86,7 @@ def interaction_factors(
 
 def next_item_factors(events: DataFrame, rank: int = 32, epochs: int = 10, seed: int = 42) -> DataFrame:
     """Item vectors (aid, vector) from how often one item follows another."""
-    moves = next_item_pairs(events).groupBy("aid", "aid_next").agg(F.count(F.lit(1)).alias("n"))
-    by_item, _ = _factors(moves, "aid", "aid_next", "n", rank, epochs, seed)
+    by_item, _ = _factors(move_counts(events), "aid", "aid_next", "moves", rank, epochs, seed)
     return by_item
 
 
@@ -138,8 +137,8 @@ class PairwiseRanker:
     def pairs(rows: DataFrame) -> DataFrame:
         positives = rows.filter(F.col("gt") == 1)
         counts = positives.groupBy("session").agg(F.count(F.lit(1)).alias("_p"))
-        by_id = positives.select("session", "aid", F.col("aid").alias("ts"), F.col("features").alias("_pos"))
-        positives = with_positions(by_id).select("session", F.col("pos").alias("_at"), "_pos")
+        by_id = numbered(positives.select("session", "aid", F.col("features").alias("_pos")), "aid", slice_width=1000)
+        positives = by_id.select("session", F.col("pos").alias("_at"), "_pos")
         negatives = rows.filter(F.col("gt") == 0).join(counts, "session")
         h = stable_hash(F.col("session"), F.col("aid"), seed=17)
         at = F.pmod(h, F.col("_p")).alias("_at")

@@ -98,6 +98,22 @@ def smallest(
     return whole.unionByName(cut).drop("_slot", "_n", "_limit", "_room")
 
 
+def hash_batches(df: DataFrame, slot: Column, size: int, out: str = "batch") -> DataFrame:
+    """Rows in batches of about ``size`` by ``slot``, an integer in [0, HASH_SPACE).
+
+    Batches are cut on the ordered histogram of slots, so their number follows the data; a batch
+    holds whole slots and overshoots ``size`` by less than one slot.
+    """
+    ahead = W.partitionBy().orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    slotted = df.withColumn("_slot", slot)
+    cuts = (
+        slotted.groupBy("_slot")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_slot", F.floor(F.coalesce(F.sum("_n").over(ahead), F.lit(0)) / F.lit(size)).alias(out))
+    )
+    return slotted.join(cuts, "_slot").drop("_slot")
+
+
 def dense_index(ids: DataFrame, column: str, out: str = "idx", width: int = 1 << 16, start: int = 0) -> DataFrame:
     """Distinct ids numbered start, start+1, ... in id order.
 
@@ -119,4 +135,4 @@ def dense_index(ids: DataFrame, column: str, out: str = "idx", width: int = 1 <<
     )
 
 
-__all__ = ["HASH_SPACE", "competition_ranks", "dense_index", "smallest", "top_n", "top_n_by"]
+__all__ = ["HASH_SPACE", "competition_ranks", "dense_index", "hash_batches", "smallest", "top_n", "top_n_by"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sessionlens.config import DEFAULTS, TYPES
 from sessionlens.functions.columns import count_when, stable_hash
 from sessionlens.operators.candidates import next_item_pairs
-from sessionlens.operators.ranking import smallest, top_n_by
+from sessionlens.operators.ranking import hash_batches, smallest, top_n_by
 from sessionlens.operators.timeline import with_positions
 from sessionlens.sources.sinks import checkpointed, use_checkpoints
 
@@ -110,23 +110,17 @@ def pair_holdout(events: DataFrame, n: int) -> DataFrame:
     return marked.withColumn("valid", F.coalesce("valid", F.lit(0)).cast("long"))
 
 
-def pair_negatives(pairs: DataFrame, batches: int = 16, seed: int = 0) -> DataFrame:
+def pair_negatives(pairs: DataFrame, batch_size: int = 65_536, seed: int = 0) -> DataFrame:
     """Every pair with a wrong successor: the one of the next pair of its random batch (cyclic).
 
-    A batch should fit a task; ``batches`` is the number of pairs over the batch size wanted. Batches
-    are drawn on the place of a pair, not on its items, so frequent pairs spread over all of them.
+    Batches are drawn on the place of a pair, not on its items, so frequent pairs spread over all of
+    them and no batch grows with the data.
     """
     h = stable_hash(F.col("session"), F.col("pos"), seed=seed)
-    order = [F.col("_h"), F.col("session"), F.col("pos")]
-    batch = W.partitionBy("_batch").orderBy(*order)
+    batch = W.partitionBy("batch").orderBy(h, F.col("session"), F.col("pos"))
     whole = batch.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     wrong = F.coalesce(F.lead("aid_next").over(batch), F.first("aid_next").over(whole))
-    return (
-        pairs.withColumn("_h", h)
-        .withColumn("_batch", F.pmod(F.col("_h"), F.lit(batches)))
-        .withColumn("aid_wrong", wrong)
-        .drop("_h", "_batch")
-    )
+    return hash_batches(pairs, h, batch_size).withColumn("aid_wrong", wrong).drop("batch")
 
 
 def kcore_round(events: DataFrame, min_session: int = 5, min_item: int = 5) -> DataFrame:

@@ -4,52 +4,90 @@ The canonical order of a session is (ts, aid, type); "most recent first" is its
 A window over a whole session would put a bot's session in one task. Here rows are ordered inside
 (session, time slice) groups, and a summary with one row per slice carries counts, bounds and the
 next item across slices. The summary of a session has at most one row per time slice.
+
+Copies of an event are folded into one row with a count before anything is ordered, so that an event
+logged over and over stays one row in its group. ``event_runs`` keeps them folded, which is enough for
+sums and counts; ``with_positions`` gives each its own row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLICE_MS = 15 * 60 * 1000
+RUN_BLOCK = 1 << 16
 
 
-def with_positions(events: DataFrame, key: str = "session", slice_ms: int = SLICE_MS) -> DataFrame:
-    """Adds pos (0 = oldest), pos_from_end (0 = newest), length, start_ts, end_ts, next_aid."""
-    ties = [c for c in ("aid", "type") if c in events.columns]
-    order = ["ts", *ties]
-    rows = events.withColumn("_slice", F.floor(F.col("ts") / F.lit(slice_ms)))
-
-    before = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+def _placed(rows: DataFrame, key: str, at: str, ties: Sequence[str], slice_width: int) -> DataFrame:
+    """Adds pos, length, start_ts, end_ts and next_aid to rows that stand for ``n`` events each."""
+    order = [at, *ties]
+    rows = rows.withColumn("_slice", F.floor(F.col(at) / F.lit(slice_width)))
+    earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     ordered = W.partitionBy(key).orderBy("_slice")
     whole = W.partitionBy(key)
     slices = (
         rows.groupBy(key, "_slice")
         .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("ts").alias("_lo"),
-            F.max("ts").alias("_hi"),
+            F.sum("n").alias("_n"),
+            F.min(at).alias("_lo"),
+            F.max(at).alias("_hi"),
             F.min(F.struct(*order))["aid"].alias("_first"),
         )
         .select(
             key,
             "_slice",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
             F.lead("_first").over(ordered).alias("_next_first"),
             F.sum("_n").over(whole).alias("length"),
             F.min("_lo").over(whole).alias("start_ts"),
             F.max("_hi").over(whole).alias("end_ts"),
         )
     )
-
     inside = W.partitionBy(key, "_slice").orderBy(*order)
+    ahead = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1))
     return (
-        rows.withColumn("_rn", F.row_number().over(inside))
+        rows.withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
         .withColumn("_lead", F.lead("aid").over(inside))
         .join(slices, [key, "_slice"])
-        .withColumn("pos", F.col("_before") + F.col("_rn") - 1)
-        .withColumn("pos_from_end", F.col("length") - F.col("pos") - 1)
+        .withColumn("pos", F.col("_before") + F.col("_ahead"))
         .withColumn("next_aid", F.coalesce("_lead", "_next_first"))
-        .drop("_slice", "_rn", "_lead", "_before", "_next_first")
+        .drop("_slice", "_ahead", "_lead", "_before", "_next_first")
+    )
+
+
+def event_runs(events: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Distinct events with their number ``n``, the place ``pos`` of the first copy (0 = oldest event),
+    the session's length, start_ts and end_ts, and the item after the last copy (next_aid)."""
+    runs = events.groupBy("session", "aid", "ts", "type").agg(F.count(F.lit(1)).alias("n"))
+    return _placed(runs, "session", "ts", ["aid", "type"], slice_ms)
+
+
+def with_positions(events: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+    """Every event with pos (0 = oldest), pos_from_end (0 = newest), length, start_ts, end_ts, next_aid.
+
+    Copies are unfolded in two steps, so that no array grows with their number.
+    """
+    block = F.lit(RUN_BLOCK)
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))
+    last = F.least(F.col("n"), (F.col("_b") + 1) * block) - 1
+    rows = event_runs(events, slice_ms).withColumn("_b", F.explode(blocks))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.col("_b") * block, last)))
+    follower = F.when(F.col("_i") < F.col("n") - 1, F.col("aid")).otherwise(F.col("next_aid"))
+    return (
+        rows.withColumn("pos", F.col("pos") + F.col("_i"))
+        .withColumn("pos_from_end", F.col("length") - F.col("pos") - 1)
+        .withColumn("next_aid", follower)
+        .drop("n", "_b", "_i")
+    )
+
+
+def numbered(rows: DataFrame, at: str, key: str = "session", slice_width: int = SLICE_MS) -> DataFrame:
+    """Rows that are unique in (key, at, aid), numbered from both ends by (at, aid)."""
+    placed = _placed(rows.withColumn("n", F.lit(1)), key, at, ["aid"] if at != "aid" else [], slice_width)
+    return placed.withColumn("pos_from_end", F.col("length") - F.col("pos") - 1).drop(
+        "n", "start_ts", "end_ts", "next_aid"
     )

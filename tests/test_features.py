@@ -76,3 +76,28 @@ def test_compact_keeps_values(events):
         small.select("session", "aid", F.col("clicks_rank").cast("long"))
     )
     assert both.count() == 0
+
+
+def test_folded_copies_equal_row_level_statistics(events):
+    rows = X.session_recency(events)
+    rows = rows.groupBy("session", "aid").agg(
+        *[f(m).alias(f"{n}_{m}") for m in X.RECENCY for n, f in X.STATS], F.count("*").alias("n")
+    )
+    got = {(r["session"], r["aid"]): r for r in X.session_item_stats(events).collect()}
+    for want in rows.collect():
+        r = got[want["session"], want["aid"]]
+        assert all(abs(r[c] - want[c]) < 1e-5 for c in want.asDict() if c[:4] in ("avg_", "min_", "max_"))
+        assert want["n"] == r["session_aid_clicks_cnt"] + r["session_aid_carts_cnt"] + r["session_aid_orders_cnt"]
+
+
+def test_one_event_logged_very_often(spark):
+    copies = spark.range(200_000).select(
+        F.lit(1).cast("long").alias("session"), F.lit(2).cast("long").alias("aid"), F.lit(T0).alias("ts"), F.lit("carts").alias("type")
+    )
+    row = X.session_item_stats(copies).first()
+    assert row["session_aid_carts_cnt"] == 200_000
+    assert row["avg_action_num_reverse_chrono"] == (200_000 - 1) / 2
+    placed = X.session_recency(copies)
+    assert placed.select("action_num_reverse_chrono").distinct().count() == 200_000
+    mean = placed.agg(F.avg("log_recency_score")).first()[0]
+    assert abs(row["avg_log_recency_score"] - mean) < 2e-6

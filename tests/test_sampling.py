@@ -82,7 +82,7 @@ def test_kcore(events, event_rows):
 
 def test_pair_negatives_permute_the_successors(events):
     pairs = G.next_item_pairs(events)
-    got = S.pair_negatives(pairs, batches=3)
+    got = S.pair_negatives(pairs, batch_size=100)
     assert got.count() == pairs.count()
     right = Counter(r["aid_next"] for r in got.collect())
     wrong = Counter(r["aid_wrong"] for r in got.collect())
