@@ -31,14 +31,13 @@ def recent_unique_items(events: DataFrame) -> DataFrame:
 
 
 def _votes(items: DataFrame, neighbours: DataFrame, source: int = 0) -> DataFrame:
-    """One row per (history item, neighbour); ``at`` orders votes as a walk over the history would.
-
-    The walk goes from the newest item back and, per item, down its neighbour list. Ordering by
-    (source, -last_ts, -aid, n) gives the same order without numbering the items of a session.
+    """One row per (history item, neighbour). ``at`` is the place of the vote in a walk over the items,
+    newest first, and down the neighbour list of each. One long, so that votes are counted in a
+    hash table; a struct would make Spark sort them all.
     """
     hop = neighbours.select(F.col("aid_x").alias("aid"), "aid_y", "n")
-    at = F.struct(F.lit(source).alias("s"), (-F.col("last_ts")).alias("t"), (-F.col("aid")).alias("a"), F.col("n"))
-    return items.join(hop, "aid").select("session", F.col("aid_y"), at.alias("at"))
+    at = F.lit(source) * F.lit(1 << 60) + F.col("position") * F.lit(1 << 12) + F.col("n")
+    return items.join(hop, "aid").select("session", "aid_y", at.alias("at"))
 
 
 def _tally(votes: DataFrame, k: int) -> DataFrame:
@@ -50,15 +49,15 @@ def _tally(votes: DataFrame, k: int) -> DataFrame:
 
 def suggest_clicks(events: DataFrame, neighbours: DataFrame, k: int = DEFAULTS.candidates) -> DataFrame:
     """Vote of the neighbours of every item in the history. Serves embedding neighbours as well."""
-    return _tally(_votes(session_items(events), neighbours), k)
+    return _tally(_votes(recent_unique_items(events), neighbours), k)
 
 
 def suggest_buys(
     events: DataFrame, neighbours: DataFrame, bought_neighbours: DataFrame, k: int = DEFAULTS.candidates
 ) -> DataFrame:
     """One vote of the neighbours of all items and the buy-to-buy neighbours of bought items."""
-    bought = session_items(events.filter(F.col("type").isin(*BOUGHT)))
-    seen = _votes(session_items(events), neighbours, source=0)
+    bought = recent_unique_items(events.filter(F.col("type").isin(*BOUGHT)))
+    seen = _votes(recent_unique_items(events), neighbours, source=0)
     return _tally(seen.unionByName(_votes(bought, bought_neighbours, source=1)), k)
 
 

@@ -23,36 +23,35 @@ RUN_BLOCK = 1 << 16
 
 
 def _placed(rows: DataFrame, key: str, at: str, ties: Sequence[str], slice_width: int) -> DataFrame:
-    """Adds pos, length, start_ts, end_ts and next_aid to rows that stand for ``n`` events each."""
-    order = [at, *ties]
-    rows = rows.withColumn("_slice", F.floor(F.col(at) / F.lit(slice_width)))
+    """Adds pos, length, start_ts, end_ts and next_aid to rows that stand for ``n`` events each.
+
+    The first row of each slice carries the summary of the slice; both uses of the ordered rows
+    read one shuffle.
+    """
+    slice_ = W.partitionBy(key, "_slice")
+    inside = slice_.orderBy(at, *ties)
+    ahead = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    rows = (
+        rows.withColumn("_slice", F.floor(F.col(at) / F.lit(slice_width)))
+        .withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
+        .withColumn("_lead", F.lead("aid").over(inside))
+    )
+
     earlier = W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     ordered = W.partitionBy(key).orderBy("_slice")
     whole = W.partitionBy(key)
-    slices = (
-        rows.groupBy(key, "_slice")
-        .agg(
-            F.sum("n").alias("_n"),
-            F.min(at).alias("_lo"),
-            F.max(at).alias("_hi"),
-            F.min(F.struct(*order))["aid"].alias("_first"),
-        )
-        .select(
-            key,
-            "_slice",
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-            F.lead("_first").over(ordered).alias("_next_first"),
-            F.sum("_n").over(whole).alias("length"),
-            F.min("_lo").over(whole).alias("start_ts"),
-            F.max("_hi").over(whole).alias("end_ts"),
-        )
+    summed = rows.withColumn("_n", F.sum("n").over(slice_)).withColumn("_hi", F.max(at).over(slice_))
+    slices = summed.filter(F.col("_ahead") == 0).select(
+        key,
+        "_slice",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.lead("aid").over(ordered).alias("_next_first"),
+        F.sum("_n").over(whole).alias("length"),
+        F.min(at).over(whole).alias("start_ts"),
+        F.max("_hi").over(whole).alias("end_ts"),
     )
-    inside = W.partitionBy(key, "_slice").orderBy(*order)
-    ahead = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1))
     return (
-        rows.withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
-        .withColumn("_lead", F.lead("aid").over(inside))
-        .join(slices, [key, "_slice"])
+        rows.join(slices, [key, "_slice"])
         .withColumn("pos", F.col("_before") + F.col("_ahead"))
         .withColumn("next_aid", F.coalesce("_lead", "_next_first"))
         .drop("_slice", "_ahead", "_lead", "_before", "_next_first")
