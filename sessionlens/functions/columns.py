@@ -49,17 +49,6 @@ def count_when(condition: Column) -> Column:
     return F.count_if(condition).cast("long")
 
 
-def ratio(numerator: Column, denominator: Column, default: float | None = None) -> Column:
-    fallback = F.lit(default).cast("double")
-    return F.when(denominator == 0, fallback).otherwise(
-        numerator.cast("double") / F.nullif(denominator, F.lit(0)).cast("double")
-    )
-
-
-def positive_gap(start: Column, end: Column) -> Column:
-    return F.when(end - start > 0, end - start)
-
-
 def _recency_step(length: Column) -> Column:
     return F.lit(0.9).cast("double") / F.nullif(length - 1, F.lit(0)).cast("double")
 

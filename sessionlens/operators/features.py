@@ -2,7 +2,8 @@
 
 ``item_days`` counts events per (session, aid, day); everything else that counts rolls it up. Rows of
 a hot session or item are combined before each shuffle, and distinct counts become counts of
-rows of a finer aggregate, so no query expands its input for COUNT(DISTINCT).
+rows of a finer aggregate, so no query expands its input for COUNT(DISTINCT). Families of like columns
+are written as SQL text, which the driver builds much faster than chains of column calls.
 """
 
 from __future__ import annotations
@@ -27,19 +28,19 @@ RECENCY = (
 )
 STEPS = (("clicks", "carts"), ("carts", "orders"))
 RATIOS = (("clicks", "carts"), ("carts", "orders"), ("clicks", "orders"))
-STATS = (("avg", F.avg), ("min", F.min), ("max", F.max))
+STATS = ("avg", "min", "max")
 
 
 def _days(settings: Settings) -> range:
     return range(1, settings.n_days + 1)
 
 
-def _is(type_: str) -> Column:
-    return F.col("type") == type_
+def _exprs(*texts: str) -> list[Column]:
+    return [F.expr(text) for text in texts]
 
 
-def _total(column: Column) -> Column:
-    return F.sum(column).cast("long")
+def _ratio(numerator: str, denominator: str, name: str, default: str = "null") -> str:
+    return f"round(if({denominator} = 0, {default}, {numerator} / {denominator}), 6) as {name}"
 
 
 def day_numbers(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -52,37 +53,36 @@ def day_numbers(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def item_days(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Events of each type and their first time per (session, aid, local day), with the day number."""
     dt = C.local_day(F.col("ts"), settings.day_offset_hours)
-    counts = [C.count_when(_is(t)).alias(f"{t}_cnt") for t in TYPES]
-    firsts = [F.min(F.when(_is(t), F.col("ts"))).alias(f"first_{t}_ts") for t in TYPES]
+    counts = _exprs(*[f"count_if(type = '{t}') as {t}_cnt" for t in TYPES])
+    firsts = _exprs(*[f"min(if(type = '{t}', ts, null)) as first_{t}_ts" for t in TYPES])
     base = events.groupBy("session", "aid", dt.alias("dt")).agg(*counts, *firsts)
     return base.join(F.broadcast(day_numbers(events, settings)), "dt")  # one row per calendar day
 
 
 def session_item_totals(base: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The base over days: counts, counts by day, first times and the delays between them."""
-    totals = [_total(F.col(f"{t}_cnt")).alias(f"{t}_cnt") for t in TYPES]
-    by_day = [
-        _total(F.when(F.col("num") == d, F.col(f"{t}_cnt")).otherwise(0)).alias(f"{t}_cnt_day{d}")
-        for t in TYPES
-        for d in _days(settings)
-    ]
-    firsts = [F.min(f"first_{t}_ts").alias(f"first_{t}_ts") for t in TYPES]
-    span = [F.min("num").alias("min_num"), F.max("num").alias("max_num")]
-    rolled = base.groupBy("session", "aid").agg(*totals, *by_day, *firsts, *span)
-    for a, b in STEPS:
-        gap = C.positive_gap(F.col(f"first_{a}_ts"), F.col(f"first_{b}_ts"))
-        rolled = rolled.withColumn(f"sec_{a}_{b}", gap)
+    """The base over days: counts, counts by day, first times and the delays between them.
+
+    A delay counts only if the later step really came later.
+    """
+    days = [(t, d) for t in TYPES for d in _days(settings)]
+    rolled = base.groupBy("session", "aid").agg(
+        *_exprs(
+            *[f"sum({t}_cnt) as {t}_cnt" for t in TYPES],
+            *[f"sum(if(num = {d}, {t}_cnt, 0L)) as {t}_cnt_day{d}" for t, d in days],
+            *[f"min(first_{t}_ts) as first_{t}_ts" for t in TYPES],
+            "min(num) as min_num",
+            "max(num) as max_num",
+        )
+    )
+    gaps = {(a, b): f"first_{b}_ts - first_{a}_ts" for a, b in STEPS}
+    rolled = rolled.selectExpr("*", *[f"if({g} > 0, {g}, null) as sec_{a}_{b}" for (a, b), g in gaps.items()])
     return rolled.drop(*[f"first_{t}_ts" for t in TYPES])
 
 
 def _funnel(prefix: str) -> list[Column]:
-    out = []
-    for a, b in STEPS:
-        for name, how in STATS:
-            value = how(f"sec_{a}_{b}")
-            value = C.round6(value) if name == "avg" else value
-            out.append(value.alias(f"{name}_sec_{prefix}{a}_{b}"))
-    return out
+    steps = [(f"{a}_{b}", s) for a, b in STEPS for s in STATS]
+    value = {"avg": "round(avg(sec_{}), 6)", "min": "min(sec_{})", "max": "max(sec_{})"}
+    return _exprs(*[f"{value[s].format(step)} as {s}_sec_{prefix}{step}" for step, s in steps])
 
 
 def session_day_counts(totals: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -91,22 +91,20 @@ def session_day_counts(totals: DataFrame, settings: Settings = DEFAULTS) -> Data
 
 def _session_days(settings: Settings) -> list[Column]:
     names = [f"{t}_cnt_day{d}" for t in TYPES for d in _days(settings)]
-    return [_total(F.col(n)).alias(f"session_{n}") for n in names]
+    return _exprs(*[f"sum({n}) as session_{n}" for n in names])
 
 
 def session_stats(totals: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Day span, counts, distinct items, ratios and funnel delays of each session."""
     stats = totals.groupBy("session").agg(
-        F.min("min_num").alias("min_day_num"),
-        F.max("max_num").alias("max_day_num"),
+        *_exprs("min(min_num) as min_day_num", "max(max_num) as max_day_num"),
         *_session_days(settings),
-        *[_total(F.col(f"{t}_cnt")).alias(f"session_{t}_cnt") for t in TYPES],
-        *[C.count_when(F.col(f"{t}_cnt") > 0).alias(f"session_{t}_unique_aid") for t in TYPES],
+        *_exprs(*[f"sum({t}_cnt) as session_{t}_cnt" for t in TYPES]),
+        *_exprs(*[f"count_if({t}_cnt > 0) as session_{t}_unique_aid" for t in TYPES]),
         *_funnel("session_"),
     )
-    unique = {t: F.col(f"session_{t}_unique_aid") for t in TYPES}
-    ratios = [C.round6(C.ratio(unique[b], unique[a])).alias(f"session_{a}_{b}_ratio") for a, b in RATIOS]
-    return stats.select("*", *ratios)
+    unique = "session_{}_unique_aid".format
+    return stats.selectExpr("*", *[_ratio(unique(b), unique(a), f"session_{a}_{b}_ratio") for a, b in RATIOS])
 
 
 def session_funnel(totals: DataFrame) -> DataFrame:
@@ -119,8 +117,8 @@ def item_funnel(totals: DataFrame) -> DataFrame:
 
 def _item_counts() -> list[Column]:
     """Events and distinct sessions per item over rows that hold one session each."""
-    counts = [_total(F.col(f"{t}_cnt")).alias(f"{t}_cnt") for t in TYPES]
-    return counts + [C.count_when(F.col(f"{t}_cnt") > 0).alias(f"{t}_uu") for t in TYPES]
+    counts = [f"sum({t}_cnt) as {t}_cnt" for t in TYPES]
+    return _exprs(*counts, *[f"count_if({t}_cnt > 0) as {t}_uu" for t in TYPES])
 
 
 MEASURES = [f"{t}_cnt" for t in TYPES] + [f"{t}_uu" for t in TYPES]
@@ -131,8 +129,8 @@ def _rank_name(measure: str) -> str:
 
 
 def _pivot_ranks(tall: DataFrame, keys: list[str]) -> DataFrame:
-    picks = [F.max(F.when(F.col("measure") == m, F.col("rank"))).alias(_rank_name(m)) for m in MEASURES]
-    return tall.groupBy(*keys).agg(*picks)
+    picks = [f"max(if(measure = '{m}', rank, null)) as {_rank_name(m)}" for m in MEASURES]
+    return tall.groupBy(*keys).agg(*_exprs(*picks))
 
 
 def daily_item_rank(base: DataFrame) -> DataFrame:
@@ -151,13 +149,9 @@ def item_rank_by_day(base: DataFrame, settings: Settings = DEFAULTS) -> DataFram
 
 
 def _day_ranks(settings: Settings) -> list[Column]:
-    return [
-        F.max(F.when((F.col("measure") == f"{t}_cnt") & (F.col("num") == d), F.col("rank"))).alias(
-            f"{t}_rank_day{d}"
-        )
-        for t in TYPES
-        for d in _days(settings)
-    ]
+    days = [(t, d) for t in TYPES for d in _days(settings)]
+    pick = "max(if(measure = '{0}_cnt' and num = {1}, rank, null)) as {0}_rank_day{1}".format
+    return _exprs(*[pick(t, d) for t, d in days])
 
 
 def item_stats(base: DataFrame, totals: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -166,19 +160,15 @@ def item_stats(base: DataFrame, totals: DataFrame, settings: Settings = DEFAULTS
     Overall figures go through the same ranking as daily ones, under day number 0.
     """
     whole = totals.groupBy("aid").agg(*_item_counts(), *_funnel(""))
-    uu = {t: F.col(f"{t}_uu") for t in TYPES}
-    per_user = [C.round6(C.ratio(F.col(f"{t}_cnt"), uu[t], 0.0)).alias(f"avg_{t}_cnt") for t in TYPES]
-    ratios = [C.round6(C.ratio(uu[b], uu[a])).alias(f"{a}_{b}_ratio") for a, b in RATIOS]
+    per_user = [_ratio(f"{t}_cnt", f"{t}_uu", f"avg_{t}_cnt", default="0D") for t in TYPES]
+    ratios = [_ratio(f"{b}_uu", f"{a}_uu", f"{a}_{b}_ratio") for a, b in RATIOS]
 
     daily = base.groupBy("num", "aid").agg(*_item_counts())
-    ranked = daily.unionByName(whole.select(F.lit(0).cast("long").alias("num"), "aid", *MEASURES))
+    ranked = daily.unionByName(whole.selectExpr("0L as num", "aid", *MEASURES))
     tall = competition_ranks(ranked, ["aid"], MEASURES, within=["num"])
-    overall = [
-        F.max(F.when((F.col("num") == 0) & (F.col("measure") == m), F.col("rank"))).alias(_rank_name(m))
-        for m in MEASURES
-    ]
-    ranks = tall.groupBy("aid").agg(*overall, *_day_ranks(settings))
-    return whole.select("*", *per_user, *ratios).drop(*MEASURES).join(ranks, "aid")
+    overall = [f"max(if(num = 0 and measure = '{m}', rank, null)) as {_rank_name(m)}" for m in MEASURES]
+    ranks = tall.groupBy("aid").agg(*_exprs(*overall), *_day_ranks(settings))
+    return whole.selectExpr("*", *per_user, *ratios).drop(*MEASURES).join(ranks, "aid")
 
 
 def session_recency(events: DataFrame) -> DataFrame:
@@ -208,35 +198,46 @@ def session_item_stats(events: DataFrame, settings: Settings = DEFAULTS) -> Data
     dt = C.local_day(F.col("ts"), settings.day_offset_hours)
     runs = event_runs(events).withColumn("dt", dt)
     runs = runs.join(F.broadcast(day_numbers(events, settings)), "dt")  # one row per calendar day
-    n, length = F.col("n"), F.col("length")
-    back_first = length - F.col("pos") - 1
-    back_last = back_first - (n - 1)
-    since, left = F.col("ts") - F.col("start_ts"), F.col("end_ts") - F.col("ts")
-    low, high = C.log_recency(back_first, length), C.log_recency(back_last, length)
-    summed = C.log_recency_sum(low, n, length)
-    typed = C.type_weight(F.col("type"), RECENCY_TYPE_WEIGHT)
+    oldest = F.col("length") - F.col("pos") - 1
+    runs = runs.select(
+        "session",
+        "aid",
+        "type",
+        "num",
+        "n",
+        "length",
+        oldest.alias("oldest"),
+        (oldest - F.col("n") + 1).alias("newest"),
+        (F.col("ts") - F.col("start_ts")).alias("since"),
+        (F.col("end_ts") - F.col("ts")).alias("left"),
+        C.type_weight(F.col("type"), RECENCY_TYPE_WEIGHT).alias("w"),
+    )
+    length = F.col("length")
+    runs = runs.withColumns(
+        {"low": C.log_recency(F.col("oldest"), length), "high": C.log_recency(F.col("newest"), length)}
+    )
+    runs = runs.withColumn("total", C.log_recency_sum(F.col("low"), F.col("n"), length))
     measures = {  # smallest, largest and sum over the copies of a run
-        "action_num_reverse_chrono": (back_last, back_first, n * (back_first + back_last) / 2),
-        "sec_since_session_start": (since, since, n * since),
-        "sec_to_session_end": (left, left, n * left),
-        "log_recency_score": (low, high, summed),
-        "type_weighted_log_recency_score": (typed * low, typed * high, typed * summed),
+        "action_num_reverse_chrono": ("newest", "oldest", "n * (newest + oldest) / 2"),
+        "sec_since_session_start": ("since", "since", "n * since"),
+        "sec_to_session_end": ("left", "left", "n * left"),
+        "log_recency_score": ("round(low, 6)", "round(high, 6)", "total"),
+        "type_weighted_log_recency_score": ("round(w * low, 6)", "round(w * high, 6)", "w * total"),
     }
     recency = []
     for name, (smallest, largest, total) in measures.items():
-        tidy = C.round6 if name.endswith("_score") else (lambda c: c)
         recency += [
-            C.round6(F.sum(total) / F.sum(n)).alias(f"avg_{name}"),
-            tidy(F.min(smallest)).alias(f"min_{name}"),
-            tidy(F.max(largest)).alias(f"max_{name}"),
+            f"round(sum({total}) / sum(n), 6) as avg_{name}",
+            f"min({smallest}) as min_{name}",
+            f"max({largest}) as max_{name}",
         ]
-    counts = [_total(F.when(_is(t), n).otherwise(0)).alias(f"session_aid_{t}_cnt") for t in TYPES]
+    counts = [f"sum(if(type = '{t}', n, 0L)) as session_aid_{t}_cnt" for t in TYPES]
     by_day = [
-        _total(F.when(_is(t) & (F.col("num") == d), n).otherwise(0)).alias(f"session_aid_{t}_cnt_day{d}")
+        f"sum(if(type = '{t}' and num = {d}, n, 0L)) as session_aid_{t}_cnt_day{d}"
         for t in TYPES
         for d in _days(settings)
     ]
-    return runs.groupBy("session", "aid").agg(*recency, *counts, *by_day)
+    return runs.groupBy("session", "aid").agg(*_exprs(*recency, *counts, *by_day))
 
 
 def slot_column(slot: str) -> str:
@@ -252,9 +253,7 @@ def merge_candidates(sources: list[DataFrame], popular: DataFrame | None = None,
     if popular is not None:
         unranked = F.lit(None).cast("string").alias("slot"), F.lit(None).cast("long").alias("rank")
         rows.append(popular.select("session", "aid", *unranked))
-    ranks = [
-        F.max(F.when(F.col("slot") == s, F.col("rank"))).alias(slot_column(s)) for s in settings.slots
-    ]
+    ranks = _exprs(*[f"max(if(slot = '{s}', rank, null)) as {slot_column(s)}" for s in settings.slots])
     return reduce(DataFrame.unionByName, rows).groupBy("session", "aid").agg(*ranks)
 
 
@@ -271,15 +270,15 @@ def feature_columns(settings: Settings = DEFAULTS) -> list[tuple[str, object]]:
     cols += [(f"session_{t}_cnt", None) for t in TYPES]
     cols += [(f"session_{t}_unique_aid", None) for t in TYPES]
     cols += [(f"session_{a}_{b}_ratio", None) for a, b in RATIOS]
-    cols += [(f"{s}_sec_session_{a}_{b}", None) for a, b in STEPS for s, _ in STATS]
+    cols += [(f"{s}_sec_session_{a}_{b}", None) for a, b in STEPS for s in STATS]
     cols += [(f"session_aid_{t}_cnt", 0) for t in TYPES]
-    cols += [(f"{s}_{m}", None) for m in RECENCY for s, _ in STATS]
+    cols += [(f"{s}_{m}", None) for m in RECENCY for s in STATS]
     cols += [(f"session_aid_{t}_cnt_day{d}", 0) for t in TYPES for d in days]
     cols += [(slot_column(s), None) for s in settings.slots]
     cols += [(f"{t}_rank", UNRANKED) for t in TYPES] + [(f"{t}_uu_rank", UNRANKED) for t in TYPES]
-    cols += [(f"avg_{t}_cnt", 0.0) for t in TYPES]
+    cols += [(f"avg_{t}_cnt", 0) for t in TYPES]
     cols += [(f"{a}_{b}_ratio", None) for a, b in RATIOS]
-    cols += [(f"{s}_sec_{a}_{b}", None) for a, b in STEPS for s, _ in STATS]
+    cols += [(f"{s}_sec_{a}_{b}", None) for a, b in STEPS for s in STATS]
     cols += [(f"{t}_rank_day{d}", UNRANKED) for t in TYPES for d in days]
     return cols
 
@@ -294,10 +293,10 @@ def candidate_features(
     """
     joined = union.join(sessions, "session", "left").join(items, "aid", "left")
     filled = [
-        F.col(name) if default is None else F.coalesce(F.col(name), F.lit(default)).alias(name)
+        name if default is None else f"coalesce({name}, {default}) as {name}"
         for name, default in feature_columns(settings)
     ]
-    return joined.select("session", "aid", *filled)
+    return joined.selectExpr("session", "aid", *filled)
 
 
 def compact(features: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from sessionlens.config import DEFAULTS, Settings
 from sessionlens.operators import features as X
 from sessionlens.operators.candidates import popular_candidates, popular_items
-from sessionlens.sources.sinks import staged
+from sessionlens.sources.sinks import staged, staged_together
 
 
 class Stats:
@@ -61,5 +61,8 @@ def candidate_union(stats: Stats, sources: list[DataFrame]) -> DataFrame:
 
 def candidate_features(stats: Stats, sources: list[DataFrame]) -> DataFrame:
     """126 columns keyed by (session, aid): candidates of all sources, popular items and history."""
-    union = candidate_union(stats, sources)
-    return X.candidate_features(union, stats.sessions, stats.items, stats.settings)
+    merged, history, sessions = staged_together(
+        X.merge_candidates(sources, stats.popular, stats.settings), stats.history, stats.sessions
+    )
+    union = X.candidate_union(history, merged)
+    return X.candidate_features(union, sessions, stats.items, stats.settings)

@@ -7,20 +7,15 @@ from pyspark.sql import DataFrame
 from sessionlens.operators import candidates as G
 from sessionlens.operators.covisit import covisit
 from sessionlens.operators.neighbours import item_knn
-from sessionlens.sources.sinks import staged
+from sessionlens.sources.sinks import staged_together
 from sessionlens.sources.tables import explode_candidates
 
 
-def covisit_candidates(
-    train: DataFrame, test: DataFrame, clicks: DataFrame | None = None, span: tuple[int, int] | None = None
-) -> DataFrame:
-    """Three co-visitation matrices and the votes on them (session, type, aid, rank).
-
-    ``clicks`` is the click matrix if it is at hand already.
-    """
-    clicks = covisit(train, "clicks", span=span) if clicks is None else clicks
+def covisit_candidates(train: DataFrame, test: DataFrame, span: tuple[int, int] | None = None) -> DataFrame:
+    """Three co-visitation matrices and the votes on them (session, type, aid, rank)."""
+    clicks = G.suggest_clicks(test, covisit(train, "clicks", span=span))
     buys = G.suggest_buys(test, covisit(train, "carts_orders"), covisit(train, "buy2buy"))
-    return G.candidates_by_type(G.suggest_clicks(test, clicks), buys)
+    return G.candidates_by_type(clicks, buys)
 
 
 def vector_neighbours(test: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -36,16 +31,22 @@ def candidate_sources(train: DataFrame, test: DataFrame, vectors: DataFrame) ->
     """All generators at once as rows (session, aid, slot, rank).
 
     One generator stands in for each external model slot; tables of other models go in through
-    ``read_candidates`` and ``tall_source`` in the same way. Neighbour tables that serve two
-    generators are staged.
+    ``read_candidates`` and ``tall_source`` in the same way. The item models are independent of each
+    other and staged side by side.
     """
-    clicks = staged(covisit(train, "clicks"))
-    near = staged(vector_neighbours(test, vectors))
-    nested = G.nest(G.suggest_clicks(test, clicks))
+    clicks, buys, bought, near, model = staged_together(
+        covisit(train, "clicks"),
+        covisit(train, "carts_orders"),
+        covisit(train, "buy2buy"),
+        vector_neighbours(test, vectors),
+        G.transitions(train),
+    )
+    by_clicks = G.suggest_clicks(test, clicks)
+    typed = G.candidates_by_type(by_clicks, G.suggest_buys(test, buys, bought))
     return [
-        G.tall_covisit(covisit_candidates(train, test, clicks)),
+        G.tall_covisit(typed),
         G.tall_source(G.suggest_clicks(test, near), "w2v"),
-        G.tall_source(sequence_job(train, test), "gru4rec"),
-        G.tall_source(explode_candidates(nested), "narm", max_rank=30),
+        G.tall_source(G.sequence_candidates(test, model), "gru4rec"),
+        G.tall_source(explode_candidates(G.nest(by_clicks)), "narm", max_rank=30),
         G.tall_source(G.last_item_candidates(test, near), "sasrec"),
     ]

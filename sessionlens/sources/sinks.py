@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from sessionlens.functions import columns as C
 from sessionlens.functions.columns import stable_hash
@@ -77,3 +79,10 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_together(*dfs: DataFrame) -> list[DataFrame]:
+    """Independent tables staged as jobs that run side by side."""
+    use_checkpoints(dfs[0].sparkSession)
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(inheritable_thread_target(staged), dfs))

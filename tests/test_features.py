@@ -81,7 +81,7 @@ def test_compact_keeps_values(events):
 def test_folded_copies_equal_row_level_statistics(events):
     rows = X.session_recency(events)
     rows = rows.groupBy("session", "aid").agg(
-        *[f(m).alias(f"{n}_{m}") for m in X.RECENCY for n, f in X.STATS], F.count("*").alias("n")
+        *[F.expr(f"{s}({m}) as {s}_{m}") for m in X.RECENCY for s in X.STATS], F.count("*").alias("n")
     )
     got = {(r["session"], r["aid"]): r for r in X.session_item_stats(events).collect()}
     for want in rows.collect():
