@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.config import COVISIT, COVISIT_TYPE_WEIGHT, TYPES, CovisitSpec
@@ -34,10 +34,13 @@ def item_pairs(events: DataFrame, spec: CovisitSpec) -> DataFrame:
     return x.join(y, "session").filter(near & (F.col("aid_x") != F.col("aid_y")))
 
 
-def time_span(events: DataFrame) -> tuple[int, int]:
-    """First and last second of the log: two numbers, taken from the column statistics or one scan."""
-    low, high = events.agg(F.min(seconds(F.col("ts"))), F.max(seconds(F.col("ts")))).first()
-    return low or 0, high or 0
+def time_span(events: DataFrame, span: tuple[int, int] | None = None) -> tuple[Column, Column]:
+    """First and last second of the log: given, or from one scalar subquery of the plan."""
+    if span is not None:
+        return F.lit(span[0]), F.lit(span[1])
+    second = seconds(F.col("ts"))
+    ends = events.agg(F.struct(F.min(second).alias("start"), F.max(second).alias("end"))).scalar()
+    return ends["start"], ends["end"]
 
 
 def pair_weights(events: DataFrame, spec: CovisitSpec, span: tuple[int, int] | None = None) -> DataFrame:
@@ -49,12 +52,12 @@ def pair_weights(events: DataFrame, spec: CovisitSpec, span: tuple[int, int] | N
     pairs = item_pairs(events, spec)
     edge = ["aid_x", "aid_y"]
     if spec.weighting == "recency":
-        start, end = span or time_span(events)
+        start, end = time_span(events, span)
         latest = pairs.groupBy("session", *edge).agg(F.max("ts_x").alias("ts_x"))
         sums = latest.groupBy(*edge).agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.col("ts_x") - start).alias("age")
         )
-        wgt = F.col("n") + F.lit(3.0).cast("double") * F.col("age") / F.lit(max(end - start, 1))
+        wgt = F.col("n") + F.lit(3.0).cast("double") * F.col("age") / F.greatest(end - start, F.lit(1))
     else:
         distinct = pairs.select("session", *edge, "type_y").distinct()
         if spec.weighting == "type":
