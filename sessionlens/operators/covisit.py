@@ -10,6 +10,9 @@ from sessionlens.functions.columns import count_when, round6, seconds
 from sessionlens.operators.ranking import top_n
 
 
+SUM_BASE = 1_600_000_000  # seconds taken off before times are summed, to stay far below 2^63
+
+
 def session_tail(events: DataFrame, n: int = 30) -> DataFrame:
     """Newest ``n`` events of each session, numbered from 1 (newest)."""
     newest_first = [F.desc("ts"), F.desc("aid"), F.desc("type")]
@@ -55,9 +58,10 @@ def pair_weights(events: DataFrame, spec: CovisitSpec, span: tuple[int, int] | N
         start, end = time_span(events, span)
         latest = pairs.groupBy("session", *edge).agg(F.max("ts_x").alias("ts_x"))
         sums = latest.groupBy(*edge).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col("ts_x") - start).alias("age")
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("ts_x") - SUM_BASE).alias("since_base")
         )
-        wgt = F.col("n") + F.lit(3.0).cast("double") * F.col("age") / F.greatest(end - start, F.lit(1))
+        age = F.col("since_base") - F.col("n") * (start - SUM_BASE)
+        wgt = F.col("n") + F.lit(3.0).cast("double") * age / F.greatest(end - start, F.lit(1))
     else:
         distinct = pairs.select("session", *edge, "type_y").distinct()
         if spec.weighting == "type":

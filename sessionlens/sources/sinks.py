@@ -83,6 +83,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 def staged_together(*dfs: DataFrame) -> list[DataFrame]:
     """Independent tables staged as jobs that run side by side."""
-    use_checkpoints(dfs[0].sparkSession)
+    spark = dfs[0].sparkSession
+    use_checkpoints(spark)
     with ThreadPoolExecutor(len(dfs)) as pool:
-        return list(pool.map(inheritable_thread_target(staged), dfs))
+        return list(pool.map(inheritable_thread_target(spark)(staged), dfs))
