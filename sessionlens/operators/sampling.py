@@ -11,7 +11,7 @@ from sessionlens.functions.columns import count_when, stable_hash
 from sessionlens.operators.candidates import next_item_pairs
 from sessionlens.operators.ranking import hash_batches, smallest, top_n_by
 from sessionlens.operators.timeline import with_positions
-from sessionlens.sources.sinks import checkpointed, use_checkpoints
+from sessionlens.sources.sinks import checkpointed
 
 
 def join_labels(candidates: DataFrame, labels: DataFrame) -> DataFrame:
@@ -132,7 +132,6 @@ def kcore_round(events: DataFrame, min_session: int = 5, min_item: int = 5) -> D
 
 def kcore(events: DataFrame, min_session: int = 5, min_item: int = 5) -> DataFrame:
     """Passes until nothing more is dropped. Each pass is written out, so lineage stays short."""
-    use_checkpoints(events.sparkSession)
     current = checkpointed(events)
     size = current.count()
     while True:

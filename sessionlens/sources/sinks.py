@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,29 +57,38 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names; a temporary one only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines see, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a single-machine session gets a temporary folder of its own; a cluster gets an error,
+    because a folder on one machine would lose rows there.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows read back from reliable storage, with the lineage cut."""
-    use_checkpoints(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the checkpoint folder.
+    """The rows as a Parquet table in the shared folder.
 
     For results several later steps read: they prune columns and push filters, no step repeats the
-    work behind it, and a lost executor costs a re-read. Deleting old tables is up to the cluster.
+    work behind it, and a lost executor costs a re-read. ``drop_staged`` deletes the tables.
     """
     spark = df.sparkSession
-    use_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -84,6 +96,28 @@ def staged(df: DataFrame) -> DataFrame:
 def staged_together(*dfs: DataFrame) -> list[DataFrame]:
     """Independent tables staged as jobs that run side by side."""
     spark = dfs[0].sparkSession
-    use_checkpoints(spark)
+    _stage_root(spark)
     with ThreadPoolExecutor(len(dfs)) as pool:
         return list(pool.map(inheritable_thread_target(spark)(staged), dfs))
+
+
+def drop_staged(*tables: DataFrame, spark: SparkSession | None = None) -> None:
+    """Delete these staged tables, or with ``spark`` all that the session has staged; nothing may read them later."""
+    paths = {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}
+    for path in paths | ({_stage_root(spark)} if spark else set()):
+        context = (spark or tables[0].sparkSession).sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """What the session stages inside the scope is deleted at its end."""
+    try:
+        yield
+    finally:
+        drop_staged(spark=spark)
+
+
+def _stage_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
