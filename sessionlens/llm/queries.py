@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionlens.llm.jaccard_join import jaccard_components
+from sessionlens.llm.line_dedup import line_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +17,19 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", F.col("_lines_cut").alias("lines_cut"), F.col("_words_cut").alias("words_cut"))
+
+
 QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+_TRIM = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'"
 _SHINGLES = """case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
   else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end"""
 
@@ -34,4 +43,30 @@ links as (select a.doc_id as x, b.doc_id as y from shingles a join shingles b on
 reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join links l on r.y = l.x)
 select s.doc_id, len(s) as n_shingles, min(r.y) as component_id
 from sets s join reach r on s.doc_id = r.x group by s.doc_id, len(s)""",
+    "op10_line_dedup": f"""
+with split as (select doc_id, string_split(text, chr(10)) as parts from documents where text <> ''),
+raw as (select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as part from split),
+lines as (select doc_id, pos, regexp_replace(part, {_TRIM}) as line,
+  len(list_filter(regexp_split_to_array(part, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as words from raw),
+numbered as (select *, row_number() over (partition by doc_id order by pos) as seq,
+  sum(words) over (partition by doc_id order by pos) as stop from lines where line <> ''),
+windows as (select a.doc_id, a.seq as first, min(b.seq) as last from numbered a join numbered b
+    on a.doc_id = b.doc_id and b.seq >= a.seq and b.stop >= a.stop - a.words + 50 group by all
+  union select b.doc_id, max(a.seq) as first, b.seq as last from numbered a join numbered b
+    on a.doc_id = b.doc_id and a.seq <= b.seq and a.stop - a.words <= b.stop - 50 group by b.doc_id, b.seq),
+runs as (select w.doc_id, w.first, w.last, string_agg(n.line, chr(10) order by n.seq) as body
+  from windows w join numbered n on n.doc_id = w.doc_id and n.seq between w.first and w.last group by all),
+ordered as (select *, row_number() over (partition by body order by doc_id, first) as copy from runs),
+cut as (select distinct n.doc_id, n.seq, n.pos from ordered o join numbered n
+  on n.doc_id = o.doc_id and n.seq between o.first and o.last where o.copy > 1),
+stretches as (select doc_id, min(pos) as first, max(pos) as last, count(*) as n
+  from (select *, seq - row_number() over (partition by doc_id order by seq) as g from cut) group by doc_id, g),
+marked as (select l.*, exists (select 1 from stretches s where s.doc_id = l.doc_id and l.pos between s.first and s.last) as gone
+  from (select l.doc_id, l.pos, l.words, r.part from lines l join raw r on l.doc_id = r.doc_id and l.pos = r.pos) l),
+kept as (select doc_id, coalesce(string_agg(part, chr(10) order by pos) filter (where not gone), '') as text,
+  coalesce(sum(words) filter (where gone), 0) as words_cut from marked group by doc_id),
+counts as (select doc_id, sum(n) as lines_cut from stretches group by doc_id)
+select d.doc_id, coalesce(k.text, d.text) as text, coalesce(c.lines_cut, 0)::bigint as lines_cut,
+  coalesce(k.words_cut, 0)::bigint as words_cut
+from documents d left join kept k on d.doc_id = k.doc_id left join counts c on d.doc_id = c.doc_id""",
 }
