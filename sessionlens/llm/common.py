@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sessionlens.sources.sinks import drop_staged, staged
 
@@ -55,9 +56,12 @@ class WordHash(dict):
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers evenly; one to one."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _MIX[0]
+    x ^= x >> np.uint64(27)
+    x *= _MIX[1]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -65,10 +69,59 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     if not len(words):
         return words
     size = min(size, len(words))
-    total = np.zeros(len(words) - size + 1, np.uint64)
-    for i in range(size):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + mixed(words[i : i + len(total)])
-    return mixed(total + np.uint64(size))
+    total = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):  # hashes of words are spread evenly already
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += words[i : i + len(total)]
+    return mixed(total)
+
+
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[np.frombuffer(_LOWER, np.uint8)]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0xD6E8FEB86659FD93
+_PIECE = 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of them."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its lower-cased (A-Z) words, in order; none for null.
+
+    A word's hash is a polynomial of its bytes modulo 2^64, from differences of running sums over pieces of
+    about a megabyte, so the time is a few array operations and the memory doesn't grow with the text.
+    """
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[ends[:-1]] = inside[ends[:-1]]
+    stops = inside[:-1] & (~inside[1:] | begins[1:])
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    out = np.empty(len(begins), np.uint64)
+    at = 0
+    while at < len(begins):
+        to = max(at + 1, int(np.searchsorted(stops, begins[at] + _PIECE, "right")))
+        base, size = begins[at], stops[to - 1] - begins[at]
+        power, inverse = _powers_to(max(size + 1, _PIECE + 1))
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[data[base : base + size]] * power[:size], out=sums[1:])
+        first, last = begins[at:to] - base, stops[at:to] - base
+        out[at:to] = mixed((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
+        at = to
+    return np.split(out, np.searchsorted(begins, ends[1:-1])) if len(texts) else []
 
 
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
@@ -118,3 +171,18 @@ def components(links: DataFrame) -> DataFrame:
         drop_staged(links, roots, first, parent)
         links, roots = onward, onward_roots
     return roots
+
+
+def global_index(df: DataFrame, *by: Column) -> DataFrame:
+    """``df`` with ``index``, its place from 0 in the order of ``by``, which should leave no ties.
+
+    The rows are sorted in ranges and numbered inside each; only the counts of the ranges meet in one place.
+    """
+    ordered = staged(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row per range
+    index = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("index", index).drop("_id", "_part", "_before")

@@ -5,25 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlens.llm.decontaminate import contained_items
 from sessionlens.llm.jaccard_join import jaccard_components
 from sessionlens.llm.line_dedup import line_dedup
+from sessionlens.llm.mixing import mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_shingles", "shared")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"))
+    one = mixed.withColumn("_row", F.explode(F.expr("sequence(1, cast(rows as int))")))
+    return one.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "text", F.col("_lines_cut").alias("lines_cut"), F.col("_words_cut").alias("words_cut"))
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_jaccard_join": op4_jaccard_join,
+    "op9_mix": op9_mix,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -34,6 +49,14 @@ _SHINGLES = """case when len(w) = 0 then [] when len(w) < 5 then [array_to_strin
   else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end"""
 
 ORACLES = {
+    "op1_decontaminate": f"""
+with words as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+asked as (select item_id, coalesce({_WORDS}, []) as w from benchmark),
+shingles as (select doc_id, unnest({_SHINGLES}) as t from words),
+items as (select item_id, {_SHINGLES} as s from asked),
+parts as (select item_id, len(s) as n, unnest(s) as t from items)
+select d.doc_id, p.item_id, p.n as item_shingles, count(*) as shared from shingles d join parts p on d.t = p.t
+group by d.doc_id, p.item_id, p.n having 4 * count(*) >= 3 * p.n""",
     "op4_jaccard_join": f"""
 with recursive words as (select doc_id, coalesce({_WORDS}, []) as w from documents),
 sets as (select doc_id, {_SHINGLES} as s from words),
