@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.decontaminate import contained_items
 from sessionlens.llm.jaccard_join import jaccard_components
+from sessionlens.llm.language_id import address_host, address_suffix, identify_language, markup_language
 from sessionlens.llm.line_dedup import line_dedup
 from sessionlens.llm.mixing import mix
 
@@ -24,6 +25,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents")).drop("key")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for web pages, with all four kinds of evidence; the text is that of the whole page."""
+    pages = _table(spark, sf_dir, "pages").withColumn("host", address_host(F.col("url")))
+    pages = pages.withColumn("suffix", address_suffix(F.col("host"))).withColumn("declared", markup_language(F.col("html")))
+    found = identify_language(pages, "html", "page_id", "declared", "host", "suffix")
+    return found.drop("key").withColumnRenamed("doc_id", "page_id")
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_table(spark, sf_dir, "documents"))
     one = mixed.withColumn("_row", F.explode(F.expr("sequence(1, cast(rows as int))")))
@@ -38,6 +51,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_jaccard_join": op4_jaccard_join,
+    "op8_language_id": op8_language_id,
+    "page_languages": page_languages,
     "op9_mix": op9_mix,
     "op10_line_dedup": op10_line_dedup,
 }
