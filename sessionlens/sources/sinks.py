@@ -88,11 +88,16 @@ def staged(df: DataFrame) -> DataFrame:
     work behind it, and a lost executor costs a re-read. ``drop_staged`` deletes the tables.
     """
     spark = df.sparkSession
-    path = f"{_stage_root(spark)}/{uuid.uuid4().hex}"
+    path = stage_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new path among the staged tables, for files of another format."""
+    return f"{_stage_root(spark)}/{uuid.uuid4().hex}"
+
+
 def staged_together(*dfs: DataFrame) -> list[DataFrame]:
     """Independent tables staged as jobs that run side by side."""
     spark = dfs[0].sparkSession
