@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,25 +34,6 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
-class WordHash(dict):
-    """64-bit hashes of words (bytes), kept for the words seen so far, up to ``limit`` of them."""
-
-    def __init__(self, limit: int = 1_000_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Hashes of the lower-cased words of a text, in order."""
-        words = text.translate(_LOWER).split() if text else []
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers evenly; one to one."""
     x = x ^ (x >> np.uint64(30))
@@ -76,6 +56,23 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mixed(total)
 
 
+def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """row (a struct of all columns, whatever their names), doc_id, key: ready to join and to unpack again."""
+    return docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("key"))
+
+
+def same_document(left: DataFrame, right: DataFrame) -> Column:
+    """Join condition on doc_id, which may be null, and key."""
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["key"] == right["key"])
+
+
+def unpacked(rows: DataFrame, **changed: Column) -> DataFrame:
+    """The columns inside ``row``, some of them replaced or, if they are new, appended."""
+    names = rows.schema["row"].dataType.names
+    kept = [changed.get(c, F.col("row").getField(c)).alias(c) for c in names]
+    return rows.select(*kept, *[v.alias(c) for c, v in changed.items() if c not in names])
+
+
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[np.frombuffer(_LOWER, np.uint8)]
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = 0xD6E8FEB86659FD93
@@ -124,10 +121,6 @@ def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     return np.split(out, np.searchsorted(begins, ends[1:-1])) if len(texts) else []
 
 
-def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    return batch.column(name).cast(pa.binary()).to_pylist()
-
-
 def flat(lists: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(lists).astype(dtype, copy=False) if lists else np.empty(0, dtype)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import SHINGLE, flat, shingle_hashes, slices, text_key, word_count, word_hashes
+from sessionlens.llm.common import SHINGLE, flat, keyed, same_document, shingle_hashes, slices, text_key, unpacked, word_count, word_hashes
 from sessionlens.sources.sinks import staged
 
 NUM, DEN = 3, 4
@@ -110,7 +110,7 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_i
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
-    found = staged(contained_items(docs, items, text, doc_id).select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key")).distinct())
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc_id")) & (text_key(F.col(text)) == F.col("_key"))
-    return docs.join(found, same, "left_anti")
+    """The rows of ``docs`` that contain no item, with all their columns, whatever their names."""
+    rows = keyed(docs, text, doc_id)
+    found = staged(contained_items(docs, items, text, doc_id).select("doc_id", "key").distinct())
+    return unpacked(rows.join(found, same_document(rows, found), "left_anti"))

@@ -6,6 +6,8 @@ each, so those prefixes deal the classes out to trees: a shingle that several cl
 them on one tree, named after the smallest of these classes, so that near copies, which share many shingles,
 hang together on few trees. Common shingles come last in the order.
 
+A class whose prefix and the next shingles are mostly its own is linked to nothing and hangs on no tree.
+
 A tree's members are cut by size into blocks. In a block, a node holds the range of sizes and the OR of the token
 bitmaps of what is below it; pairs of nodes go down together as long as the sizes are within 3/4 and the shared
 bits allow the overlap that is needed. Pairs of documents that are left are compared exactly, unless links found
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlens.llm.common import WordHash, byte_column, components, list_array, shingle_hashes, slices
+from sessionlens.llm.common import components, keyed, list_array, same_document, shingle_hashes, slices, text_key, unpacked, word_hashes
 from sessionlens.sources.sinks import drop_staged, staged
 
 NUM, DEN = 3, 4  # the similarity, as a fraction
@@ -37,8 +39,8 @@ FILTER_BITS = 25  # the member filter has 2^25 bits, 4 MB, at any size
 BLOCK_ROWS, BLOCK_TOKENS = 512, 1 << 21
 ROOT_BITS = 4096
 
-_SETS = "doc_id long, n long, cid long, kind int"
-_POSTINGS = "tree long, key long, cid long, n long"
+_SETS = "doc_id long, key long, n long, cid long, kind int"
+_POSTINGS = "key long, cid long, n long, kind int, shared long"
 _TOKENS = "cid long, tokens array<long>"
 _LINKS = "a long, b long, tree long, block long, low long, high long, slack long, bits binary"
 
@@ -52,7 +54,7 @@ def class_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def _sets(text_col: str, id_col: str):
+def _sets():
     """kind 0: a document's size and class; kind 1: a shingle common in a chunk, its count and smallest class."""
 
     def common(tokens: list[np.ndarray], cids: list[int]) -> pa.RecordBatch:
@@ -65,18 +67,19 @@ def _sets(text_col: str, id_col: str):
         counts = np.diff(np.r_[starts, len(values)])
         lowest = np.minimum.reduceat(owners, starts)
         keep = counts >= max(8, len(sizes) // COMMON)
-        return rows(values[starts][keep].view(np.int64), counts[keep], lowest[keep], 1)
+        shingles = pa.array(values[starts][keep].view(np.int64))
+        return rows(pa.nulls(len(shingles), pa.int64()), shingles, counts[keep], lowest[keep], 1)
 
-    def rows(doc_id, n, cid, kind: int) -> pa.RecordBatch:
-        arrays = [pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(cid, pa.int64())]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(arrays[0]), kind, np.int32))], ["doc_id", "n", "cid", "kind"])
+    def rows(doc_id: pa.Array, key: pa.Array, n, cid, kind: int) -> pa.RecordBatch:
+        arrays = [doc_id, key, pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(np.full(len(doc_id), kind, np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n", "cid", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, cids, size, seen = WordHash(), [], [], 0, set()
+        held, cids, size, seen = [], [], 0, set()
         for batch in slices(batches, 1024):
-            ids, n, cid = batch.column(id_col).to_pylist(), [], []
-            for text in byte_column(batch, text_col):
-                tokens = shingle_set(hashes.of(text))
+            n, cid = [], []
+            for words in word_hashes(batch.column("text")):
+                tokens = shingle_set(words)
                 n.append(len(tokens))
                 cid.append(class_id(tokens) if len(tokens) else None)
                 if len(tokens) and cid[-1] not in seen:
@@ -87,42 +90,47 @@ def _sets(text_col: str, id_col: str):
                 if size >= CHUNK:
                     yield common(held, cids)
                     held, cids, size, seen = [], [], 0, set()
-            yield rows(ids, n, cid, 0)
+            yield rows(batch.column("doc_id"), batch.column("key"), n, cid, 0)
         if held:
             yield common(held, cids)
 
     return run
 
 
-def _postings(text_col: str, common_keys: np.ndarray, common_trees: np.ndarray):
-    """Prefix shingles of each class; those of common shingles come as trees, the others as keys."""
+def _postings(common_keys: np.ndarray, common_trees: np.ndarray):
+    """What each class hangs on and is counted by.
+
+    kind 0: a shingle of its prefix; kind 1: one that only counts; kind 2: the tree of common shingles of its prefix.
+    ``shared`` of kind 2 is the number of its common shingles that count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHash(), set()
+        seen = set()
         for batch in slices(batches, 512):
-            keys, trees, cids, sizes = [], [], [], []
-            for text in byte_column(batch, text_col):
-                tokens = shingle_set(hashes.of(text))
+            keys, cids, sizes, kinds, counts = [], [], [], [], []
+            for words in word_hashes(batch.column("text")):
+                tokens = shingle_set(words)
                 if not len(tokens) or (cid := class_id(tokens)) in seen:
                     continue
                 seen.add(cid)
-                most = prefix_length(len(tokens))
+                n = len(tokens)
+                most, counted = prefix_length(n), counted_length(n)
                 at = np.minimum(np.searchsorted(common_keys, tokens), max(len(common_keys) - 1, 0))
-                late = common_keys[at] == tokens if len(common_keys) else np.zeros(len(tokens), bool)
-                own = tokens[~late][:most]
-                rest = np.flatnonzero(late)[: most - len(own)]
-                hung = np.unique(common_trees[at[rest]]) if len(rest) else np.empty(0, np.int64)
-                keys += [own.view(np.int64), np.zeros(len(hung), np.int64)]
-                trees += [np.zeros(len(own), np.int64), hung]
-                cids.append(np.full(len(own) + len(hung), cid))
-                sizes.append(np.full(len(own) + len(hung), len(tokens)))
+                late = common_keys[at] == tokens if len(common_keys) else np.zeros(n, bool)
+                own = tokens[~late][:counted]
+                rest = at[late][: max(0, most - len(own))]
+                trees = np.unique(common_trees[rest]) if len(rest) else np.empty(0, np.int64)
+                common = counted - len(own)
+                if common and not len(trees):
+                    trees = np.array([cid])  # a tree of its own: only carries the count
+                shared = np.zeros(len(own) + len(trees), np.int64)
+                shared[len(own) : len(own) + 1] = common
+                kind = np.repeat(np.array([0, 1, 2], np.int32), [min(most, len(own)), max(0, len(own) - most), len(trees)])
+                for column, values in ((keys, own.view(np.int64)), (keys, trees), (cids, np.full(len(kind), cid)), (sizes, np.full(len(kind), n)), (kinds, kind), (counts, shared)):
+                    column.append(values)
             if cids:
-                key, tree = np.concatenate(keys), np.concatenate(trees)
-                by_key = np.concatenate([np.repeat([True, False], [len(k), len(t)]) for k, t in zip(keys[::2], trees[1::2])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree, mask=by_key), pa.array(key, mask=~by_key), pa.array(np.concatenate(cids)), pa.array(np.concatenate(sizes))],
-                    ["tree", "key", "cid", "n"],
-                )
+                columns = [pa.array(np.concatenate(c)) for c in (keys, cids, sizes, kinds, counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "cid", "n", "kind", "shared"])
 
     return run
 
@@ -132,13 +140,18 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _member_tokens(text_col: str, bits: np.ndarray):
+def counted_length(n: int) -> int:
+    """Of so many first shingles, a linked set has all but prefix_length(n) - 1."""
+    return min(n, prefix_length(n) + n // 8)
+
+
+def _member_tokens(bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHash(), set()
+        seen = set()
         for batch in slices(batches, 512):
             cids, tokens = [], []
-            for text in byte_column(batch, text_col):
-                own = shingle_set(hashes.of(text))
+            for words in word_hashes(batch.column("text")):
+                own = shingle_set(words)
                 if len(own) and (cid := class_id(own)) not in seen:
                     bit = cid & ((1 << FILTER_BITS) - 1)
                     if bits[bit >> 6] >> np.uint64(bit & 63) & np.uint64(1):
@@ -307,38 +320,43 @@ def _roots_meet(low: pd.Series, high: pd.Series, slack: pd.Series, bits: pd.Seri
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every row of ``docs``.
+    """doc_id, key, n_shingles, class_id, group_id, component_id of every row of ``docs``.
 
-    ``class_id`` is shared by equal sets and null for empty ones; ``component_id`` is the smallest id that links
+    ``class_id`` is shared by equal sets, ``group_id`` by linked ones; both are null for empty ones. ``component_id`` is the smallest id that links
     lead to. Null and empty texts, and texts of white space, have no shingles and no links: their component is
     the row's own id. Texts of fewer than five words are one shingle. Repeated rows stay repeated and are
     copies of each other. A null id stays null; its component is the smallest id among the rows it is linked
     to, null if none of them has one. Other columns are not looked at. An empty table gives an empty result.
     """
-    only = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = staged(only.mapInArrow(_sets("text", "doc_id"), _SETS))
+    only = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    sets = staged(only.mapInArrow(_sets(), _SETS))
     rows, found = sets.where("kind = 0"), sets.where("kind = 1")
 
     # Common shingles: one that is in 1/COMMON of all documents is so in some chunk.
     least = max(16, rows.count() // COMMON)
-    counted = found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("cid").alias("tree")).where(F.col("n") >= least)
-    listed = counted.orderBy(F.desc("n"), "doc_id").limit(COMMON_MOST).select("doc_id", "tree").toPandas()
-    listed = listed.assign(key=listed["doc_id"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
+    counted = found.groupBy("key").agg(F.sum("n").alias("n"), F.min("cid").alias("tree")).where(F.col("n") >= least)
+    listed = counted.orderBy(F.desc("n"), "key").limit(COMMON_MOST).select("key", "tree").toPandas()
+    listed = listed.assign(key=listed["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
     keys, trees = listed["key"].to_numpy(np.uint64), listed["tree"].to_numpy(np.int64)
 
-    postings = only.mapInArrow(_postings("text", keys, trees), _POSTINGS)
-    # One pass over the texts: rows of common shingles have no key and are spread by their own class instead.
-    spread = postings.withColumn("deal", F.coalesce("key", F.xxhash64("cid", "tree")))
-    shared = spread.selectExpr("tree", "key", "cid", "n", "min(cid) over (partition by deal) as low", "max(cid) over (partition by deal) as high")
-    kept = shared.where("key is null or low < high").selectExpr("if(key is null, tree, low) as tree", "cid", "n")
-    members = staged(kept.distinct())
+    # One shuffle by shingle. Trees of common shingles are known already; their rows are spread by class.
+    texts = only.select("text")
+    postings = texts.mapInArrow(_postings(keys, trees), _POSTINGS)
+    spread = postings.withColumn("deal", F.when(F.col("kind") == 2, F.xxhash64("cid", "key")).otherwise(F.col("key")))
+    by = "over (partition by deal)"
+    spread = spread.selectExpr("key", "cid", "n", "kind", "shared", f"min(cid) {by} as low", f"max(cid) {by} as high")
+    hung = spread.where("kind = 2 or low < high").select("cid", "n", F.when(F.col("kind") == 0, F.col("low")).when(F.col("kind") == 2, F.col("key")).alias("tree"), F.when(F.col("kind") == 2, F.col("shared")).otherwise(1).alias("shared"))
+    # What is linked shares most of its counted shingles with others. Repeated classes repeat their rows.
+    members = hung.groupBy("cid", "n").agg(F.collect_set("tree").alias("trees"), F.sum("shared").alias("shared"))
+    enough = F.expr("shared >= least(n, n - ceil(n * 0.75) + 1 + n div 8) - (n - ceil(n * 0.75))")
+    members = staged(members.where(enough).select("cid", "n", F.explode("trees").alias("tree")))
 
     word = F.expr(f"(cid & {(1 << FILTER_BITS) - 1}) >> 6")
     bit = F.expr("shiftleft(1L, cast(cid & 63 as int))")
     words = members.select("cid").distinct().groupBy(word.alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    tokens = only.mapInArrow(_member_tokens("text", bits), _TOKENS).groupBy("cid").agg(F.first("tokens").alias("tokens"))
+    tokens = texts.mapInArrow(_member_tokens(bits), _TOKENS).groupBy("cid").agg(F.first("tokens").alias("tokens"))
 
     # Members of a tree in blocks, by size and then at random; in each block the class that names the tree.
     sized = members.withColumn("size", F.floor(F.log("n") * 10).cast("long"))
@@ -365,10 +383,28 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     ids = rows.groupBy("cid").agg(F.min("doc_id").alias("own"))
     labels = ids.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = labels.groupBy("root").agg(F.min("own").alias("lowest"))
-    labels = labels.join(lowest, "root").select("cid", "lowest")
+    labels = labels.join(lowest, "root").select("cid", "root", "lowest")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest"))
     joined = rows.join(labels, "cid", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), component.alias("component_id"))
+    return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.col("root").alias("group_id"), component.alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` with the smallest id (null last) of each component, with all their columns.
+
+    Documents without shingles are linked to nothing and all stay; of other repeated rows one stays.
+    """
+    found = staged(jaccard_components(docs, text, doc_id))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    heads = found.where("n_shingles > 0").groupBy("group_id").agg(F.min(place).alias("head")).select("head.doc_id", "head.key")
+    times = found.groupBy("doc_id", "key").agg(F.count("*").alias("times"))
+    heads = staged(heads.join(times, same_document(heads, times)).select(heads["doc_id"], heads["key"], "times"))
+    heads = heads.union(found.where("n_shingles = 0").select("doc_id", "key", F.lit(1)).distinct())
+    rows = keyed(docs, text, doc_id)
+    kept = rows.join(heads.hint("merge"), same_document(rows, heads)).select("row", rows["doc_id"], rows["key"], "times")
+    if heads.where("times > 1").isEmpty():
+        return unpacked(kept)
+    return unpacked(kept.where("times = 1").union(kept.where("times > 1").dropDuplicates(["doc_id", "key"])))
 
 
 def _between_blocks(wide: DataFrame, first: DataFrame, tokens: DataFrame) -> DataFrame:
