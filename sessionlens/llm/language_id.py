@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import mixed, slices, text_key
+from sessionlens.llm.common import keyed, mixed, same_document, slices, text_key, unpacked
 from sessionlens.sources.sinks import staged
 
 BUCKETS = 8192
@@ -203,6 +203,5 @@ def identify_language(
 def keep_identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", declared: str | None = "lang", host: str | None = "source") -> DataFrame:
     """The rows of ``docs`` that identification accepts, with all their columns as they are."""
     gone = identify_language(docs, text, doc_id, declared, host).where("reason is not null")
-    gone = staged(gone.select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key")).distinct())
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc_id")) & (text_key(F.col(text)) == F.col("_key"))
-    return docs.join(gone, same, "left_anti")
+    rows, gone = keyed(docs, text, doc_id), staged(gone.select("doc_id", "key").distinct())
+    return unpacked(rows.join(gone, same_document(rows, gone), "left_anti"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionlens.llm.common import text_key, word_count
+from sessionlens.llm.common import keyed, same_document, text_key, unpacked, word_count
 from sessionlens.sources.sinks import drop_staged, staged
 
 MIN_WORDS = 50
@@ -117,26 +117,27 @@ def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, same).drop(*[c for c in right.columns if c.startswith("_")])
 
 
-def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of repeated line runs cut out of ``text``, and ``_lines_cut`` and ``_words_cut``.
+def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
+    """``docs`` with later copies of repeated line runs cut out of ``text``; with ``report`` also lines_cut and words_cut.
 
     Lines are compared without white space at their ends. Blank lines are passed over; those inside a run go with
     it, the others are kept. Null and empty texts stay as they are. Repeated rows are one document and get the
-    same result. All columns but ``text`` are kept; they may have any names that don't begin with an underscore.
-    An empty table gives an empty result.
+    same result. All columns but ``text`` are kept whatever their names; the columns of the report replace columns
+    of the same names. An empty table gives an empty result.
     """
-    runs = repeated_lines(docs, text, doc_id, min_words).groupBy(*DOC).agg(F.collect_list(F.struct("start", "stop")).alias("_cut"), F.sum("lines").alias("_lines_cut"))
-    runs = staged(runs).select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"), "_cut", "_lines_cut")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc_id")) & (text_key(F.col(text)) == F.col("_key"))
-    rows = docs.join(runs, same, "left").drop("_doc_id", "_key")
-    lines = F.split(F.col(text), "\n")
+    runs = repeated_lines(docs, text, doc_id, min_words).groupBy(*DOC).agg(F.collect_list(F.struct("start", "stop")).alias("cut"), F.sum("lines").alias("lines"))
+    rows, runs = keyed(docs, text, doc_id), staged(runs)
+    rows = rows.join(runs, same_document(rows, runs), "left").select("row", "cut", "lines")
+    body, none = F.col("row").getField(text), F.col("cut").isNull()
+    lines = F.split(body, "\n")
 
     def gone(i: Column) -> Column:
-        return F.exists("_cut", lambda run: i.between(run["start"], run["stop"]))
+        return F.exists("cut", lambda run: i.between(run["start"], run["stop"]))
 
-    none = F.col("_cut").isNull()
-    words = word_count(F.array_join(F.filter(lines, lambda x, i: gone(i)), " "))
-    rows = rows.withColumn("_words_cut", F.when(none, F.lit(0).cast("long")).otherwise(words))
-    rows = rows.withColumn("_lines_cut", F.coalesce("_lines_cut", F.lit(0).cast("long")))
     kept = F.array_join(F.filter(lines, lambda x, i: ~gone(i)), "\n")
-    return rows.withColumn(text, F.when(none, F.col(text)).otherwise(kept)).drop("_cut")
+    changed = {text: F.when(none, body).otherwise(kept)}
+    if report:
+        words = word_count(F.array_join(F.filter(lines, lambda x, i: gone(i)), " "))
+        changed["lines_cut"] = F.coalesce("lines", F.lit(0)).cast("long")
+        changed["words_cut"] = F.when(none, F.lit(0)).otherwise(words).cast("long")
+    return unpacked(rows, **changed)

@@ -18,10 +18,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import global_index, mixed, text_key, word_count
+from sessionlens.llm.common import global_index, keyed, mixed, same_document, text_key, unpacked, word_count
 from sessionlens.sources.sinks import staged
 
 WEIGHTS = (5, 2, 1)
@@ -140,10 +140,14 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     return out.select("doc_id", "key", "source", "rows", "size", "source_size", "target", "copies", taken)
 
 
-def apply_mix(docs: DataFrame, mixed_docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are taken, with ``copies``, ``taken``, ``size``, ``source_size`` and ``target``."""
-    got = mixed_docs.where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "key", "source", "copies", "taken", "size", "source_size", "target")])
-    got = staged(got)
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc_id")) & (text_key(F.col(text)) == F.col("_key")) & F.col(source).eqNullSafe(F.col("_source"))
-    rows = docs.drop("copies", "taken", "size", "source_size", "target").join(got, same).drop("_doc_id", "_key", "_source")
-    return rows.withColumnsRenamed({f"_{c}": c for c in ("copies", "taken", "size", "source_size", "target")})
+def take_mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with copies, taken, size, source_size and target.
+
+    These replace columns of the same names; all others are kept, whatever their names.
+    """
+    taken = staged(mix(docs, text, doc_id, source, weights, most, seed).where("copies > 0").drop("rows"))
+    rows = keyed(docs, text, doc_id)
+    same = same_document(rows, taken) & rows["row"][source].eqNullSafe(taken["source"])
+    names = ("copies", "taken", "size", "source_size", "target")
+    rows = rows.join(taken.hint("merge"), same).select("row", *names)
+    return unpacked(rows, **{c: F.col(c) for c in names})

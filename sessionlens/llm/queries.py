@@ -9,7 +9,15 @@ from sessionlens.llm.decontaminate import contained_items
 from sessionlens.llm.jaccard_join import jaccard_components
 from sessionlens.llm.language_id import address_host, address_suffix, identify_language, markup_language
 from sessionlens.llm.line_dedup import line_dedup
+from sessionlens.llm.main_text import extract_main_text
 from sessionlens.llm.mixing import mix
+from sessionlens.llm.quality import quality_scores
+from sessionlens.llm.surrogates import replace_personal_data
+from sessionlens.llm.topk import top_k
+from sessionlens.llm.warc import read_warc, resolved, write_warc
+from sessionlens.sources.sinks import stage_path
+
+SURROGATE_KEY = b"a key for tests; a corpus takes its own"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +29,33 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_shingles", "shared")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark)
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    return resolved(read_warc(spark, path))
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = replace_personal_data(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return kept.select("doc_id", "text", "replaced")
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents")).drop("key")
 
@@ -44,13 +75,18 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "text", F.col("_lines_cut").alias("lines_cut"), F.col("_words_cut").alias("words_cut"))
+    kept = line_dedup(_table(spark, sf_dir, "documents"), report=True)
+    return kept.select("doc_id", "text", "lines_cut", "words_cut")
 
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
+    "op3_topk": op3_topk,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_warc": op5_warc,
+    "op6_surrogates": op6_surrogates,
+    "op7_main_text": op7_main_text,
     "op8_language_id": op8_language_id,
     "page_languages": page_languages,
     "op9_mix": op9_mix,
@@ -72,6 +108,14 @@ items as (select item_id, {_SHINGLES} as s from asked),
 parts as (select item_id, len(s) as n, unnest(s) as t from items)
 select d.doc_id, p.item_id, p.n as item_shingles, count(*) as shared from shingles d join parts p on d.t = p.t
 group by d.doc_id, p.item_id, p.n having 4 * count(*) >= 3 * p.n""",
+    "op3_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs) where rank <= 10""",
     "op4_jaccard_join": f"""
 with recursive words as (select doc_id, coalesce({_WORDS}, []) as w from documents),
 sets as (select doc_id, {_SHINGLES} as s from words),
@@ -81,6 +125,13 @@ links as (select a.doc_id as x, b.doc_id as y from shingles a join shingles b on
 reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join links l on r.y = l.x)
 select s.doc_id, len(s) as n_shingles, min(r.y) as component_id
 from sets s join reach r on s.doc_id = r.x group by s.doc_id, len(s)""",
+    "op5_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as payload_bytes, sha256(b) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f""",
     "op10_line_dedup": f"""
 with split as (select doc_id, string_split(text, chr(10)) as parts from documents where text <> ''),
 raw as (select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as part from split),
