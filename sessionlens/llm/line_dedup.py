@@ -127,7 +127,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     """
     runs = repeated_lines(docs, text, doc_id, min_words).groupBy(*DOC).agg(F.collect_list(F.struct("start", "stop")).alias("cut"), F.sum("lines").alias("lines"))
     rows, runs = keyed(docs, text, doc_id), staged(runs)
-    rows = rows.join(runs, same_document(rows, runs), "left").select("row", "cut", "lines")
+    # Many documents have runs, so the table is no broadcast; one plan at all sizes keeps costs in proportion.
+    rows = rows.join(runs.hint("merge"), same_document(rows, runs), "left").select("row", "cut", "lines")
     body, none = F.col("row").getField(text), F.col("cut").isNull()
     lines = F.split(body, "\n")
 
