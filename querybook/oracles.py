@@ -8,7 +8,7 @@ import re
 TYPES = ("clicks", "carts", "orders")
 DAYS = range(1, 8)
 SLOTS = (
-    "covisit_clicks", "covisit_carts", "covisit_orders", "w2v", "gru4rec", "narm", "sasrec", "srgnn",
+    "covisit_clicks", "covisit_carts", "covisit_orders", "vector_vote", "transition", "last_item",
 )
 STEPS = (("clicks", "carts"), ("carts", "orders"))
 RATIOS = (("clicks", "carts"), ("carts", "orders"), ("clicks", "orders"))
@@ -143,9 +143,8 @@ select * from (
 """
 CTE["model"] = """
 select aid, aid_next, p from (
-  select aid, aid_next, c::double / sum(c) over (partition by aid) as p,
-    row_number() over (partition by aid order by c desc, aid_next) as n
-  from (select aid, aid_next, count(*) as c from moves group by 1, 2)) where n <= 100
+  select aid, aid_next, c::double / sum(c) over (partition by aid) as p
+  from (select aid, aid_next, count(*) as c from moves group by 1, 2))
 """
 CTE["seq_tail"] = """
 select session, aid, back from (
@@ -257,10 +256,14 @@ from (select r.*, d.num from
   (select *, cast(make_timestamp(ts * 1000) + interval 2 hours as date) as dt from recency) r
   join days d on r.dt = d.dt) group by 1, 2
 """
-_hot = " or ".join([f"orders_rank_day{d} <= 20" for d in DAYS] + ["orders_rank <= 20"])
-CTE["popular"] = f"""
-select session, aid from (select distinct session from test), (select aid from i_stats where {_hot})
+CTE["sold"] = "select num, aid, count(*) as sold from tn where type = 'orders' group by 1, 2"
+CTE["popular_items"] = """
+select aid from (select *, row_number() over (partition by num order by sold desc, aid) as n from sold where num <= 7)
+where n <= 20
+union
+select aid from (select aid, row_number() over (order by sum(sold) desc, aid) as n from sold group by 1) where n <= 20
 """
+CTE["popular"] = "select session, aid from (select distinct session from test) cross join popular_items"
 
 
 def _slot(source: str, slot: str, where: str = "true") -> str:
@@ -270,10 +273,9 @@ def _slot(source: str, slot: str, where: str = "true") -> str:
 CTE["tall"] = "\nunion all ".join(
     [
         "select session, aid, 'covisit_' || type as slot, rank from typed",
-        _slot("knn_votes", "w2v"),
-        _slot("seq", "gru4rec"),
-        _slot("sug_clicks", "narm", "rank <= 30"),
-        _slot("last_near", "sasrec"),
+        _slot("knn_votes", "vector_vote"),
+        _slot("seq", "transition"),
+        _slot("last_near", "last_item"),
         "select session, aid, null as slot, null as rank from popular",
         "select distinct session, aid, null as slot, null as rank from test",
     ]
@@ -298,7 +300,7 @@ def _feature_columns() -> str:
     cols += [f"{a}_{b}_ratio" for a, b in RATIOS]
     cols += [f"{f}_sec_{a}_{b}" for a, b in STEPS for f in ("avg", "min", "max")]
     cols += [f"coalesce({t}_rank_day{d}, 1000000) as {t}_rank_day{d}" for t in TYPES for d in DAYS]
-    assert len(cols) == 124
+    assert len(cols) == 122
     return ", ".join(cols)
 
 
@@ -326,11 +328,10 @@ CTE["labeled"] = """
 select c.session, c.aid, (t.aid is not null)::bigint as gt
 from merged c left join (select * from truth where type = 'clicks') t on t.session = c.session and t.aid = c.aid
 """
-HASH = "((({s}) % 1000003) * 7919 + (({a}) % 1000003) * 104729{more}) % 1000003"
 
 
-def _hash(s: str, a: str, more: str = "") -> str:
-    return HASH.format(s=s, a=a, more=more)
+def _hash(*ids: str, seed: int = 0) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {seed}, {', '.join(ids)})), 1, 15))::bigint"
 
 
 def _targets(type_: str) -> str:
@@ -379,7 +380,7 @@ from gt g left join (select session, type, count(*) as hits from hits where rank
   using (session, type)
 """
 CTE["fold_scores"] = f"""
-select session, aid, type, fold, round(1.0::double / rank + ({_hash('session', 'aid', ' + fold * 611953')}) / 1e6::double, 6) as score
+select session, aid, type, fold, round(1.0::double / rank + ({_hash('session', 'aid', 'fold')} % 1000003) / 1e6::double, 6) as score
 from typed, (select unnest(range(5)) as fold)
 """
 CTE["mean_scores"] = """
@@ -388,7 +389,7 @@ select session, aid, type, round(avg(score), 6) as score from fold_scores group
 CTE["hashed"] = f"select *, {_hash('session', 'pos')} as h from moves"
 CTE["wrong"] = """
 select *, coalesce(lead(aid_next) over w, first_value(aid_next) over w) as aid_wrong
-from (select *, (select count(*) from hashed b where b.h < a.h) // 500 as batch from hashed a)
+from (select *, (row_number() over (order by h, session, pos) - 1) // 500 as batch from hashed)
 window w as (partition by batch order by h, session, pos)
 """
 
@@ -402,9 +403,7 @@ from ev""",
     "labels_long": "select session, type, aid from truth",
     "day_num": "select dt, num from days",
     "session_sequences": """
-select session, pos // 1000 as segment, string_agg(aid::varchar, ' ' order by pos) as aids from (
-  select session, aid, row_number() over (partition by session order by ts, aid, type) - 1 as pos from baskets)
-group by 1, 2""",
+select session, aid, row_number() over (partition by session order by ts, aid, type) - 1 as pos from baskets""",
     "recent_unique_items": "select session, aid, last_ts, position from seen",
     "session_tail": "select * from tail",
     "session_tail_baskets": "select * from tail_baskets",
@@ -464,14 +463,18 @@ select (count(*) * 2)::bigint as scored, round((sum((r > 0.5)::int) + sum((w < 0
 select session, aid, gt from labeled where gt = 1 union all
 select session, aid, gt from (
   select *, row_number() over (order by {_hash('session', 'aid')}, session, aid) as rn from labeled where gt = 0)
-where rn <= 80 * (select count(*) from labeled where gt = 1)""",
+where rn <= 5 * (select count(*) from labeled where gt = 1)""",
     "class_balance": "select gt, count(*) as size from labeled group by 1",
-    "session_sample": """
+    "session_sample": f"""
 select session, aid, ts, type from train where session in (
   select session from (select distinct session from train)
-  order by ((session % 1000003) * 7919 + 42) % 1000003, session limit 200)""",
-    "folds": """
-select session, count(*) as session_length, (((session % 1000003) * 7919) % 1000003) % 5 as fold from test group by 1""",
+  order by {_hash('session', seed=42)}, session limit 200)""",
+    "folds": f"""
+select session, session_length,
+  ((row_number() over (order by session_length desc, {_hash('session')}, session) - 1) % 5)::bigint as fold
+from (select session, count(*) as session_length from test group by 1)""",
+    "row_shuffle": f"""
+select *, row_number() over (order by {_hash('session', 'pos', seed=3)}, session, pos) - 1 as place from moves""",
     "next_item_pairs": "select * from moves",
     "next_item_pairs_baskets": """
 select aid, aid_next, count(*) as moves from (
@@ -557,13 +560,13 @@ def _compact_sql() -> str:
     kinds = []
     for name in _names(_feature_columns()):
         if name in ("min_day_num", "max_day_num"):
-            kind = "tinyint"
+            kind = "smallint"
         elif "_cnt_day" in name or "_rank_day" in name:
             kind = "integer"
         elif name.endswith(("_cnt", "_unique_aid", "_rank")) and not name.startswith("avg_"):
             kind = "integer"
         else:
-            kind = "float"
+            kind = "double"
         kinds.append(f"{name}::{kind} as {name}")
     return "select session, aid, " + ", ".join(kinds) + " from feats"
 

@@ -66,11 +66,8 @@ def day_num(t: Testbed) -> DataFrame:
 
 @query
 def session_sequences(t: Testbed) -> DataFrame:
-    """Item sequences in segments of bounded length, on the long basket sessions."""
-    placed = with_positions(t.baskets())
-    segment = F.floor(F.col("pos") / DEFAULTS.sequence_segment).alias("segment")
-    lists = placed.groupBy("session", segment).agg(L.ordered_list(F.col("pos"), F.col("aid")).alias("aids"))
-    return lists.select("session", "segment", L.join_text(F.col("aids")).alias("aids"))
+    """Item sequences of any length as rows (session, pos, aid), on the long basket sessions."""
+    return with_positions(t.baskets()).select("session", "pos", "aid")
 
 
 @query
@@ -356,7 +353,14 @@ def negative_sample(t: Testbed) -> DataFrame:
 
 
 def _training_set(type_: str) -> Callable[[Testbed], DataFrame]:
-    return lambda t: S.training_set(staged(candidate_features(t)), t.labels(), type_)
+    """Keys first, then features for those only."""
+
+    def build(t: Testbed) -> DataFrame:
+        stats, sources = FT.Stats(t.test()), FT.together(_sources(t))
+        keys = staged(S.training_keys(staged(FT.candidate_keys(stats, sources)), t.labels(), type_))
+        return FT.candidate_features(stats, sources, keys)
+
+    return build
 
 
 for _type in TYPES:
@@ -367,7 +371,8 @@ for _type in TYPES:
 
 @query
 def global_negative_sample(t: Testbed) -> DataFrame:
-    return S.global_negative_sample(labeled_candidates(t))
+    """Five negatives to a positive: fewer than there are."""
+    return S.global_negative_sample(labeled_candidates(t), per_positive=5)
 
 
 @query
@@ -382,7 +387,13 @@ def session_sample(t: Testbed) -> DataFrame:
 
 @query
 def folds(t: Testbed) -> DataFrame:
-    return S.group_sizes(t.test()).transform(S.folds)
+    dealt = S.folds(t.test()).groupBy("session", "fold")
+    return dealt.agg(F.count(F.lit(1)).alias("session_length"))
+
+
+@query
+def row_shuffle(t: Testbed) -> DataFrame:
+    return S.shuffled_rows(G.next_item_pairs(t.train()), "session", "pos", seed=3)
 
 
 @query
@@ -433,7 +444,7 @@ def interaction_matrix(t: Testbed) -> DataFrame:
 
 @query
 def item_index(t: Testbed) -> DataFrame:
-    return dense_index(t.baskets(), "aid", width=256)
+    return dense_index(t.baskets(), "aid")
 
 
 @query
@@ -446,9 +457,15 @@ def item_cardinality(t: Testbed) -> DataFrame:
 # ---- metrics and output --------------------------------------------------------------------
 
 
+def _labelled_candidates(t: Testbed) -> DataFrame:
+    """Candidates of the sessions that the metric looks at."""
+    wanted = t.labels().select("session").distinct()
+    return P.covisit_candidates(t.train(), t.test().join(wanted, "session", "left_semi"))
+
+
 @query
 def recall_at_k(t: Testbed) -> DataFrame:
-    return M.recall_at_k(candidates_by_type(t), t.labels())
+    return M.recall_at_k(_labelled_candidates(t), t.labels())
 
 
 @query
@@ -463,7 +480,7 @@ def metric_rows(t: Testbed) -> DataFrame:
 
 @query
 def session_recall(t: Testbed) -> DataFrame:
-    return M.session_recall(candidates_by_type(t), t.labels(), 20)
+    return M.session_recall(_labelled_candidates(t), t.labels(), 20)
 
 
 @query
@@ -473,14 +490,14 @@ def recall_pred_driven(t: Testbed) -> DataFrame:
 
 @query
 def ndcg_at_20(t: Testbed) -> DataFrame:
-    return M.ndcg_at_k(candidates_by_type(t), t.labels())
+    return M.ndcg_at_k(_labelled_candidates(t), t.labels())
 
 
 def _fold_scores(t: Testbed) -> DataFrame:
     """Stand-in for the scores of five fold models: repeatable noise on the inverse rank."""
     fold = F.explode(F.sequence(F.lit(0), F.lit(DEFAULTS.folds - 1)))
     rows = candidates_by_type(t).withColumn("fold", fold)
-    noise = stable_hash(F.col("session"), F.col("aid"), F.col("fold")) / F.lit(1e6).cast("double")
+    noise = stable_hash(F.col("session"), F.col("aid"), F.col("fold")) % 1_000_003 / F.lit(1e6).cast("double")
     return rows.select("session", "aid", "type", "fold", round6(F.lit(1.0) / F.col("rank") + noise).alias("score"))
 
 

@@ -21,11 +21,9 @@ CANDIDATE_SLOTS = (
     "covisit_clicks",
     "covisit_carts",
     "covisit_orders",
-    "w2v",
-    "gru4rec",
-    "narm",
-    "sasrec",
-    "srgnn",
+    "vector_vote",
+    "transition",
+    "last_item",
 )
 UNRANKED = 1_000_000
 
@@ -61,7 +59,6 @@ class Settings:
     negatives_per_positive: int = 20
     global_negatives_per_positive: int = 80
     folds: int = 5
-    sequence_segment: int = 1000
     slots: tuple[str, ...] = field(default=CANDIDATE_SLOTS)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.config import DAY_MS, HOUR_MS, RECENCY_TYPE_WEIGHT, TYPE_CODE
 
-HASH_SPACE = 1_000_003  # prime, so that products of reduced ids stay far below 2^63
+HASH_BITS = 60
 
 
 def seconds(ts_ms: Column) -> Column:
@@ -76,15 +76,12 @@ def weighted_recency(type_col: Column, recency: Column) -> Column:
 
 
 def stable_hash(*ids: Column, seed: int = 0) -> Column:
-    """Repeatable pseudo-random number in [0, HASH_SPACE).
+    """Repeatable pseudo-random number of HASH_BITS bits, from the md5 of the seed and the ids as text.
 
-    Plain integer arithmetic, so that any SQL engine gives the same order.
+    Any SQL engine gives the same, and two seeds have nothing to do with each other.
     """
-    primes = (7919, 104729, 611953)
-    total = F.lit(seed % HASH_SPACE).cast("long")
-    for one, prime in zip(ids, primes):
-        total = total + F.pmod(one.cast("long"), F.lit(HASH_SPACE)) * F.lit(prime)
-    return F.pmod(total, F.lit(HASH_SPACE))
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(x.cast("string"), F.lit("")) for x in ids])
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def round6(value: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +31,12 @@ def recent_unique_items(events: DataFrame) -> DataFrame:
 def _votes(items: DataFrame, neighbours: DataFrame, source: int = 0) -> DataFrame:
     """One row per (history item, neighbour). ``at`` is the place of the vote in a walk over the items,
     newest first, and down the neighbour list of each. One long, so that votes are counted in a
-    hash table; a struct would make Spark sort them all.
+    hash table; a struct would make Spark sort them all. Lists of 2^24 neighbours or more are an error.
     """
     hop = neighbours.select(F.col("aid_x").alias("aid"), "aid_y", "n")
-    at = F.lit(source) * F.lit(1 << 60) + F.col("position") * F.lit(1 << 12) + F.col("n")
+    fits = (F.col("n") < 1 << 24) & (F.col("position") < 1 << 36)
+    at = F.lit(source) * F.lit(1 << 60) + F.col("position") * F.lit(1 << 24) + F.col("n")
+    at = F.when(fits, at).otherwise(F.raise_error(F.lit("a neighbour list or a history is too long")))
     return items.join(hop, "aid").select("session", "aid_y", at.alias("at"))
 
 
@@ -103,12 +103,11 @@ def move_counts(events: DataFrame) -> DataFrame:
     return steps.groupBy("aid", "aid_next").agg(F.sum("moves").alias("moves"))
 
 
-def transitions(events: DataFrame, top: int = DEFAULTS.candidates) -> DataFrame:
-    """Next-item model: the ``top`` likeliest successors of each item (aid, aid_next, p)."""
+def transitions(events: DataFrame) -> DataFrame:
+    """Next-item model: every successor of each item and its share (aid, aid_next, p)."""
     moves = move_counts(events)
     totals = moves.groupBy("aid").agg(F.sum("moves").alias("total"))
-    best = top_n(moves, ["aid"], [F.desc("moves"), F.asc("aid_next")], top, out="n")
-    return best.join(totals, "aid").select("aid", "aid_next", (F.col("moves") / F.col("total")).alias("p"))
+    return moves.join(totals, "aid").select("aid", "aid_next", (F.col("moves") / F.col("total")).alias("p"))
 
 
 def sequence_tail(events: DataFrame, n: int = DEFAULTS.history_tail) -> DataFrame:
@@ -135,25 +134,24 @@ def nest(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("session").agg(ordered_list(F.col("rank"), F.col("aid")).alias("labels"))
 
 
-def popular_items(item_stats: DataFrame, settings=DEFAULTS) -> DataFrame:
-    """Items among the best sellers overall or on any day."""
-    ranks = ["orders_rank", *[f"orders_rank_day{d}" for d in range(1, settings.n_days + 1)]]
-    top = reduce(lambda a, b: a | b, [F.col(r) <= settings.popular_rank for r in ranks])
-    return item_stats.filter(top).select("aid")
+def popular_items(base: DataFrame, settings=DEFAULTS) -> DataFrame:
+    """Best sellers overall and on each of the days, ``popular_rank`` of each, ties by item: a bounded list.
 
+    ``base`` has the events of (session, aid, day) by type (``item_days``); items without orders are not popular.
+    """
+    sold = base.filter(F.col("orders_cnt") > 0).groupBy("num", "aid").agg(F.sum("orders_cnt").alias("sold"))
+    order = [F.desc("sold"), F.asc("aid")]
+    daily = top_n(sold.filter(F.col("num") <= settings.n_days), ["num"], order, settings.popular_rank)
+    ever = sold.groupBy("aid").agg(F.sum("sold").alias("sold")).orderBy(*order).limit(settings.popular_rank)
+    return daily.select("aid").union(ever.select("aid")).distinct()
 
-def popular_candidates(events: DataFrame, popular: DataFrame, ways: int = 64) -> DataFrame:
-    """Every session with every popular item.
 
-    Sessions are hashed in ``ways`` groups and the popular items are repeated once per group, which
-    makes this an equi-join: Spark broadcasts the popular side if it turns out small and otherwise
-    spreads the join over the groups.
+def popular_candidates(events: DataFrame, popular: DataFrame) -> DataFrame:
+    """Every session with every popular item. The items are few by construction and come as one array
+    from a scalar subquery, so sessions are neither joined nor shuffled for it.
     """
-    way = F.sequence(F.lit(0), F.lit(ways - 1))
-    sessions = events.select("session").distinct()
-    sessions = sessions.withColumn("_way", F.pmod(F.hash("session"), F.lit(ways)))
-    repeated = popular.select("aid", F.explode(way).alias("_way"))
-    return sessions.join(repeated, "_way").select("session", "aid")
+    items = popular.agg(F.sort_array(F.collect_list("aid")).alias("aids")).scalar()
+    return events.select("session").distinct().select("session", F.explode(items).alias("aid"))
 
 
 def covisit_rank_pivot(typed: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.config import COVISIT, COVISIT_TYPE_WEIGHT, TYPES, CovisitSpec
-from sessionlens.functions.columns import count_when, round6, seconds
+from sessionlens.functions.columns import round6, seconds
 from sessionlens.operators.ranking import top_n
+from sessionlens.sources.sinks import staged
 
 
 SUM_BASE = 1_600_000_000  # seconds taken off before times are summed, to stay far below 2^63
@@ -46,34 +47,39 @@ def time_span(events: DataFrame, span: tuple[int, int] | None = None) -> tuple[C
     return ends["start"], ends["end"]
 
 
-def pair_weights(events: DataFrame, spec: CovisitSpec, span: tuple[int, int] | None = None) -> DataFrame:
-    """Sparse item-item matrix (aid_x, aid_y, wgt).
+def edge_counts(events: DataFrame, spec: CovisitSpec) -> DataFrame:
+    """What all weightings need of a pair of items (aid_x, aid_y): in how many sessions it occurs (n), the
+    sum of its latest times there, and the sessions where aid_y occurs in it with each type.
 
-    Weights are linear in what is counted, so whole numbers are summed over sessions and the weight
-    is worked out once per pair: sums are exact and do not depend on the order of addition.
+    A session counts once whatever its number of pairs. Whole numbers are summed, so the result does not
+    depend on the order of addition.
     """
-    pairs = item_pairs(events, spec)
     edge = ["aid_x", "aid_y"]
-    if spec.weighting == "recency":
+    kinds = [F.max(F.col("type_y") == t).cast("long").alias(t) for t in TYPES]
+    by_session = item_pairs(events, spec).groupBy("session", *edge).agg(F.max("ts_x").alias("ts_x"), *kinds)
+    since = F.sum(F.col("ts_x") - SUM_BASE).alias("since_base")
+    return by_session.groupBy(*edge).agg(F.count(F.lit(1)).alias("n"), since, *[F.sum(t).alias(t) for t in TYPES])
+
+
+def pair_weights(
+    edges: DataFrame, weighting: str, events: DataFrame, span: tuple[int, int] | None = None
+) -> DataFrame:
+    """Sparse item-item matrix (aid_x, aid_y, wgt) from ``edge_counts``; weights are linear in the counts."""
+    if weighting == "recency":
         start, end = time_span(events, span)
-        latest = pairs.groupBy("session", *edge).agg(F.max("ts_x").alias("ts_x"))
-        sums = latest.groupBy(*edge).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col("ts_x") - SUM_BASE).alias("since_base")
-        )
         age = F.col("since_base") - F.col("n") * (start - SUM_BASE)
         wgt = F.col("n") + F.lit(3.0).cast("double") * age / F.greatest(end - start, F.lit(1))
+    elif weighting == "type":
+        weights = COVISIT_TYPE_WEIGHT.items()
+        wgt = sum((F.col(t) * F.lit(w).cast("double") for t, w in weights), F.lit(0.0).cast("double"))
     else:
-        distinct = pairs.select("session", *edge, "type_y").distinct()
-        if spec.weighting == "type":
-            sums = distinct.groupBy(*edge).agg(*[count_when(F.col("type_y") == t).alias(t) for t in TYPES])
-            wgt = sum(
-                (F.col(t) * F.lit(w).cast("double") for t, w in COVISIT_TYPE_WEIGHT.items()),
-                F.lit(0.0).cast("double"),
-            )
-        else:
-            sums = distinct.groupBy(*edge).agg(F.count(F.lit(1)).alias("n"))
-            wgt = F.col("n")
-    return sums.select(*edge, round6(wgt).alias("wgt"))
+        wgt = sum((F.col(t) for t in TYPES), F.lit(0))
+    return edges.select("aid_x", "aid_y", round6(wgt).alias("wgt"))
+
+
+def heaviest(weights: DataFrame, n: int) -> DataFrame:
+    """The ``n`` heaviest partners of each item, numbered from 1."""
+    return top_n(weights, ["aid_x"], [F.desc("wgt"), F.asc("aid_y")], n, out="n")
 
 
 def covisit(
@@ -84,5 +90,14 @@ def covisit(
 ) -> DataFrame:
     """Neighbours (aid_x, aid_y, wgt, n): the ``top_n`` heaviest partners of each item, n from 1."""
     spec = spec or COVISIT[mode]
-    weights = pair_weights(events, spec, span)
-    return top_n(weights, ["aid_x"], [F.desc("wgt"), F.asc("aid_y")], spec.top_n, out="n")
+    weights = pair_weights(edge_counts(events, spec), spec.weighting, events, span)
+    return heaviest(weights, spec.top_n)
+
+
+def covisit_by_day(events: DataFrame, span: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The clicks and the carts_orders matrix. Both weigh the same pairs, which are counted and staged once."""
+    spec, other = COVISIT["clicks"], COVISIT["carts_orders"]
+    assert (spec.window_ms, spec.types, spec.tail) == (other.window_ms, other.types, other.tail)
+    edges = staged(edge_counts(events, spec))
+    both = (heaviest(pair_weights(edges, x.weighting, events, span), x.top_n) for x in (spec, other))
+    return tuple(both)

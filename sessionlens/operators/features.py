@@ -300,20 +300,21 @@ def candidate_features(
 
 
 def compact(features: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Narrow types for storage: whole numbers as int (day numbers as byte), the rest as float.
+    """Narrow types for storage: day numbers as short, other whole numbers but times as int, the rest as double.
 
-    Values beyond the range of int are held at its limit instead of wrapping round.
+    A number that does not fit its type is an error; none is changed.
     """
     whole = {n for n, d in feature_columns(settings) if n.endswith(("_cnt", "_unique_aid", "_rank")) and not n.startswith("avg_")}
     whole |= {n for n, _ in feature_columns(settings) if "_cnt_day" in n or "_rank_day" in n}
     out = []
     for name in features.columns:
         col = F.col(name)
-        if name in ("min_day_num", "max_day_num"):
-            col = F.least(col, F.lit(127)).cast("byte")
-        elif name in whole:
-            col = F.least(col, F.lit(2**31 - 1).cast("long")).cast("int")
+        if name in whole or name in ("min_day_num", "max_day_num"):
+            high = 2**31 - 1 if name in whole else 2**15 - 1
+            fits = F.when(col.isNull() | col.between(-high, high), col)
+            col = F.coalesce(fits, F.when(col.isNotNull(), F.raise_error(F.lit(f"{name} does not fit"))).cast("long"))
+            col = col.cast("int" if name in whole else "short")
         elif name not in ("session", "aid"):
-            col = col.cast("float")
+            col = col.cast("double")
         out.append(col.alias(name))
     return features.select(*out)

@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.config import DEFAULTS, UNRANKED
+from sessionlens.config import UNRANKED
 from sessionlens.functions.columns import stable_hash
 from sessionlens.functions.lists import ordered_list
 from sessionlens.operators.candidates import move_counts
@@ -25,7 +25,10 @@ VECTOR = "vector"
 # ---- embeddings ----------------------------------------------------------------------------
 
 
-def sentences(events: DataFrame, segment: int = DEFAULTS.sequence_segment) -> DataFrame:
+SEGMENT = 1000  # items of a session that Word2Vec sees at once; a longer one gives several sentences
+
+
+def sentences(events: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Item sequences as token lists of at most ``segment`` items; long sessions give several."""
     placed = with_positions(events)
     part = F.floor(F.col("pos") / segment).alias("segment")
@@ -43,7 +46,7 @@ def word2vec_vectors(
         minCount=1,
         maxIter=epochs,
         numPartitions=parts,
-        maxSentenceLength=DEFAULTS.sequence_segment,
+        maxSentenceLength=SEGMENT,
         seed=seed,
         inputCol="tokens",
         outputCol=VECTOR,
@@ -54,9 +57,12 @@ def word2vec_vectors(
 
 
 def _factors(
-    matrix: DataFrame, user: str, item: str, weight: str, rank: int, epochs: int, seed: int
+    matrix: DataFrame, user: str, item: str, weight: str, rank: int, epochs: int, seed: int, blocks: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Implicit-feedback factors (user, vector) and (item, vector). Ids are mapped to dense ints."""
+    """Implicit-feedback factors (user, vector) and (item, vector), worked out in ``blocks`` parts of each.
+
+    Ids are mapped to dense ints, as MLlib asks for; more than 2^31 users or items are an error of the cast.
+    """
     users = dense_index(matrix, user, out="_u")
     items = dense_index(matrix, item, out="_i")
     rows = matrix.join(users, user).join(items, item)
@@ -70,6 +76,8 @@ def _factors(
         ratingCol="_w",
         seed=seed,
         checkpointInterval=10,
+        numUserBlocks=blocks,
+        numItemBlocks=blocks,
     )
     model = learner.fit(rows)
     by_user = model.userFactors.join(users, F.col("id") == F.col("_u")).select(user, F.col("features").alias(VECTOR))
@@ -78,15 +86,17 @@ def _factors(
 
 
 def interaction_factors(
-    matrix: DataFrame, rank: int = 16, epochs: int = 10, seed: int = 42
+    matrix: DataFrame, rank: int = 16, epochs: int = 10, seed: int = 42, blocks: int = 10
 ) -> tuple[DataFrame, DataFrame]:
     """Session and item vectors from the (session, aid, n) matrix."""
-    return _factors(matrix, "session", "aid", "n", rank, epochs, seed)
+    return _factors(matrix, "session", "aid", "n", rank, epochs, seed, blocks)
 
 
-def next_item_factors(events: DataFrame, rank: int = 32, epochs: int = 10, seed: int = 42) -> DataFrame:
+def next_item_factors(
+    events: DataFrame, rank: int = 32, epochs: int = 10, seed: int = 42, blocks: int = 10
+) -> DataFrame:
     """Item vectors (aid, vector) from how often one item follows another."""
-    by_item, _ = _factors(move_counts(events), "aid", "aid_next", "moves", rank, epochs, seed)
+    by_item, _ = _factors(move_counts(events), "aid", "aid_next", "moves", rank, epochs, seed, blocks)
     return by_item
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionlens.functions.columns import HASH_SPACE, count_when
+from sessionlens.functions.columns import HASH_BITS, count_when
+from sessionlens.sources.sinks import staged
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
@@ -27,23 +28,25 @@ def top_n_by(
     order: Sequence[Column],
     bound: Column,
     spread: Column,
-    ways: int = 32,
+    rows: int = 4096,
 ) -> DataFrame:
     """First ``bound`` rows of each group, where the bound is a column.
 
-    Spark has no group limit for a bound that varies, so a hot group is first cut in ``ways`` parts
-    side by side; what is left for the group as a whole is at most ``ways * bound`` rows. Exact,
-    as both cuts use one total order.
+    Spark has no group limit for a bound that varies, so a group is first cut in parts of about
+    ``rows`` rows side by side, as many as its size asks for; of each part at most ``bound`` rows are
+    left for the group as a whole. Exact, as both cuts use one total order.
     """
+    ways = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_ways"))
     part = W.partitionBy(*keys, "_part").orderBy(*order)
     whole = W.partitionBy(*keys).orderBy(*order)
     return (
-        df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(ways)))
+        df.join(ways, list(keys))
+        .withColumn("_part", F.pmod(F.xxhash64(spread), F.col("_ways")))
         .withColumn("_rn", F.row_number().over(part))
         .filter(F.col("_rn") <= bound)
         .withColumn("_rn", F.row_number().over(whole))
         .filter(F.col("_rn") <= bound)
-        .drop("_part", "_rn")
+        .drop("_part", "_rn", "_ways")
     )
 
 
@@ -68,19 +71,22 @@ def competition_ranks(
     return tall.join(ranks, [*keys, "value"]).select(*ids, *keys, "rank")
 
 
+SLOT_BITS = 20
+
+
 def smallest(
-    df: DataFrame, slot: Column, order: Sequence[Column], limit: int | Column, counted: Column | None = None
+    df: DataFrame, hashed: Column, order: Sequence[Column], limit: int | Column, counted: Column | None = None
 ) -> DataFrame:
-    """Exactly the first ``limit`` rows by (slot, order), without one task sorting them all.
+    """Exactly the first ``limit`` rows by (hashed, order), without one task sorting them all.
 
-    ``slot`` is an integer in [0, HASH_SPACE); ``limit`` a number or an aggregate over the table (e.g.
-    ``80 * count_if(positive)``); ``counted`` marks the rows that take part (others are dropped).
-    The ordered histogram has at most HASH_SPACE rows whatever the data size. Whole slots below the
-    cut pass without a sort; only rows of the slot the cut falls in are numbered.
+    ``hashed`` is a number of HASH_BITS bits, spread evenly; ``limit`` a number or an aggregate over the
+    table (e.g. ``80 * count_if(positive)``); ``counted`` marks the rows that take part (others are dropped).
+    The first SLOT_BITS bits make a histogram, of a million rows at most. Whole slots below the cut pass
+    without a sort; only rows of the slot the cut falls in, a millionth of all, are numbered.
     """
     counted = F.lit(True) if counted is None else counted
     fixed = isinstance(limit, int)
-    slotted = df.withColumn("_slot", slot)
+    slotted = df.withColumn("_hash", hashed).withColumn("_slot", F.shiftright("_hash", HASH_BITS - SLOT_BITS))
     ahead = W.partitionBy().orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     total = F.lit(limit) if fixed else F.sum("_limit").over(W.partitionBy())
     room = (
@@ -93,46 +99,33 @@ def smallest(
     kept = slotted.filter(counted).join(room, "_slot")
     whole = kept.filter(F.col("_n") <= F.col("_room"))
     cut = kept.filter(F.col("_n") > F.col("_room"))
-    cut = cut.withColumn("_rn", F.row_number().over(W.partitionBy("_slot").orderBy(*order)))
+    cut = cut.withColumn("_rn", F.row_number().over(W.partitionBy("_slot").orderBy("_hash", *order)))
     cut = cut.filter(F.col("_rn") <= F.col("_room")).drop("_rn")
-    return whole.unionByName(cut).drop("_slot", "_n", "_limit", "_room")
+    return whole.unionByName(cut).drop("_hash", "_slot", "_n", "_limit", "_room")
 
 
-def hash_batches(df: DataFrame, slot: Column, size: int, out: str = "batch") -> DataFrame:
-    """Rows in batches of about ``size`` by ``slot``, an integer in [0, HASH_SPACE).
+def global_index(df: DataFrame, *by: Column, out: str = "index") -> DataFrame:
+    """``df`` with ``out``, its place from 0 in the order of ``by``, which should leave no ties.
 
-    Batches are cut on the ordered histogram of slots, so their number follows the data; a batch
-    holds whole slots and overshoots ``size`` by less than one slot.
+    The rows are sorted in ranges and numbered inside each; only the counts of the ranges, a row for
+    each, meet in one place. The sorted rows are staged, as ranges are drawn from a sample.
     """
-    ahead = W.partitionBy().orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    slotted = df.withColumn("_slot", slot)
-    cuts = (
-        slotted.groupBy("_slot")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_slot", F.floor(F.coalesce(F.sum("_n").over(ahead), F.lit(0)) / F.lit(size)).alias(out))
-    )
-    return slotted.join(cuts, "_slot").drop("_slot")
+    ordered = staged(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    index = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(out, index).drop("_id", "_part", "_before")
 
 
-def dense_index(ids: DataFrame, column: str, out: str = "idx", width: int = 1 << 16, start: int = 0) -> DataFrame:
-    """Distinct ids numbered start, start+1, ... in id order.
-
-    Ids are numbered inside ranges of ``width`` values and shifted by the sizes of lower ranges, so
-    the only table ordered as a whole has one row per range.
-    """
-    distinct = ids.select(column).distinct().withColumn("_range", F.floor(F.col(column) / F.lit(width)))
-    below = W.partitionBy().orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    shifts = (
-        distinct.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_shift"))
-    )
-    inside = W.partitionBy("_range").orderBy(column)
-    return (
-        distinct.withColumn("_rn", F.row_number().over(inside))
-        .join(shifts, "_range")
-        .select(column, (F.col("_shift") + F.col("_rn") - 1 + start).cast("long").alias(out))
-    )
+def hash_batches(df: DataFrame, order: Sequence[Column], size: int, out: str = "batch") -> DataFrame:
+    """Rows in batches of exactly ``size`` (the last: the rest) in the given order, at any number of rows."""
+    return global_index(df, *order, out=out).withColumn(out, F.floor(F.col(out) / F.lit(size)))
 
 
-__all__ = ["HASH_SPACE", "competition_ranks", "dense_index", "hash_batches", "smallest", "top_n", "top_n_by"]
+def dense_index(ids: DataFrame, column: str, out: str = "idx", start: int = 0) -> DataFrame:
+    """Distinct ids numbered start, start+1, ... in id order, however they are spread."""
+    rows = global_index(ids.select(column).distinct(), F.col(column), out=out)
+    return rows.select(column, (F.col(out) + start).cast("long").alias(out))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sessionlens.config import DEFAULTS, TYPES
 from sessionlens.functions.columns import count_when, stable_hash
 from sessionlens.operators.candidates import next_item_pairs
-from sessionlens.operators.ranking import hash_batches, smallest, top_n_by
+from sessionlens.operators.ranking import global_index, hash_batches, smallest, top_n_by
 from sessionlens.operators.timeline import with_positions
 from sessionlens.sources.sinks import checkpointed
 
@@ -91,8 +91,12 @@ def session_sample(events: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def folds(df: DataFrame, n: int = DEFAULTS.folds, seed: int = 0) -> DataFrame:
-    """Fold number from the session id: rows of a session share a fold, without a shuffle."""
-    return df.withColumn("fold", F.pmod(stable_hash(F.col("session"), seed=seed), F.lit(n)))
+    """Fold number of every row: sessions, longest first, are dealt round the folds, so that these hold
+    about as many rows each; sessions of one length are dealt in random (hash) order.
+    """
+    order = [F.desc("session_length"), stable_hash(F.col("session"), seed=seed), F.col("session")]
+    dealt = global_index(group_sizes(df), *order, out="_place")
+    return df.join(dealt.select("session", (F.col("_place") % n).cast("long").alias("fold")), "session")
 
 
 def group_sizes(df: DataFrame) -> DataFrame:
@@ -120,7 +124,8 @@ def pair_negatives(pairs: DataFrame, batch_size: int = 65_536, seed: int = 0) ->
     batch = W.partitionBy("batch").orderBy(h, F.col("session"), F.col("pos"))
     whole = batch.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     wrong = F.coalesce(F.lead("aid_next").over(batch), F.first("aid_next").over(whole))
-    return hash_batches(pairs, h, batch_size).withColumn("aid_wrong", wrong).drop("batch")
+    order = [h, F.col("session"), F.col("pos")]
+    return hash_batches(pairs, order, batch_size).withColumn("aid_wrong", wrong).drop("batch")
 
 
 def kcore_round(events: DataFrame, min_session: int = 5, min_item: int = 5) -> DataFrame:
@@ -163,6 +168,11 @@ def ratio_split(events: DataFrame, parts: tuple[int, ...] = (9, 1, 0)) -> DataFr
     return with_positions(events).select("session", "aid", "ts", "type", part.cast("long").alias("part"))
 
 
+def shuffled_rows(df: DataFrame, *ids: str, seed: int = 0) -> DataFrame:
+    """The rows in seeded random order, numbered from 0 in ``place``; ``ids`` should name a row."""
+    return global_index(df, stable_hash(*[F.col(c) for c in ids], seed=seed), *[F.col(c) for c in ids], out="place")
+
+
 def interaction_matrix(events: DataFrame) -> DataFrame:
     return events.groupBy("session", "aid").agg(F.count(F.lit(1)).alias("n"))
 

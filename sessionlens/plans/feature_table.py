@@ -41,7 +41,7 @@ class Stats:
 
     @cached_property
     def popular(self) -> DataFrame:
-        return popular_candidates(self.base, popular_items(self.items, self.settings))
+        return popular_candidates(self.base, popular_items(self.base, self.settings))
 
     @cached_property
     def history(self) -> DataFrame:
@@ -59,10 +59,23 @@ def candidate_union(stats: Stats, sources: list[DataFrame]) -> DataFrame:
     return X.candidate_union(stats.history, merged)
 
 
-def candidate_features(stats: Stats, sources: list[DataFrame]) -> DataFrame:
-    """126 columns keyed by (session, aid): candidates of all sources, popular items and history."""
+def together(sources: list[DataFrame]) -> list[DataFrame]:
+    """The same rows as one staged table, for when the keys are needed before the features."""
+    return [staged(reduce(DataFrame.unionByName, sources))]
+
+
+def candidate_features(stats: Stats, sources: list[DataFrame], keys: DataFrame | None = None) -> DataFrame:
+    """Columns keyed by (session, aid): candidates of all sources, popular items and history.
+
+    With ``keys`` only those rows are worked out, not all and then cut.
+    """
+    popular, history = stats.popular, stats.history
+    if keys is not None:
+        pair = ["session", "aid"]
+        sources = [s.join(keys, pair, "left_semi") for s in sources]
+        popular, history = popular.join(keys, pair, "left_semi"), history.join(keys, pair, "left_semi")
     merged, history, sessions = staged_together(
-        X.merge_candidates(sources, stats.popular, stats.settings), stats.history, stats.sessions
+        X.merge_candidates(sources, popular, stats.settings), history, stats.sessions
     )
     union = X.candidate_union(history, merged)
     return X.candidate_features(union, sessions, stats.items, stats.settings)

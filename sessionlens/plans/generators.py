@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from sessionlens.operators import candidates as G
-from sessionlens.operators.covisit import covisit
+from sessionlens.operators.covisit import covisit, covisit_by_day
 from sessionlens.operators.neighbours import item_knn
 from sessionlens.sources.sinks import staged_together
-from sessionlens.sources.tables import explode_candidates
 
 
 def covisit_candidates(train: DataFrame, test: DataFrame, span: tuple[int, int] | None = None) -> DataFrame:
     """Three co-visitation matrices and the votes on them (session, type, aid, rank)."""
-    clicks = G.suggest_clicks(test, covisit(train, "clicks", span=span))
-    buys = G.suggest_buys(test, covisit(train, "carts_orders"), covisit(train, "buy2buy"))
-    return G.candidates_by_type(clicks, buys)
+    clicks, buys = covisit_by_day(train, span)
+    return G.candidates_by_type(G.suggest_clicks(test, clicks), G.suggest_buys(test, buys, covisit(train, "buy2buy")))
 
 
 def vector_neighbours(test: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -30,13 +28,12 @@ def sequence_job(train: DataFrame, test: DataFrame) -> DataFrame:
 def candidate_sources(train: DataFrame, test: DataFrame, vectors: DataFrame) -> list[DataFrame]:
     """All generators at once as rows (session, aid, slot, rank).
 
-    One generator stands in for each external model slot; tables of other models go in through
-    ``read_candidates`` and ``tall_source`` in the same way. The item models are independent of each
+    Slots are named after what fills them. Tables of other models go in through ``read_candidates`` and
+    ``tall_source`` under a slot of their own (``Settings.slots``). The item models are independent of each
     other and staged side by side.
     """
     clicks, buys, bought, near, model = staged_together(
-        covisit(train, "clicks"),
-        covisit(train, "carts_orders"),
+        *covisit_by_day(train),
         covisit(train, "buy2buy"),
         vector_neighbours(test, vectors),
         G.transitions(train),
@@ -45,8 +42,7 @@ def candidate_sources(train: DataFrame, test: DataFrame, vectors: DataFrame) ->
     typed = G.candidates_by_type(by_clicks, G.suggest_buys(test, buys, bought))
     return [
         G.tall_covisit(typed),
-        G.tall_source(G.suggest_clicks(test, near), "w2v"),
-        G.tall_source(G.sequence_candidates(test, model), "gru4rec"),
-        G.tall_source(explode_candidates(G.nest(by_clicks)), "narm", max_rank=30),
-        G.tall_source(G.last_item_candidates(test, near), "sasrec"),
+        G.tall_source(G.suggest_clicks(test, near), "vector_vote"),
+        G.tall_source(G.sequence_candidates(test, model), "transition"),
+        G.tall_source(G.last_item_candidates(test, near), "last_item"),
     ]

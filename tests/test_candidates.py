@@ -124,7 +124,7 @@ def test_transitions_sum_to_one(events):
 
 def test_rank_cut(spark):
     rows = spark.createDataFrame([(1, a, a) for a in range(1, 6)], "session long, aid long, rank long")
-    assert G.tall_source(rows, "narm", max_rank=3).count() == 3
+    assert G.tall_source(rows, "transition", max_rank=3).count() == 3
 
 
 def test_move_counts_equal_the_pairs(events):

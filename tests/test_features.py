@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from sessionlens.config import DAY_MS, Settings
@@ -61,21 +62,25 @@ def test_funnel_needs_a_positive_delay(spark):
 def test_feature_table_shape(spark, events):
     none = spark.createDataFrame([], "session long, aid long, slot string, rank long")
     df = candidate_features(Stats(events), [none])
-    assert len(df.columns) == 126 == len(set(df.columns))
+    assert len(df.columns) == 124 == len(set(df.columns))
     assert df.count() == df.select("session", "aid").distinct().count()
     assert df.filter(F.col("orders_rank").isNull()).count() == 0
 
 
 def test_compact_keeps_values(events):
     stats = Stats(events)
-    none = events.select("session", "aid", F.lit("w2v").alias("slot"), F.lit(1).cast("long").alias("rank")).distinct()
+    none = events.select("session", "aid", F.lit("transition").alias("slot"), F.lit(1).cast("long").alias("rank")).distinct()
     df = candidate_features(stats, [none])
     small = X.compact(df)
-    assert dict(small.dtypes)["min_day_num"] == "tinyint"
-    both = df.select("session", "aid", "clicks_rank").exceptAll(
-        small.select("session", "aid", F.col("clicks_rank").cast("long"))
-    )
-    assert both.count() == 0
+    assert dict(small.dtypes)["min_day_num"] == "smallint"
+    wide = small.select(*[F.col(n).cast(t).alias(n) for n, t in df.dtypes])
+    assert df.exceptAll(wide).count() == 0  # no value of any column is changed
+
+
+def test_compact_refuses_what_does_not_fit(spark):
+    big = spark.createDataFrame([(1, 2, 2**40)], "session long, aid long, clicks_rank long")
+    with pytest.raises(Exception, match="clicks_rank does not fit"):
+        X.compact(big).collect()
 
 
 def test_folded_copies_equal_row_level_statistics(events):

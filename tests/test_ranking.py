@@ -45,7 +45,7 @@ def test_smallest_with_an_aggregated_limit(counts):
 
 def test_top_n_by_equals_plain_window(counts):
     order = [F.desc("a"), F.asc("aid")]
-    got = K.top_n_by(counts, ["day"], order, F.col("day") * 7, F.col("aid"), ways=5)
+    got = K.top_n_by(counts, ["day"], order, F.col("day") * 7, F.col("aid"), rows=5)
     w = W.partitionBy("day").orderBy(*order)
     want = counts.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.col("day") * 7)
     assert sorted(got.select("aid").collect()) == sorted(want.select("aid").collect())

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlens.operators import candidates as G
+from sessionlens.functions.columns import stable_hash
 from sessionlens.operators import sampling as S
+from sessionlens.operators.ranking import top_n
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +93,45 @@ def test_pair_negatives_permute_the_successors(events):
 
 def test_pair_holdout_is_exact(events):
     assert S.pair_holdout(events, 50).filter("valid = 1").count() == 50
+
+
+def test_draws_are_as_independent_as_chance(spark):
+    """Pairs of items are drawn together about as often as chance says, and seeds have nothing in common."""
+    rows = spark.range(200).crossJoin(spark.range(50).withColumnRenamed("id", "aid")).withColumnRenamed("id", "session")
+    order = [stable_hash(F.col("session"), F.col("aid"))]
+    drawn = top_n(rows, ["session"], order, 10).select("session", "aid")
+    sets = {}
+    for r in drawn.collect():
+        sets.setdefault(r["session"], set()).add(r["aid"])
+    pairs = [sum({a, b} <= s for s in sets.values()) for a in range(50) for b in range(a)]
+    assert max(pairs) <= 25 and sum(p == 0 for p in pairs) <= 12  # expected: 7.3 each
+    keys = spark.range(2000).withColumnRenamed("id", "session")
+    one, two = ({r[0] for r in S.sample_keys(keys, "session", 1000, seed=s).collect()} for s in (0, 42))
+    assert len(one) == len(two) == 1000 and 430 <= len(one & two) <= 570
+
+
+def test_folds_hold_about_as_many_rows(spark):
+    rows = spark.createDataFrame([(s, i) for s in range(100) for i in range(1 + s % 7 * 5)], "session long, aid long")
+    sizes = [r["count"] for r in S.folds(rows, 5).groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and max(sizes) - min(sizes) <= 40
+
+
+def test_shuffled_rows(spark):
+    rows = spark.range(100).withColumnRenamed("id", "session")
+    one = [r["session"] for r in S.shuffled_rows(rows, "session", seed=1).orderBy("place").collect()]
+    two = [r["session"] for r in S.shuffled_rows(rows, "session", seed=2).orderBy("place").collect()]
+    assert sorted(one) == sorted(two) == list(range(100)) and one != two
+
+
+def test_kcore_needs_several_passes(spark):
+    """A chain that falls apart from its end: each pass takes one more link."""
+    rows = [(s, s + d) for s in range(6) for d in (0, 1)] + [(100, 0), (101, 0)]
+    events = spark.createDataFrame([(s, a, 0, "clicks") for s, a in rows], "session long, aid long, ts long, type string")
+    left, passes = events, 0
+    while True:
+        after = S.kcore_round(left, 2, 2).collect()
+        if len(after) == left.count():
+            break
+        left, passes = spark.createDataFrame(after, events.schema), passes + 1
+    assert passes >= 3
+    assert sorted(S.kcore(events, 2, 2).collect()) == sorted(left.collect())
