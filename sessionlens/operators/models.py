@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler, Word2Vec
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.config import UNRANKED
 from sessionlens.functions.columns import stable_hash
-from sessionlens.functions.lists import ordered_list
 from sessionlens.operators.candidates import move_counts
 from sessionlens.operators.ranking import dense_index
 from sessionlens.operators.timeline import numbered, with_positions
@@ -25,35 +25,28 @@ VECTOR = "vector"
 # ---- embeddings ----------------------------------------------------------------------------
 
 
-SEGMENT = 1000  # items of a session that Word2Vec sees at once; a longer one gives several sentences
+def window_pairs(events: DataFrame, window: int = 25) -> DataFrame:
+    """How often an item stands within ``window`` places after another in a session (aid, aid_near, n).
 
-
-def sentences(events: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """Item sequences as token lists of at most ``segment`` items; long sessions give several."""
-    placed = with_positions(events)
-    part = F.floor(F.col("pos") / segment).alias("segment")
-    lists = placed.groupBy("session", part).agg(ordered_list(F.col("pos"), F.col("aid")).alias("aids"))
-    return lists.select(F.transform("aids", lambda a: a.cast("string")).alias("tokens"))
+    Places are cut in blocks of ``window``; a row meets the rows of its own and the next block of its session,
+    so the work is linear in events and a long session spreads over as many keys as it has blocks.
+    """
+    placed = with_positions(events).select("session", "pos", "aid", F.floor(F.col("pos") / window).alias("block"))
+    near = placed.select("session", F.col("pos").alias("at"), F.col("aid").alias("aid_near"), "block")
+    ahead = F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block")
+    met = placed.select("session", "pos", "aid", ahead).join(near, ["session", "block"])
+    met = met.filter((F.col("at") > F.col("pos")) & (F.col("at") <= F.col("pos") + window))
+    return met.groupBy("aid", "aid_near").agg(F.count(F.lit(1)).alias("n"))
 
 
-def word2vec_vectors(
-    events: DataFrame, size: int = 32, window: int = 25, epochs: int = 1, parts: int = 8, seed: int = 42
+def window_vectors(
+    events: DataFrame, size: int = 32, window: int = 25, epochs: int = 10, seed: int = 42, blocks: int = 10
 ) -> DataFrame:
-    """Skip-gram item vectors (aid, vector) from item sequences; every item is in the vocabulary."""
-    learner = Word2Vec(
-        vectorSize=size,
-        windowSize=window,
-        minCount=1,
-        maxIter=epochs,
-        numPartitions=parts,
-        maxSentenceLength=SEGMENT,
-        seed=seed,
-        inputCol="tokens",
-        outputCol=VECTOR,
-    )
-    vectors = learner.fit(sentences(events)).getVectors()
-    as_floats = vector_to_array(VECTOR, "float32").alias(VECTOR)
-    return vectors.select(F.col("word").cast("long").alias("aid"), as_floats)
+    """Item vectors (aid, vector) from which items stand near each other, in either order."""
+    pairs = window_pairs(events, window)
+    both = pairs.union(pairs.select("aid_near", "aid", "n")).groupBy("aid", "aid_near").agg(F.sum("n").alias("n"))
+    by_item, _ = _factors(both, "aid", "aid_near", "n", size, epochs, seed, blocks)
+    return by_item
 
 
 def _factors(
@@ -137,33 +130,45 @@ class PairwiseRanker:
     """Linear ranker: a positive should score above a negative of its session.
 
     Each negative is set against one positive, picked by hash, so the number of training pairs is
-    the number of negatives and not positives times negatives.
+    the number of negatives and not positives times negatives. With ``ndcg`` a second fit weighs a pair by
+    what swapping its rows would change in NDCG at ``ndcg``, in the order of the first fit.
     """
 
-    def __init__(self, epochs: int = 50, reg: float = 0.01):
+    def __init__(self, epochs: int = 50, reg: float = 0.01, ndcg: int | None = None):
         self.learner = LogisticRegression(maxIter=epochs, regParam=reg, fitIntercept=False)
+        self.ndcg = ndcg
 
     @staticmethod
-    def pairs(rows: DataFrame) -> DataFrame:
+    def pairs(rows: DataFrame, ndcg: int | None = None) -> DataFrame:
+        """(label, features, weight); weights are 1, or come from the column ``place`` of the rows."""
+        rows = rows if ndcg else rows.withColumn("place", F.lit(1))
+        gain = F.when(F.col("place") <= (ndcg or 1), F.lit(1.0) / F.log2(F.col("place") + 1)).otherwise(0.0)
+        rows = rows.withColumn("_gain", gain)
         positives = rows.filter(F.col("gt") == 1)
         counts = positives.groupBy("session").agg(F.count(F.lit(1)).alias("_p"))
-        by_id = numbered(positives.select("session", "aid", F.col("features").alias("_pos")), "aid", slice_width=1000)
-        positives = by_id.select("session", F.col("pos").alias("_at"), "_pos")
+        by_id = numbered(positives.select("session", "aid", F.col("features").alias("_pos"), F.col("_gain").alias("_pos_gain")), "aid")
+        positives = by_id.select("session", F.col("pos").alias("_at"), "_pos", "_pos_gain")
         negatives = rows.filter(F.col("gt") == 0).join(counts, "session")
         h = stable_hash(F.col("session"), F.col("aid"), seed=17)
-        at = F.pmod(h, F.col("_p")).alias("_at")
-        negatives = negatives.select("session", at, F.col("features").alias("_neg"), h.alias("_h"))
+        at = F.pmod(F.shiftright(h, 1), F.col("_p")).alias("_at")
+        negatives = negatives.select("session", at, F.col("features").alias("_neg"), "_gain", h.alias("_h"))
         met = negatives.join(positives, ["session", "_at"])
         sign = F.when(F.col("_h") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
         gap = F.zip_with(vector_to_array("_pos"), vector_to_array("_neg"), lambda p, n: p - n)
-        signed = met.select(sign.alias("_s"), gap.alias("_g"))
+        weight = F.lit(1.0) if ndcg is None else F.abs(F.col("_pos_gain") - F.col("_gain")) + 1e-3
+        signed = met.select(sign.alias("_s"), gap.alias("_g"), weight.alias("weight"))
         return signed.select(
             (F.col("_s") > 0).cast("double").alias("label"),
             array_to_vector(F.expr("transform(_g, x -> x * _s)")).alias("features"),
+            "weight",
         )
 
     def fit(self, train: DataFrame, valid: DataFrame | None = None) -> PairwiseRanker:
         self.model = self.learner.fit(self.pairs(train))
+        if self.ndcg:
+            order = W.partitionBy("session").orderBy(F.desc("score"), F.asc("aid"))
+            placed = self.score(train).withColumn("place", F.row_number().over(order)).drop("score")
+            self.model = self.learner.copy({self.learner.weightCol: "weight"}).fit(self.pairs(placed, self.ndcg))
         return self
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -176,7 +181,8 @@ class PairwiseRanker:
 class BoostedRanker:
     """Boosted trees on 0/1 labels, by squared error or by log loss.
 
-    With validation rows, rounds stop when the validation error no longer improves.
+    With validation rows, rounds stop when the validation error no longer improves; ``best_round`` is the
+    number of rounds kept.
     """
 
     def __init__(
@@ -208,6 +214,7 @@ class BoostedRanker:
             rows = rows.unionByName(valid.select(train.columns).withColumn("_valid", F.lit(True)))
             learner = learner.copy({learner.validationIndicatorCol: "_valid"})
         self.model = learner.fit(rows)
+        self.best_round = self.model.getNumTrees
         return self
 
     def score(self, rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,7 @@ from sessionlens.config import DEFAULTS
 from sessionlens.functions.vectors import angular, matrix, normalise
 from sessionlens.operators.blocks import block_join
 from sessionlens.operators.ranking import top_n
+from sessionlens.sources.sinks import staged
 
 _OUT = "aid_x long, aid_y long, dist double"
 
@@ -63,21 +66,32 @@ def item_knn(
     return top_n(near, ["aid_x"], [F.asc("dist"), F.asc("aid_y")], k, out="n")
 
 
+def plane_signs(size: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    """Random planes of components 1 and -1 (size, tables, bits), from md5 so that SQL can draw the same."""
+    even = [
+        int(hashlib.md5(f"{seed}:{t}:{b}:{d}".encode()).hexdigest()[0], 16) % 2 == 0
+        for d in range(size)
+        for t in range(tables)
+        for b in range(bits)
+    ]
+    return np.where(even, 1.0, -1.0).reshape(size, tables, bits)
+
+
 def _signature_kernel(bits: int, tables: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
         for batch in batches:
-            unit = normalise(matrix(batch.column("vector")))
-            if not len(unit):
+            rows = matrix(batch.column("vector"))
+            if not len(rows):
                 continue
-            planes = np.random.default_rng(seed).standard_normal((unit.shape[1], tables, bits))
-            signs = np.einsum("nd,dtb->ntb", unit, planes) > 0
-            codes = signs @ (1 << np.arange(bits))
+            planes = plane_signs(rows.shape[1], tables, bits, seed) if planes is None else planes
+            codes = (np.einsum("nd,dtb->ntb", rows, planes) > 0) @ (1 << np.arange(bits))
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("aid"),
                         batch.column("vector").cast(pa.list_(pa.float32())),
-                        pa.array(np.full(len(unit), t, dtype=np.int32)),
+                        pa.array(np.full(len(rows), t, dtype=np.int32)),
                         pa.array(codes[:, t].astype(np.int64)),
                     ],
                     ["aid", "vector", "tbl", "code"],
@@ -86,18 +100,29 @@ def _signature_kernel(bits: int, tables: int, seed: int):
     return run
 
 
+def lsh_bits(items: int, per_bucket: int) -> int:
+    """Planes of a table, so that a bucket holds about ``per_bucket`` items whatever the catalogue."""
+    return max(1, math.ceil(math.log2(max(2, items) / per_bucket)))
+
+
 def item_knn_lsh(
     vectors: DataFrame,
+    queries: DataFrame | None = None,
     k: int = DEFAULTS.neighbours,
-    bits: int = 8,
-    tables: int = 6,
+    per_bucket: int = 256,
+    tables: int = 12,
     block: int = 2048,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate neighbours for large catalogues: exact search among items that share the side of
-    ``bits`` random planes in one of ``tables`` tries. Crowded buckets are split in blocks, not cut.
+    """Neighbours (aid_x, aid_y, dist, n) of the items in ``queries`` (default: all items): exact search among
+    the items that share the side of all planes in one of ``tables`` tries.
+
+    Buckets grow in number with the catalogue, not in size, so the work is in proportion to it. Crowded
+    buckets are split in blocks, not cut. ``per_bucket`` and ``tables`` trade work for recall.
     """
     schema = "aid long, vector array<float>, tbl int, code long"
-    coded = vectors.select("aid", "vector").mapInArrow(_signature_kernel(bits, tables, seed), schema)
-    near = _nearest(coded, coded, ["tbl", "code"], k, block).distinct()
+    bits = lsh_bits(vectors.count(), per_bucket)
+    coded = staged(vectors.select("aid", "vector").mapInArrow(_signature_kernel(bits, tables, seed), schema))
+    wanted = coded if queries is None else coded.join(queries.select("aid").distinct(), "aid", "left_semi")
+    near = _nearest(wanted, coded, ["tbl", "code"], k, block).distinct()
     return top_n(near, ["aid_x"], [F.asc("dist"), F.asc("aid_y")], k, out="n")

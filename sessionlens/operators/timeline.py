@@ -1,9 +1,10 @@
 """Positions of events inside sessions of any length.
 
 The canonical order of a session is (ts, aid, type); "most recent first" is its exact reverse.
-A window over a whole session would put a bot's session in one task. Here rows are ordered inside
-(session, time slice) groups, and a summary with one row per slice carries counts, bounds and the
-next item across slices. The summary of a session has at most one row per time slice.
+A window over a whole session would put a bot's session in one task. Here all rows are dealt in ranges of
+(session, ts, aid, type), as many as the data ask for, and rows are ordered inside (session, range)
+groups; a summary with one row per group carries counts, bounds and the next item across ranges. However
+many events a session has, and however close together, no group is larger than a range.
 
 Copies of an event are folded into one row with a count before anything is ordered, so that an event
 logged over and over stays one row in its group. ``event_runs`` keeps them folded, which is enough for
@@ -18,22 +19,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICE_MS = 15 * 60 * 1000
+from sessionlens.sources.sinks import staged
+
 RUN_BLOCK = 1 << 16
 
 
-def _placed(rows: DataFrame, key: str, at: str, ties: Sequence[str], slice_width: int) -> DataFrame:
+def _placed(rows: DataFrame, key: str, at: str, ties: Sequence[str]) -> DataFrame:
     """Adds pos, length, start_ts, end_ts and next_aid to rows that stand for ``n`` events each.
 
-    The first row of each slice carries the summary of the slice; both uses of the ordered rows
-    read one shuffle.
+    The ranges are staged, as they are drawn from a sample. The first row of each (key, range) carries the
+    summary of the group; both uses of the ordered rows read one shuffle.
     """
+    rows = staged(rows.repartitionByRange(key, at, *ties).withColumn("_slice", F.spark_partition_id()))
     slice_ = W.partitionBy(key, "_slice")
     inside = slice_.orderBy(at, *ties)
     ahead = F.sum("n").over(inside.rowsBetween(W.unboundedPreceding, -1))
     rows = (
-        rows.withColumn("_slice", F.floor(F.col(at) / F.lit(slice_width)))
-        .withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
+        rows.withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
         .withColumn("_lead", F.lead("aid").over(inside))
     )
 
@@ -58,14 +60,14 @@ def _placed(rows: DataFrame, key: str, at: str, ties: Sequence[str], slice_width
     )
 
 
-def event_runs(events: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def event_runs(events: DataFrame) -> DataFrame:
     """Distinct events with their number ``n``, the place ``pos`` of the first copy (0 = oldest event),
     the session's length, start_ts and end_ts, and the item after the last copy (next_aid)."""
     runs = events.groupBy("session", "aid", "ts", "type").agg(F.count(F.lit(1)).alias("n"))
-    return _placed(runs, "session", "ts", ["aid", "type"], slice_ms)
+    return _placed(runs, "session", "ts", ["aid", "type"])
 
 
-def with_positions(events: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
+def with_positions(events: DataFrame) -> DataFrame:
     """Every event with pos (0 = oldest), pos_from_end (0 = newest), length, start_ts, end_ts, next_aid.
 
     Copies are unfolded in two steps, so that no array grows with their number.
@@ -73,7 +75,7 @@ def with_positions(events: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     block = F.lit(RUN_BLOCK)
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))
     last = F.least(F.col("n"), (F.col("_b") + 1) * block) - 1
-    rows = event_runs(events, slice_ms).withColumn("_b", F.explode(blocks))
+    rows = event_runs(events).withColumn("_b", F.explode(blocks))
     rows = rows.withColumn("_i", F.explode(F.sequence(F.col("_b") * block, last)))
     follower = F.when(F.col("_i") < F.col("n") - 1, F.col("aid")).otherwise(F.col("next_aid"))
     return (
@@ -84,9 +86,9 @@ def with_positions(events: DataFrame, slice_ms: int = SLICE_MS) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, at: str, key: str = "session", slice_width: int = SLICE_MS) -> DataFrame:
+def numbered(rows: DataFrame, at: str, key: str = "session") -> DataFrame:
     """Rows that are unique in (key, at, aid), numbered from both ends by (at, aid)."""
-    placed = _placed(rows.withColumn("n", F.lit(1)), key, at, ["aid"] if at != "aid" else [], slice_width)
+    placed = _placed(rows.withColumn("n", F.lit(1)), key, at, ["aid"] if at != "aid" else [])
     return placed.withColumn("pos_from_end", F.col("length") - F.col("pos") - 1).drop(
         "n", "start_ts", "end_ts", "next_aid"
     )

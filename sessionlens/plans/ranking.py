@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from sessionlens.config import DEFAULTS
 from sessionlens.functions.columns import round6
@@ -33,13 +35,19 @@ def prepared(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 def fit_folds(
     rows: DataFrame, make: Callable[[], object], n: int = DEFAULTS.folds, single: bool = False
 ) -> list[tuple[object, DataFrame]]:
-    """(model, scored held-out rows) per fold; only the first fold if ``single``."""
-    out = []
-    for fold in range(1 if single else n):
+    """(model, scored held-out rows) per fold; only the first fold if ``single``. Folds are fitted side by side."""
+
+    def one(fold: int) -> tuple[object, DataFrame]:
         held = rows.filter(F.col("fold") == fold)
         model = make().fit(rows.filter(F.col("fold") != fold), held)
-        out.append((model, model.score(held).select(*KEYS, "gt", "fold", "score")))
-    return out
+        return model, model.score(held).select(*KEYS, "gt", "fold", "score")
+
+    return _side_by_side(rows, one, range(1 if single else n))
+
+
+def _side_by_side(df: DataFrame, work: Callable, items: Sequence) -> list:
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(work), items))
 
 
 def out_of_fold_recall(scored: Sequence[DataFrame], labels: DataFrame, type_: str) -> DataFrame:
@@ -67,16 +75,29 @@ def cross_validate(
     single: bool = False,
 ) -> tuple[dict[str, list], DataFrame]:
     """Models per type and the out-of-fold recalls of all types."""
-    models, recalls = {}, []
-    for type_, rows in training.items():
-        hits = labels.filter(F.col("type") == type_).select(*KEYS, F.lit(1.0).alias("gt"))
-        labeled = rows.join(hits, list(KEYS), "left").withColumn("gt", F.coalesce("gt", F.lit(0.0)))
-        fitted = fit_folds(prepared(labeled, names), make, single=single)
-        models[type_] = [m for m, _ in fitted]
-        recalls.append(out_of_fold_recall([s for _, s in fitted], labels, type_))
+    fitted = fit_types(training, labels, make, names, single)
+    models = {type_: [m for m, _ in pairs] for type_, pairs in fitted.items()}
+    recalls = [out_of_fold_recall([s for _, s in pairs], labels, type_) for type_, pairs in fitted.items()]
     return models, reduce(DataFrame.unionByName, recalls)
 
 
+def fit_types(
+    training: dict[str, DataFrame],
+    labels: DataFrame,
+    make: Callable[[], object],
+    names: Sequence[str],
+    single: bool = False,
+) -> dict[str, list[tuple[object, DataFrame]]]:
+    """(model, scored held-out rows) of every fold of every type; types are worked on side by side."""
+
+    def one(type_: str) -> list[tuple[object, DataFrame]]:
+        hits = labels.filter(F.col("type") == type_).select(*KEYS, F.lit(1.0).alias("gt"))
+        labeled = training[type_].join(hits, list(KEYS), "left").withColumn("gt", F.coalesce("gt", F.lit(0.0)))
+        return fit_folds(prepared(labeled, names), make, single=single)
+
+    return dict(zip(training, _side_by_side(labels, one, list(training))))
+
+
 def fold_scores(features: DataFrame, models: dict[str, list], names: Sequence[str]) -> DataFrame:
     """Scores of every fold model on all rows (session, aid, type, fold, score)."""
     rows = vectorised(features, names, KEYS)

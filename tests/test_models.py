@@ -3,7 +3,8 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.ml.feature import Word2VecModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.operators import models as Z
@@ -61,9 +62,9 @@ def test_missing_values_are_flagged(training):
 
 
 def test_embeddings(events):
-    vectors = Z.word2vec_vectors(events, size=4, parts=1)
+    vectors = Z.window_vectors(events, size=4, epochs=2)
     items = events.select("aid").distinct().count()
-    assert vectors.count() == items
+    assert vectors.count() == items and len(vectors.first()["vector"]) == 4
     sessions, by_item = Z.interaction_factors(interaction_matrix(events), rank=3, epochs=2)
     assert by_item.count() == items
     assert len(by_item.first()["vector"]) == 3
@@ -72,12 +73,36 @@ def test_embeddings(events):
     assert Z.next_item_factors(events, rank=2, epochs=1).count() > 0
 
 
-def test_model_files(events, tmp_path):
-    from pyspark.ml.feature import Word2Vec
+def test_model_files(training, tmp_path):
+    ranker = Z.PairwiseRanker(epochs=3).fit(Z.vectorised(training, ["x"], ["session", "aid", "gt"]))
+    sinks.save_model(ranker.model, str(tmp_path / "m"))
+    assert list(LogisticRegressionModel.load(str(tmp_path / "m")).coefficients) == list(ranker.model.coefficients)
 
-    model = Word2Vec(vectorSize=2, minCount=1, inputCol="tokens", outputCol="v", numPartitions=1).fit(Z.sentences(events))
-    sinks.save_model(model, str(tmp_path / "m"))
-    assert Word2VecModel.load(str(tmp_path / "m")).getVectors().count() > 0
+
+def test_window_pairs_of_a_long_session(spark):
+    rows = [(1, i % 7, i, "clicks") for i in range(120)] + [(2, 5, 0, "clicks")]
+    got = {(r["aid"], r["aid_near"]): r["n"] for r in Z.window_pairs(spark.createDataFrame(rows, "session long, aid long, ts long, type string")).collect()}
+    want = {}
+    for i in range(120):
+        for j in range(i + 1, min(120, i + 26)):
+            want[i % 7, j % 7] = want.get((i % 7, j % 7), 0) + 1
+    assert got == want
+
+
+def test_pairs_that_matter_for_the_first_places_weigh_more(training):
+    rows = Z.vectorised(training, ["x"], ["session", "aid", "gt"])
+    ranker = Z.PairwiseRanker(ndcg=20).fit(rows)
+    order = W.partitionBy("session").orderBy(F.desc("score"), "aid")
+    placed = ranker.score(rows).withColumn("place", F.row_number().over(order)).drop("score")
+    weights = [r["weight"] for r in Z.PairwiseRanker.pairs(placed, 20).select("weight").collect()]
+    assert min(weights) >= 1e-3 and max(weights) <= 1.001 and len({round(w, 6) for w in weights}) > 5
+    assert R.auc(ranker.score(rows)) > 0.9
+
+
+def test_boosting_stops_at_its_best_round(training):
+    rows = R.prepared(training, ["noise"])  # nothing to learn
+    (model, _), *_ = R.fit_folds(rows, lambda: Z.BoostedRanker(rounds=20, depth=2), n=2)
+    assert 1 <= model.best_round < 20
 
 
 def test_folds_of_training_rows(training):

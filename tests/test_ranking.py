@@ -62,9 +62,39 @@ def test_stable_hash_does_not_overflow(spark):
     assert big.select(stable_hash("x" and F.col("x"), F.col("x"), F.col("x"))).first()[0] >= 0
 
 
-@pytest.mark.parametrize("slice_ms", [1, 1_800_000, 7_200_000, 10**15])
-def test_positions_equal_a_whole_session_window(events, slice_ms):
-    got = with_positions(events, slice_ms=slice_ms)
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_positions_equal_a_whole_session_window(spark, events, parts):
+    """Without merging of small ranges, so that sessions do lie in several."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        _positions_equal_a_window(events)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_a_session_inside_one_minute_is_split(spark):
+    """A third of all rows in one session and one minute: no (session, range) group has more than its share."""
+    hot = spark.range(20_000).select(F.lit(1).cast("long").alias("session"), F.col("id").alias("aid"), (F.col("id") % 60_000).alias("ts"), F.lit("clicks").alias("type"))
+    rest = spark.range(40_000).select((2 + F.col("id") % 2000).alias("session"), (F.col("id") % 50).alias("aid"), F.col("id").alias("ts"), F.lit("carts").alias("type"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        rows = hot.union(rest).withColumn("n", F.lit(1))
+        ranges = rows.repartitionByRange("session", "ts", "aid", "type").groupBy("session", F.spark_partition_id()).count()
+        assert ranges.agg(F.max("count")).first()[0] < 5000
+        placed = with_positions(hot.union(rest)).filter("session = 1")
+        assert placed.filter(F.col("pos") != F.col("aid")).count() == 0 and placed.count() == 20_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def _positions_equal_a_window(events):
+    got = with_positions(events)
     w = W.partitionBy("session").orderBy("ts", "aid", "type")
     whole = W.partitionBy("session")
     want = events.select(
