@@ -183,7 +183,7 @@ def _assemble(parts: pd.DataFrame) -> pd.DataFrame:
     if parts["segment"].tolist() != list(range(1, len(parts) + 1)) or pd.isna(last["total"]) or int(last["total"]) != len(message):
         raise ValueError(f"segments of record {last['origin']} are missing")
     first = parts.iloc[[0]].copy()
-    first["payload"] = [decoded(message)]
+    first["payload"] = [decoded(message) if first["record_type"].iloc[0] == "response" else None]
     return first[["page_id", "url", "record_type", "record_id", "refers_to", "payload_digest", "payload"]]
 
 
