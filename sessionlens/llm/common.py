@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sessionlens.sources.sinks import drop_staged, staged
 
 WORD_SPACE = "[ \\t-\\r]+"
 SHINGLE = 5
+COMPONENT_ROWS = 200_000  # links in a file
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -68,9 +68,11 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
 
 def unpacked(rows: DataFrame, **changed: Column) -> DataFrame:
     """The columns inside ``row``, some of them replaced or, if they are new, appended."""
-    names = rows.schema["row"].dataType.names
-    kept = [changed.get(c, F.col("row").getField(c)).alias(c) for c in names]
-    return rows.select(*kept, *[v.alias(c) for c, v in changed.items() if c not in names])
+    names, own = rows.schema["row"].dataType.names, {c: f"_new{i}" for i, c in enumerate(changed)}
+    # In two steps: beside new columns named like old ones, Spark may take one for the other.
+    rows = rows.select("row", *[v.alias(own[c]) for c, v in changed.items()])
+    kept = [rows[own[c]].alias(c) if c in own else rows["row"].getField(c).alias(c) for c in names]
+    return rows.select(*kept, *[rows[own[c]].alias(c) for c in own if c not in names])
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[np.frombuffer(_LOWER, np.uint8)]
@@ -145,37 +147,50 @@ def components(links: DataFrame) -> DataFrame:
     Every pass joins each node to its smallest neighbour, follows the joins twice and replaces the links by
     those between what was joined; it at least halves the nodes, so the number of passes is logarithmic.
     Only minima are aggregated, which combine before the shuffle: a node with very many links is no
-    bottleneck. Null ends and loops don't count. Every pass is written out, which cuts the lineage.
+    bottleneck. Null ends and loops don't count. Every pass is written out, which cuts the lineage, in as many
+    files as the number of links asks for.
     """
     links = staged(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    parts = 1 + links.count() // COMPONENT_ROWS
+
+    def kept(df: DataFrame) -> DataFrame:
+        return staged(df.coalesce(parts))
+
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    roots = staged(nodes.withColumn("root", F.col("node")))
+    roots = kept(nodes.withColumn("root", F.col("node")))
     while not links.isEmpty():
         both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
         near = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        first = staged(near)
+        first = kept(near)
         step = first.alias("x").join(first.alias("y"), F.col("x.p") == F.col("y.a"))
-        parent = staged(step.select(F.col("x.a").alias("node"), F.col("y.p").alias("p")))
+        parent = kept(step.select(F.col("x.a").alias("node"), F.col("y.p").alias("p")))
         left = links.join(parent.select(F.col("node").alias("a"), F.col("p").alias("pa")), "a")
         right = left.join(parent.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
-        onward = staged(right.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        onward = kept(right.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         moved = roots.join(parent.select(F.col("node").alias("root"), "p"), "root", "left")
-        onward_roots = staged(moved.select("node", F.coalesce("p", "root").alias("root")))
+        onward_roots = kept(moved.select("node", F.coalesce("p", "root").alias("root")))
         drop_staged(links, roots, first, parent)
         links, roots = onward, onward_roots
     return roots
 
 
-def global_index(df: DataFrame, *by: Column) -> DataFrame:
-    """``df`` with ``index``, its place from 0 in the order of ``by``, which should leave no ties.
-
-    The rows are sorted in ranges and numbered inside each; only the counts of the ranges meet in one place.
-    """
-    ordered = staged(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    rows = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row per range
-    index = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("index", index).drop("_id", "_part", "_before")
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal ``keys`` (whole numbers, not null) in a sorted partition, each as one batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = pa.concat_batches([held, batch]) if held is not None else batch
+        columns = [batch.column(k).to_numpy() for k in keys]
+        starts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist()]
+        for a, b in zip(starts, starts[1:]):
+            yield batch.slice(a, b - a)
+        held = batch.slice(starts[-1])
+    if held is not None:
+        yield held
+
+
+def number_lists(column: pa.ListArray) -> list[np.ndarray]:
+    """A list column of whole numbers as arrays of uint64."""
+    ends = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64), (ends[1:-1] - ends[0]))

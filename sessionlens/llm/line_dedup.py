@@ -24,6 +24,7 @@ from sessionlens.llm.common import keyed, same_document, text_key, unpacked, wor
 from sessionlens.sources.sinks import drop_staged, staged
 
 MIN_WORDS = 50
+FILE_ROWS = 500_000  # of the tables in between
 BLANK = "[ \\t-\\r]+"
 DOC = ["doc_id", "key"]
 
@@ -46,14 +47,14 @@ def line_sequences(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.select(*DOC, F.col("x.pos").alias("pos"), "seq", word_count(line).alias("words"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
-def _ranks(rows: DataFrame, by: list[str]) -> DataFrame:
+def _ranks(rows: DataFrame, by: list[str], parts: int) -> DataFrame:
     """doc_id, key, seq, rank for rows whose ``by`` occurs again; ranks order ``by`` over all rows.
 
     Only the distinct values are sorted, in ranges; the increasing row id of a sorted table is the rank.
     """
     again = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     ranked = staged(again.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
-    return staged(rows.join(ranked, by).select(*DOC, "seq", "rank"))
+    return staged(rows.join(ranked, by).select(*DOC, "seq", "rank").coalesce(parts))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -77,14 +78,15 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     lines = lines.withColumn("behind", F.when(F.min("begin").over(behind) <= F.col("end") - min_words, F.count("*").over(behind)))
     lines = staged(lines.select(*DOC, "pos", "seq", "part", "ahead", "behind", "h1", "h2"))
 
-    deepest = lines.agg(F.max(F.greatest("ahead", "behind"))).first()[0] or 0
-    levels = [_ranks(lines.select(*DOC, "seq", "h1", "h2"), ["h1", "h2"])]
+    rows, deepest = lines.agg(F.count("*"), F.max(F.greatest("ahead", "behind"))).first()
+    parts, deepest = 1 + rows // FILE_ROWS, deepest or 0
+    levels = [_ranks(lines.select(*DOC, "seq", "h1", "h2"), ["h1", "h2"], parts)]
     while 2 ** len(levels) <= deepest:  # at most log2(min_words) times: a line has a word at least
         step = 2 ** (len(levels) - 1)
         last = levels[-1].withColumnRenamed("rank", "r1")
         second = last.select(*DOC, (F.col("seq") - step).alias("seq"), F.col("r1").alias("r2"))
         pairs = _same(last, second, ["seq"]).select(*DOC, "seq", "r1", "r2")
-        levels.append(_ranks(pairs, ["r1", "r2"]))
+        levels.append(_ranks(pairs, ["r1", "r2"], parts))
 
     starts = lines.where("ahead is not null").select(*DOC, "seq", F.col("ahead").alias("depth"))
     ends = lines.where("behind is not null").select(*DOC, (F.col("seq") - F.col("behind") + 1).alias("seq"), F.col("behind").alias("depth"))
@@ -96,14 +98,14 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         ranks = own if ranks is None else ranks.union(own)
     named = _same(windows, ranks.withColumnRenamed("rank", "first"), ["seq", "level"])
     named = _same(named, ranks.select(*DOC, "level", F.col("seq").alias("tail"), F.col("rank").alias("last")), ["tail", "level"])
-    named = staged(named.select(*DOC, "seq", "depth", "first", "last"))
+    named = staged(named.select(*DOC, "seq", "depth", "first", "last").coalesce(parts))
     interval = ["depth", "first", "last"]
     heads = named.groupBy(*interval).agg(F.min(_order("seq")).alias("head"), F.count("*").alias("n")).where("n > 1")
     later = named.join(heads.drop("n"), interval).where(_order("seq") != F.col("head"))
     cut = later.select(*DOC, F.explode(F.expr("sequence(seq, seq + cast(depth as int) - 1)")).alias("seq")).distinct()
     cut = _same(cut, lines.select(*DOC, "seq", "pos"), ["seq"])
     cut = cut.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy(*DOC).orderBy("seq")))
-    out = staged(cut.groupBy(*DOC, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"), F.count("*").alias("lines")).drop("run"))
+    out = staged(cut.groupBy(*DOC, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"), F.count("*").alias("lines")).drop("run").coalesce(parts))
     drop_staged(lines, named, *levels)
     return out
 

@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import global_index, keyed, mixed, same_document, text_key, unpacked, word_count
+from sessionlens.llm.common import keyed, mixed, same_document, text_key, unpacked, word_count
+from sessionlens.operators.ranking import global_index
 from sessionlens.sources.sinks import staged
 
 WEIGHTS = (5, 2, 1)

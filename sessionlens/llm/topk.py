@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sessionlens.llm.common import global_index, list_array, slices
+from sessionlens.llm.common import list_array, slices
+from sessionlens.operators.ranking import global_index
 from sessionlens.sources.sinks import staged
 
 SCALE = 1024
