@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from sessionlens.llm.common import components, keyed, list_array, same_document, shingle_hashes, slices, text_key, unpacked, word_hashes
+from sessionlens.llm.common import components, groups, keyed, list_array, number_lists, same_document, shingle_hashes, slices, text_key, unpacked, word_hashes
 from sessionlens.sources.sinks import drop_staged, staged
 
 NUM, DEN = 3, 4  # the similarity, as a fraction
@@ -36,7 +37,7 @@ COMMON = 1000  # a shingle in more than one of so many documents is common
 COMMON_MOST = 1 << 18  # bound of the broadcast list of common shingles; the list only orders
 CHUNK = 1 << 22  # shingles counted at a time
 FILTER_BITS = 25  # the member filter has 2^25 bits, 4 MB, at any size
-BLOCK_ROWS, BLOCK_TOKENS = 512, 1 << 21
+BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 22  # 32 MB of shingles
 ROOT_BITS = 4096
 
 _SETS = "doc_id long, key long, n long, cid long, kind int"
@@ -276,26 +277,41 @@ def _arrays(column: pd.Series) -> list[np.ndarray]:
     return [np.asarray(x, np.int64).view(np.uint64) for x in column]
 
 
-def _frame(links, tree=None, block=None, summary=(None,) * 4) -> pd.DataFrame:
-    out = pd.DataFrame({"a": pd.Series([x for x, _ in links], dtype="Int64"), "b": pd.Series([x for _, x in links], dtype="Int64")})
-    names = ("tree", "block", "low", "high", "slack", "bits")
-    if tree is None:
-        return out.assign(**dict.fromkeys(names))
-    return pd.concat([out, pd.DataFrame([dict(zip(names, (tree, block, *summary)))])], ignore_index=True)[["a", "b", *names]]
-
-
-def _within(block: pd.DataFrame) -> pd.DataFrame:
-    """Links that span the components of a block, and the block's root."""
-    block = block.drop_duplicates("cid").sort_values(["n", "cid"])
-    cids, tokens = block["cid"].tolist(), _arrays(block["tokens"])
-    joined, tree = _Joined(cids), _Tree(tokens, _width(tokens))
-    hub = cids.index(block["tree"].iloc[0]) if block["tree"].iloc[0] in cids else 0
-    for i in range(len(cids)):  # near copies are mostly linked to the class that the tree is named after
-        if i != hub and linked(tokens[i], tokens[hub]):
-            joined.join(hub, i)
-    _descend(tree, tree, tokens, 0, joined)
-    low, high, slack, bits = (x[0] for x in _Tree(tokens, ROOT_BITS).levels[-1])
-    return _frame([(cids[i], cids[j]) for i, j in joined.links], block["tree"].iloc[0], block["block"].iloc[0], (low, high, slack, bits.tobytes()))
+def _frame(links: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block the links that span its components, and its root if its tree has other blocks."""
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        types = [*[pa.int64()] * 7, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in _LINKS.split(", ")])
+
+    for block in groups(batches, ["tree", "block"]):
+        cids, first = np.unique(block.column("cid").to_numpy(), return_index=True)
+        lists = number_lists(block.column("tokens"))
+        order = np.lexsort((cids, [len(lists[i]) for i in first]))
+        cids, tokens = cids[order].tolist(), [lists[i] for i in first[order]]
+        tree, number = block.column("tree")[0].as_py(), block.column("block")[0].as_py()
+        joined = _Joined(cids)
+        hub = cids.index(tree) if tree in cids else 0
+        for i in range(len(cids)):  # near copies are mostly linked to the class that the tree is named after
+            if i != hub and linked(tokens[i], tokens[hub]):
+                joined.join(hub, i)
+        if len(cids) > 2 and len(joined.links) < len(cids) - 1:
+            nodes = _Tree(tokens, _width(tokens))
+            _descend(nodes, nodes, tokens, 0, joined)
+        out += [(cids[i], cids[j], *[None] * 6) for i, j in joined.links]
+        if block.column("split")[0].as_py():
+            low, high, slack, bits = (x[0] for x in _Tree(tokens, ROOT_BITS).levels[-1])
+            out.append((None, None, tree, number, int(low), int(high), int(slack), bits.tobytes()))
+        if len(out) > 1024:
+            yield flush()
+            out = []
+    if out:
+        yield flush()
 
 
 def _across(pair: pd.DataFrame) -> pd.DataFrame:
@@ -349,34 +365,31 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     # What is linked shares most of its counted shingles with others. Repeated classes repeat their rows.
     members = hung.groupBy("cid", "n").agg(F.collect_set("tree").alias("trees"), F.sum("shared").alias("shared"))
     enough = F.expr("shared >= least(n, n - ceil(n * 0.75) + 1 + n div 8) - (n - ceil(n * 0.75))")
-    members = staged(members.where(enough).select("cid", "n", F.explode("trees").alias("tree")))
-
-    word = F.expr(f"(cid & {(1 << FILTER_BITS) - 1}) >> 6")
-    bit = F.expr("shiftleft(1L, cast(cid & 63 as int))")
-    words = members.select("cid").distinct().groupBy(word.alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    tokens = texts.mapInArrow(_member_tokens(bits), _TOKENS).groupBy("cid").agg(F.first("tokens").alias("tokens"))
+    members = staged(members.where(enough).select("cid", "n", F.array_min("trees").alias("lowest"), F.explode("trees").alias("tree")))
 
     # Members of a tree in blocks, by size and then at random; in each block the class that names the tree.
+    # Linked sets are at most 3 classes of size apart; who has no such neighbour on a tree is linked to nothing there.
     sized = members.withColumn("size", F.floor(F.log("n") * 10).cast("long"))
-    counts = sized.groupBy("tree", "size").agg(F.count("*").alias("rows"), F.sum("n").alias("volume"))
+    around = Window.partitionBy("tree").orderBy("size").rangeBetween(-3, 3)
+    counts = sized.groupBy("tree", "size").agg(F.count("*").alias("rows"), F.sum("n").alias("volume"), F.min("lowest").alias("l0"), F.max("lowest").alias("l1"))
+    counts = counts.withColumn("near", F.sum("rows").over(around)).where("near > 1").drop("near")
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("volume") / BLOCK_TOKENS))
-    whole = counts.groupBy("tree").agg(F.sum("rows").alias("all_rows"), F.sum("volume").alias("all_volume"))
+    whole = counts.groupBy("tree").agg(F.sum("rows").alias("all_rows"), F.sum("volume").alias("all_volume"), F.min("l0").alias("l0"), F.max("l1").alias("l1"))
+    whole = whole.where("all_rows > 1 and (l0 <> l1 or l0 = tree)")  # else all its members hang on one other tree too
     small = (F.col("all_rows") <= BLOCK_ROWS) & (F.col("all_volume") <= BLOCK_TOKENS)
-    plan = counts.join(whole, "tree").where("all_rows > 1").select("tree", "size", F.when(small, 0).otherwise(parts).cast("long").alias("parts"), F.when(small, 0).otherwise(F.col("size") + 1).alias("band"))
+    plan = counts.drop("l0", "l1").join(whole, "tree").select("tree", "size", F.when(small, 0).otherwise(parts).cast("long").alias("parts"), F.when(small, 0).otherwise(F.col("size") + 1).alias("band"))
     block = F.when(F.col("parts") == 0, F.lit(0)).otherwise(F.col("band") * 1_000_000 + F.pmod(F.xxhash64("cid"), F.col("parts")))
     placed = sized.join(plan, ["tree", "size"]).select("tree", block.cast("long").alias("block"), "cid", "n", (F.col("parts") > 0).alias("split"))
     placed = staged(placed)
-    hubs = placed.where("split").groupBy("tree", "block").count().select("tree", "block", F.col("tree").alias("cid"))
-    units = placed.select("tree", "block", "cid").union(hubs).join(tokens, "cid").withColumn("n", F.size("tokens"))
-    first = staged(units.groupBy("tree", "block").applyInPandas(_within, _LINKS))
+    hubs = placed.where("split").groupBy("tree", "block").count().select("tree", "block", F.col("tree").alias("cid"), F.lit(True))
+    units = placed.select("tree", "block", "cid", "split").union(hubs).join(_tokens_of(texts, members), "cid")
+    first = staged(units.repartition("tree", "block").sortWithinPartitions("tree", "block").mapInArrow(_within, _LINKS))
 
     links = first.where("a is not null").select("a", "b")
     roots = components(links)
     wide = placed.where("split").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     if not wide.isEmpty():
-        links = links.union(_between_blocks(staged(wide), first, tokens))
+        links = links.union(_between_blocks(staged(wide), first, texts))
         drop_staged(roots)
         roots = components(links)
 
@@ -407,7 +420,20 @@ def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return unpacked(kept.where("times = 1").union(kept.where("times > 1").dropDuplicates(["doc_id", "key"])))
 
 
-def _between_blocks(wide: DataFrame, first: DataFrame, tokens: DataFrame) -> DataFrame:
+def _tokens_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, tokens of at least the classes in ``wanted``.
+
+    The texts pass a filter of 2^FILTER_BITS bits, which lets some others through where there are very many.
+    """
+    word = F.expr(f"(cid & {(1 << FILTER_BITS) - 1}) >> 6")
+    bit = F.expr("shiftleft(1L, cast(cid & 63 as int))")
+    words = wanted.select("cid").distinct().groupBy(word.alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return texts.mapInArrow(_member_tokens(bits), _TOKENS).groupBy("cid").agg(F.first("tokens").alias("tokens"))
+
+
+def _between_blocks(wide: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between blocks of trees that have several, where the blocks aren't in one component already."""
     nodes = first.where("tree is not null").select("tree", "block", "low", "high", "slack", "bits")
     held = wide.groupBy("tree", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
@@ -418,6 +444,9 @@ def _between_blocks(wide: DataFrame, first: DataFrame, tokens: DataFrame) -> Dat
     pairs = x.join(y, "tree").where(near & apart)
     pairs = pairs.where(_roots_meet(*[F.col(f"{c}{k}") for k in "xy" for c in ("low", "high", "slack", "bits")]))
     pairs = staged(pairs.select("tree", F.col("blockx").alias("bx"), F.col("blocky").alias("by")))
+    if pairs.isEmpty():
+        return first.where("false").select("a", "b")
     sides = pairs.select("tree", "bx", "by", F.col("bx").alias("block"), F.lit(0).alias("side")).union(pairs.select("tree", "bx", "by", F.col("by").alias("block"), F.lit(1).alias("side")))
-    rows = sides.join(wide.select("tree", "block", "cid", "n", "root"), ["tree", "block"]).join(tokens, "cid")
-    return staged(rows.groupBy("tree", "bx", "by").applyInPandas(_across, _LINKS).select("a", "b"))
+    rows = staged(sides.join(wide.select("tree", "block", "cid", "n", "root"), ["tree", "block"]))
+    rows = rows.join(_tokens_of(texts, rows), "cid")
+    return staged(rows.groupBy("tree", "bx", "by").applyInPandas(_across, "a long, b long"))
