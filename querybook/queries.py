@@ -27,7 +27,7 @@ from sessionlens.plans import feature_table as FT
 from sessionlens.plans import generators as P
 from sessionlens.plans import ranking as R
 from sessionlens.sources import tables
-from sessionlens.sources.sinks import staged
+from sessionlens.sources.sinks import stage_path, staged, write_score_chunks
 from sessionlens.sources.testbed import BASKET_WINDOW_MS, Testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -249,7 +249,11 @@ def _with_scores(features: DataFrame, t: Testbed) -> DataFrame:
 
 @query
 def features_with_scores(t: Testbed) -> DataFrame:
-    return _with_scores(candidate_features(t), t)
+    """The scores go through their files: written in chunks of sessions and read back."""
+    spark, features = t.spark, staged(candidate_features(t))
+    path = stage_path(spark)
+    write_score_chunks(session_item_distance(features, t.test(), t.vectors()), path)
+    return features.join(tables.read_scores(spark, path), ["session", "aid"], "left")
 
 
 # ---- vectors -------------------------------------------------------------------------------

@@ -84,7 +84,8 @@ def explode_candidates(nested: DataFrame, column: str = "labels") -> DataFrame:
 
 
 def read_scores(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return _read(spark, path, SCORES, None, "parquet", None)
+    """Distance scores, in one table or in chunks of sessions (``write_score_chunks``)."""
+    return _read(spark, path, SCORES, [c.split()[0] for c in SCORES.split(", ")], "parquet", None)
 
 
 def read_dataset(spark: SparkSession, path: str, type_: str | None = None) -> DataFrame:
