@@ -8,6 +8,8 @@ hang together on few trees. Common shingles come last in the order.
 
 A class whose prefix and the next shingles are mostly its own is linked to nothing and hangs on no tree.
 
+Trees whose members have a first tree in common share most of them and are worked on together.
+
 A tree's members are cut by size into blocks. In a block, a node holds the range of sizes and the OR of the token
 bitmaps of what is below it; pairs of nodes go down together as long as the sizes are within 3/4 and the shared
 bits allow the overlap that is needed. Pairs of documents that are left are compared exactly, unless links found
@@ -238,8 +240,8 @@ class _Joined:
         self.links.append((i, j))
 
 
-def _descend(x: _Tree, y: _Tree, tokens, base: int, joined: _Joined) -> None:
-    """Go down both trees together and join what is linked; members of y are numbered from ``base``."""
+def _descend(x: _Tree, y: _Tree, tokens: list[np.ndarray], in_x: list[int], in_y: list[int], joined: _Joined) -> None:
+    """Go down both trees together and join what is linked; ``in_x`` and ``in_y`` are the places of their members."""
     same = x is y
     top = max(len(x.levels), len(y.levels)) - 1
     i, j = (g.ravel() for g in np.meshgrid(np.arange(len(x.level(top)[0])), np.arange(len(y.level(top)[0]))))
@@ -256,7 +258,7 @@ def _descend(x: _Tree, y: _Tree, tokens, base: int, joined: _Joined) -> None:
                     other = np.repeat(j if is_x else i, FAN).reshape(own.shape)
                     inside = own < below
                     i, j = (own[inside], other[inside]) if is_x else (other[inside], own[inside])
-    j = j + base
+    i, j = np.asarray(in_x)[i], np.asarray(in_y)[j]
     order = np.lexsort((j, i))
     i, j = i[order], j[order]
     while len(i):
@@ -282,31 +284,38 @@ def _frame(links: list[tuple[int, int]]) -> pd.DataFrame:
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block the links that span its components, and its root if its tree has other blocks."""
+    """For each unit the links that span the components of its trees, and its root if its tree has other blocks.
+
+    A unit is a block of one tree, or all of the trees of a family.
+    """
     out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
         types = [*[pa.int64()] * 7, pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in _LINKS.split(", ")])
 
-    for block in groups(batches, ["tree", "block"]):
-        cids, first = np.unique(block.column("cid").to_numpy(), return_index=True)
-        lists = number_lists(block.column("tokens"))
+    for unit in groups(batches, ["unit", "block"]):
+        cids, first = np.unique(unit.column("cid").to_numpy(), return_index=True)
+        lists, names = number_lists(unit.column("tokens")), unit.column("trees").to_pylist()
         order = np.lexsort((cids, [len(lists[i]) for i in first]))
         cids, tokens = cids[order].tolist(), [lists[i] for i in first[order]]
-        tree, number = block.column("tree")[0].as_py(), block.column("block")[0].as_py()
-        joined = _Joined(cids)
-        hub = cids.index(tree) if tree in cids else 0
-        for i in range(len(cids)):  # near copies are mostly linked to the class that the tree is named after
-            if i != hub and linked(tokens[i], tokens[hub]):
-                joined.join(hub, i)
-        if len(cids) > 2 and len(joined.links) < len(cids) - 1:
-            nodes = _Tree(tokens, _width(tokens))
-            _descend(nodes, nodes, tokens, 0, joined)
+        joined, members = _Joined(cids), {}
+        for at, i in enumerate(first[order].tolist()):
+            for tree in names[i]:
+                members.setdefault(tree, []).append(at)
+        for tree, own in sorted(members.items()):
+            hub = next((i for i in own if cids[i] == tree), own[0])
+            for i in own:  # near copies are mostly linked to the class that the tree is named after
+                if joined.root(i) != joined.root(hub) and linked(tokens[i], tokens[hub]):
+                    joined.join(hub, i)
+            roots = joined.roots()[own]
+            if len(own) > 2 and (roots != roots[0]).any():
+                nodes = _Tree([tokens[i] for i in own], _width([tokens[i] for i in own]))
+                _descend(nodes, nodes, tokens, own, own, joined)
         out += [(cids[i], cids[j], *[None] * 6) for i, j in joined.links]
-        if block.column("split")[0].as_py():
+        if unit.column("split")[0].as_py():
             low, high, slack, bits = (x[0] for x in _Tree(tokens, ROOT_BITS).levels[-1])
-            out.append((None, None, tree, number, int(low), int(high), int(slack), bits.tobytes()))
+            out.append((None, None, unit.column("unit")[0].as_py(), unit.column("block")[0].as_py(), int(low), int(high), int(slack), bits.tobytes()))
         if len(out) > 1024:
             yield flush()
             out = []
@@ -322,7 +331,7 @@ def _across(pair: pd.DataFrame) -> pd.DataFrame:
     both = pd.concat(sides)
     cids, tokens = both["cid"].tolist(), _arrays(both["tokens"])
     base, width, joined = len(sides[0]), _width(tokens), _Joined(both["root"].tolist())
-    _descend(_Tree(tokens[:base], width), _Tree(tokens[base:], width), tokens, base, joined)
+    _descend(_Tree(tokens[:base], width), _Tree(tokens[base:], width), tokens, list(range(base)), list(range(base, len(tokens))), joined)
     return _frame([(cids[i], cids[j]) for i, j in joined.links])
 
 
@@ -377,13 +386,22 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     whole = counts.groupBy("tree").agg(F.sum("rows").alias("all_rows"), F.sum("volume").alias("all_volume"), F.min("l0").alias("l0"), F.max("l1").alias("l1"))
     whole = whole.where("all_rows > 1 and (l0 <> l1 or l0 = tree)")  # else all its members hang on one other tree too
     small = (F.col("all_rows") <= BLOCK_ROWS) & (F.col("all_volume") <= BLOCK_TOKENS)
-    plan = counts.drop("l0", "l1").join(whole, "tree").select("tree", "size", F.when(small, 0).otherwise(parts).cast("long").alias("parts"), F.when(small, 0).otherwise(F.col("size") + 1).alias("band"))
+    plan = counts.drop("l0", "l1").join(whole, "tree").select("tree", "size", F.when(small, 0).otherwise(parts).cast("long").alias("parts"), F.when(small, 0).otherwise(F.col("size") + 1).alias("band"), F.col("l0").alias("family"))
     block = F.when(F.col("parts") == 0, F.lit(0)).otherwise(F.col("band") * 1_000_000 + F.pmod(F.xxhash64("cid"), F.col("parts")))
-    placed = sized.join(plan, ["tree", "size"]).select("tree", block.cast("long").alias("block"), "cid", "n", (F.col("parts") > 0).alias("split"))
+    placed = sized.join(plan, ["tree", "size"]).select("tree", "family", block.cast("long").alias("block"), "cid", "n", (F.col("parts") > 0).alias("split"))
     placed = staged(placed)
     hubs = placed.where("split").groupBy("tree", "block").count().select("tree", "block", F.col("tree").alias("cid"), F.lit(True))
-    units = placed.select("tree", "block", "cid", "split").union(hubs).join(_tokens_of(texts, members), "cid")
-    first = staged(units.repartition("tree", "block").sortWithinPartitions("tree", "block").mapInArrow(_within, _LINKS))
+
+    # Trees of one family share most members, whose shingles travel once for all of them if they fit together.
+    single = placed.where("not split")
+    family = single.groupBy("family", "cid").agg(F.first("n").alias("n"), F.collect_set("tree").alias("trees"))
+    fits = family.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("volume"))
+    fits = staged(fits.where((F.col("rows") <= BLOCK_ROWS) & (F.col("volume") <= BLOCK_TOKENS)).select("family"))
+    together = family.join(fits, "family").select(F.col("family").alias("unit"), F.lit(-1).cast("long").alias("block"), "cid", "trees", F.lit(False).alias("split"))
+    apart = single.join(fits, "family", "left_anti").select("tree", "block", "cid", "split").union(placed.where("split").select("tree", "block", "cid", "split")).union(hubs)
+    apart = apart.select(F.col("tree").alias("unit"), "block", "cid", F.array("tree").alias("trees"), "split")
+    units = together.union(apart).join(_tokens_of(texts, members), "cid")
+    first = staged(units.repartition("unit", "block").sortWithinPartitions("unit", "block").mapInArrow(_within, _LINKS))
 
     links = first.where("a is not null").select("a", "b")
     roots = components(links)

@@ -101,7 +101,8 @@ def test_bounds_never_prune_linked_sets():
     ok = J.possible(tree.level(0), tree.level(0), i, j)
     assert all(o for o, a, b in zip(ok, i, j) if J.linked(sets[a], sets[b]))
     joined = J._Joined(list(range(len(sets))))
-    J._descend(tree, tree, sets, 0, joined)
+    places = list(range(len(sets)))
+    J._descend(tree, tree, sets, places, places, joined)
     whole = J._Joined(list(range(len(sets))))
     for a, b in zip(i.tolist(), j.tolist()):
         if whole.root(a) != whole.root(b) and J.linked(sets[a], sets[b]):
