@@ -5,9 +5,10 @@ is a link, whether the page marks the place as menu, advert, comment and the lik
 count against a run. One pass over the page finds the contiguous run with the largest sum, and the text of its
 blocks, but for the marked places inside, is the result.
 
-Weights are log odds learned from the pages of the table that label their text themselves, by a single main or
-article element: words and tags in unmarked places are counted inside and outside of it, by grouped aggregation, on top of a prior. On
-those pages the label favours what is inside.
+Weights are log odds learned from the pages of the table that label their text themselves, by one article or main
+element with most of their words: words and tags in unmarked places are counted inside and outside of it, by grouped
+aggregation, on top of a prior. On those pages the label is one more weight, as large as the odds of its words against
+the others; the run decides there as on all other pages, and all unmarked text of it is kept, inside the label or not.
 """
 
 from __future__ import annotations
@@ -47,8 +48,8 @@ TITLES = frozenset("article content entry post section story".split())  # whose
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HOLDERS = frozenset("html body main article".split())  # never marked by their names
 
-FAVOUR = 3.0  # log odds of words inside the element by which a page labels its text, and against those outside
-LEAST_SHARE = 0.3  # of the unmarked words, for that element to count
+FAVOUR = 3.0  # the most that the label of a page adds to words inside, and takes from those outside
+LEAST_SHARE = 0.5  # of the unmarked words, for one element to label a page
 LIMIT = 4.0
 MARKED = -1.0
 
@@ -83,27 +84,34 @@ class Piece:
     text: str | None
     block: int
     marked: bool
-    label: str  # the labelling element around it: "article", "main" or ""
+    article: int  # the outermost article and main around it, by number; 0 if none
+    main: int
 
 
 def pieces(page: str) -> list[Piece]:
     """The words and tags of a page in order. Elements that are never closed end with what is around them."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, marked (or inside such), whether it counts as a label
-    held, block, at = Counter(), 0, 0
+    stack: list[tuple[str, bool]] = []  # name, marked (or inside such)
+    labels: dict[str, list[int]] = {"article": [], "main": []}  # the open ones, numbered as they begin
+    held, block, at, begun = Counter(), 0, 0, 0
 
     def close(to: int) -> None:
         while len(stack) > to:
-            held[stack.pop()[0]] -= 1
+            name = stack.pop()[0]
+            held[name] -= 1
+            if name in labels:
+                labels[name].pop()
+
+    def outermost(kind: str) -> int:
+        return labels[kind][0] if labels[kind] else 0
 
     def last(names: tuple[str, ...]) -> int:
         return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in names), -1)
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            place = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
-            label = "article" if held["article"] else "main" if held["main"] else ""
-            out.append(Piece(place + (" link" if held["a"] else ""), entities.unescape(raw), block, bool(stack) and stack[-1][1], label))
+            place = next((n for n, _ in reversed(stack) if n in BLOCKS), "body")
+            out.append(Piece(place + (" link" if held["a"] else ""), entities.unescape(raw), block, bool(stack) and stack[-1][1], outermost("article"), outermost("main")))
         elif raw and out and out[-1].text is not None:
             out[-1].text += " "
 
@@ -138,29 +146,37 @@ def pieces(page: str) -> list[Piece]:
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                     at = end.end() if end else len(page)
                     continue
-                stack.append((kind, bad, kind in ("article", "main")))
+                stack.append((kind, bad))
                 held[kind] += 1
+                if kind in labels:
+                    begun += 1
+                    labels[kind].append(begun)
         if name in HOLDERS or name in ("head", "meta", "link", "base"):
             continue
-        label = "article" if held["article"] else "main" if held["main"] else ""
-        out.append(Piece(name if name in BLOCKS else "inline", None, block, bool(stack) and stack[-1][1], label))
+        out.append(Piece(name if name in BLOCKS else "inline", None, block, bool(stack) and stack[-1][1], outermost("article"), outermost("main")))
     return out
 
 
-def labelled_by(items: list[Piece]) -> str:
-    """The kind of element that holds this page's text by its own account, "" if none."""
-    words = Counter()
+def label_of(items: list[Piece]) -> tuple[str, int, float]:
+    """The element that holds most of this page's words, by kind and number ("" if none), and its weight.
+
+    Of several articles, as in a list of teasers, the one with most words is looked at, then main in the same way.
+    """
+    words = {"article": Counter(), "main": Counter()}
+    total = 0
     for p in items:
         if p.text is not None and not p.marked:
-            words[p.label] += len(p.text.split())
-    total = sum(words.values())
-    if words["article"] >= LEAST_SHARE * total > 0:
-        return "article"
-    return "main" if words["article"] + words["main"] >= LEAST_SHARE * total > 0 else ""
-
-
-def _inside(p: Piece, by: str) -> bool:
-    return p.label == "article" or (by == "main" and p.label == "main")
+            n = len(p.text.split())
+            total += n
+            words["article"][p.article] += n
+            words["main"][p.main] += n
+    for kind, found in words.items():
+        found.pop(0, None)
+        if found:
+            number, n = found.most_common(1)[0]
+            if n >= LEAST_SHARE * total > 0:
+                return kind, number, min(FAVOUR, float(np.log((n + 1) / (total - n + 1))))
+    return "", 0, 0.0
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +185,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 256):
         for page in batch.column("html").to_pylist():
             items = pieces(page or "")
-            if by := labelled_by(items):
+            kind, number, _ = label_of(items)
+            if kind:
                 for p in items:
                     if not p.marked:
-                        counts[("w " if p.text is not None else "t ") + p.feature, _inside(p, by)] += len(p.text.split()) if p.text is not None else 1
+                        counts[("w " if p.text is not None else "t ") + p.feature, getattr(p, kind) == number] += len(p.text.split()) if p.text is not None else 1
     keys = list(counts)
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([counts[k] for k in keys], pa.int64())], ["feature", "inside", "n"])
 
@@ -201,17 +218,17 @@ class Weights:
 def main_text(page: str, weights: Weights) -> str:
     """The blocks of the best run, one to a line."""
     items = pieces(page)
-    by = labelled_by(items)
+    kind, number, lean = label_of(items)
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, p in enumerate(items):
-        inside = by and _inside(p, by)
+        inside = bool(kind) and getattr(p, kind) == number
         if p.text is None:
-            score = 0.0 if inside else weights.of("t " + p.feature)
+            score = weights.of("t " + p.feature)
+            score = min(0.0, score + lean) if inside else score
         elif p.marked:  # such words are left out of a run, but shouldn't hold it together
             score = 0.0 if inside else MARKED * len(p.text.split())
         else:
-            each = weights.of("w " + p.feature)
-            score = len(p.text.split()) * (max(1.0, each + FAVOUR) if inside else each - FAVOUR if by else each)
+            score = len(p.text.split()) * (weights.of("w " + p.feature) + (lean if inside else -lean))
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -219,7 +236,7 @@ def main_text(page: str, weights: Weights) -> str:
             best, span = total, (start, i + 1)
     blocks: dict[int, list[str]] = {}
     for p in items[slice(*span)]:
-        if p.text is not None and not p.marked and (not by or _inside(p, by)):
+        if p.text is not None and not p.marked:
             blocks.setdefault(p.block, []).append(p.text)
     lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)

@@ -29,6 +29,26 @@ def test_pages(page):
     assert main_text(page, PRIOR) == PAGES[page]
 
 
+def test_scan_chooses_on_pages_with_teasers_and_without_labels():
+    body, teaser = " ".join(f"b{i}" for i in range(600)), " ".join(f"t{i}" for i in range(100))
+    page = f"<div><p>{body}</p></div>" + f"<article><p>{teaser}</p></article>" * 3
+    assert body in main_text(page, PRIOR)  # the label held a third of the words and took it all
+    one = " ".join(f"t{i}" for i in range(300))
+    assert body in main_text(f"<div><p>{body}</p></div><article><p>{one}</p></article>", PRIOR)
+    assert main_text(f"<div><ul>{'<li><a>go there</a>' * 20}</ul></div><div><p>{body}</p></div><footer>foot</footer>", PRIOR) == body
+    beside = f"<article><p>{body}</p></article><div><p>{body}</p></div>"
+    assert main_text(beside, PRIOR) == f"{body}\n{body}"  # a label with half of the words says nothing
+    assert main_text(f"<article><p>{body}</p></article><div><p>{teaser}</p></div>", PRIOR) == body
+
+
+def test_weights_learned_from_labelled_pages_choose_on_others(spark):
+    words = "some words of a text " * 20
+    rows = [(i, "u", f"<div><dl><dd>{words}</dd></dl></div><article><p>{words * 4}</p></article>") for i in range(20)]
+    rows.append((99, "u", f"<div><dl><dd>{words}</dd></dl></div><div><p>{words}</p></div>"))
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[99] == words.strip() and got[0] == (words * 4).strip()
+
+
 def test_odd_markup_does_not_break_it():
     for page in ("<", "<<p>>", "<a href='x>y", "<p " * 5000, "<b>" * 20_000 + "x" + "</i>" * 20_000, "&#0; &bogus; &#xD800;", "<!--", "<script>x", "\x00<p>퟿"):
         assert isinstance(main_text(page, PRIOR), str)
