@@ -9,6 +9,10 @@ Weights are log odds learned from the pages of the table that label their text t
 element with most of their words: words and tags in unmarked places are counted inside and outside of it, by grouped
 aggregation, on top of a prior. On those pages the label is one more weight, as large as the odds of its words against
 the others; the run decides there as on all other pages, and all unmarked text of it is kept, inside the label or not.
+
+Places are marked by tags, roles and names. A name that says what an element has or allows (has-sidebar, comments-open)
+marks nothing, and an element marked by its name alone that holds three quarters of the page's words is taken for a
+wrapper, unless the page labels text outside of it. Marked words count nothing: a run goes past them, without their text.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ MARKS = frozenset(
     "promotion recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe ticker toolbar "
     "topbar widget".split()
 )
+STATES = frozenset("has have with without no not is open opened closed enabled disabled active allowed".split())  # in names of elements that are something else
 TITLES = frozenset("article content entry post section story".split())  # whose headers are part of the article
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HOLDERS = frozenset("html body main article".split())  # never marked by their names
@@ -51,29 +56,35 @@ HOLDERS = frozenset("html body main article".split())  # never marked by their n
 FAVOUR = 3.0  # the most that the label of a page adds to words inside, and takes from those outside
 LEAST_SHARE = 0.5  # of the unmarked words, for one element to label a page
 LIMIT = 4.0
-MARKED = -1.0
+MOST = 0.75  # of the words of a page, for an element marked by its name to be a wrapper
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
-def marked(name: str, attributes: str, labelled: bool) -> bool:
-    """Whether an element is no part of the article; ``labelled`` if it stands inside an article or main element."""
+def marked(name: str, attributes: str, labelled: bool) -> str:
+    """Whether an element is no part of the article by its tag or role ("tag") or by its name only ("name"), else "".
+
+    ``labelled`` if it stands inside an article or main element.
+    """
     if name in ASIDE:
-        return True
+        return "tag"
     if name in HOLDERS and name != "article":
-        return False
+        return ""
+    by = "name" if name == "header" and not labelled else ""
     for key, *value in _NAMED.findall(attributes):
         value = "".join(value)
         if key.lower() == "role":
             if value.strip().lower() in ROLES:
-                return True
+                return "tag"
         else:
-            parts = {p.lower() for p in _PARTS.findall(value)}
-            if parts & MARKS or ("header" in parts and not parts & TITLES):
-                return True
-    return name == "header" and not labelled
+            every = {p.lower() for p in _PARTS.findall(value)}
+            for token in value.split():
+                parts = {p.lower() for p in _PARTS.findall(token)}
+                if not parts & STATES and (parts & MARKS or ("header" in parts and not every & TITLES)):
+                    by = "name"
+    return by
 
 
 @dataclass
@@ -86,12 +97,14 @@ class Piece:
     marked: bool
     article: int  # the outermost article and main around it, by number; 0 if none
     main: int
+    named: int  # the innermost element around it that is marked by its name, by number; 0 if none
 
 
 def pieces(page: str) -> list[Piece]:
     """The words and tags of a page in order. Elements that are never closed end with what is around them."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool]] = []  # name, marked (or inside such)
+    stack: list[tuple[str, bool, int]] = []  # name, marked by tag or inside such, innermost element marked by name
+    enclosing: dict[int, int] = {0: 0}  # such elements, and the next one around each
     labels: dict[str, list[int]] = {"article": [], "main": []}  # the open ones, numbered as they begin
     held, block, at, begun = Counter(), 0, 0, 0
 
@@ -105,13 +118,16 @@ def pieces(page: str) -> list[Piece]:
     def outermost(kind: str) -> int:
         return labels[kind][0] if labels[kind] else 0
 
+    def place_of() -> tuple[bool, int, int, int]:
+        return bool(stack) and stack[-1][1], outermost("article"), outermost("main"), stack[-1][2] if stack else 0
+
     def last(names: tuple[str, ...]) -> int:
         return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in names), -1)
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            place = next((n for n, _ in reversed(stack) if n in BLOCKS), "body")
-            out.append(Piece(place + (" link" if held["a"] else ""), entities.unescape(raw), block, bool(stack) and stack[-1][1], outermost("article"), outermost("main")))
+            place = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
+            out.append(Piece(place + (" link" if held["a"] else ""), entities.unescape(raw), block, *place_of()))
         elif raw and out and out[-1].text is not None:
             out[-1].text += " "
 
@@ -138,25 +154,50 @@ def pieces(page: str) -> list[Piece]:
                 same, around = CLOSES[name]
                 if held[same] and (i := last((same, *around))) >= 0 and stack[i][0] == same:
                     close(i)
-            inside = bool(stack) and stack[-1][1]
+            inside, named = stack[-1][1:] if stack else (False, 0)
             if name not in VOID:
-                bad = inside or marked(name, found[3] or found[6] or "", held["article"] + held["main"] > 0)
+                by = marked(name, found[3] or found[6] or "", held["article"] + held["main"] > 0)
+                bad = inside or by == "tag"
+                if by == "name":
+                    begun += 1
+                    enclosing[begun], named = named, begun
                 kind = name if not (bad and name in ("article", "main")) else "section"  # a comment, say, is no label
                 if name in RAW:
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                     at = end.end() if end else len(page)
                     continue
-                stack.append((kind, bad))
+                stack.append((kind, bad, named))
                 held[kind] += 1
                 if kind in labels:
                     begun += 1
                     labels[kind].append(begun)
         if name in HOLDERS or name in ("head", "meta", "link", "base"):
             continue
-        out.append(Piece(name if name in BLOCKS else "inline", None, block, bool(stack) and stack[-1][1], outermost("article"), outermost("main")))
+        out.append(Piece(name if name in BLOCKS else "inline", None, block, *place_of()))
+    _mark_names(out, enclosing)
     return out
 
 
+def _mark_names(items: list[Piece], around: dict[int, int]) -> None:
+    """Marks what is inside elements with marked names, but for those that are wrappers."""
+    words, labelled = Counter(), 0
+    for p in items:
+        if p.text is not None and not p.marked:
+            n = len(p.text.split())
+            words[p.named] += n
+            if not p.named and (p.article or p.main):
+                labelled += n
+    total = sum(words.values())
+    for number in sorted(around, reverse=True)[:-1]:  # elements have higher numbers than what is around them
+        if around[number]:
+            words[around[number]] += words[number]
+    out = {0: False}
+    for number in sorted(around)[1:]:
+        out[number] = out[around[number]] or labelled > 0 or words[number] < MOST * total
+    for p in items:
+        p.marked = p.marked or out[p.named]
+
+
 def label_of(items: list[Piece]) -> tuple[str, int, float]:
     """The element that holds most of this page's words, by kind and number ("" if none), and its weight.
 
@@ -225,8 +266,8 @@ def main_text(page: str, weights: Weights) -> str:
         if p.text is None:
             score = weights.of("t " + p.feature)
             score = min(0.0, score + lean) if inside else score
-        elif p.marked:  # such words are left out of a run, but shouldn't hold it together
-            score = 0.0 if inside else MARKED * len(p.text.split())
+        elif p.marked:
+            score = 0.0
         else:
             score = len(p.text.split()) * (weights.of("w " + p.feature) + (lean if inside else -lean))
         if total <= 0:

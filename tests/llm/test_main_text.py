@@ -41,6 +41,17 @@ def test_scan_chooses_on_pages_with_teasers_and_without_labels():
     assert main_text(f"<article><p>{body}</p></article><div><p>{teaser}</p></div>", PRIOR) == body
 
 
+def test_names_of_wrappers_do_not_empty_a_page():
+    body, few = " ".join(f"b{i}" for i in range(200)), " ".join(f"t{i}" for i in range(20))
+    for wrapper in ("div id=page class=has-sidebar", "div class=content-with-sidebar", "article class='post comments-open'", "div class=social-enabled", "div class=widget", "div id=pageHeader"):
+        name = wrapper.split()[0]
+        assert main_text(f"<{wrapper}><p>{body}</p><div class=sidebar>{few}</div></{name}><p class='share-buttons'>{few}</p>", PRIOR) == body, wrapper
+    assert main_text(f"<div><p>{few}</p></div><article><p>{few}</p></article><div class=comments><p>{body}</p></div>", PRIOR) == f"{few}\n{few}"
+    assert main_text("<div class=ad>" * 20_000 + body, PRIOR) == body
+    long, advert = " ".join(f"w{i}" for i in range(100)), " ".join(f"a{i}" for i in range(150))
+    assert main_text(f"<div><p>{long}</p><div class=newsletter-signup>{advert}</div><p>{body}</p></div>", PRIOR) == f"{long}\n{body}"
+
+
 def test_weights_learned_from_labelled_pages_choose_on_others(spark):
     words = "some words of a text " * 20
     rows = [(i, "u", f"<div><dl><dd>{words}</dd></dl></div><article><p>{words * 4}</p></article>") for i in range(20)]
