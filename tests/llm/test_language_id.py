@@ -37,6 +37,27 @@ def test_evidence_decides_where_the_text_says_little(spark):
     assert {r["doc_id"]: r["language"] for r in hosts.collect()}[900] == "de"
 
 
+def test_rare_languages_have_models_in_tables_of_any_size(spark):
+    """Nine of 12,000 documents are Greek, one is Russian, each less than one in a thousand."""
+    greek = "η γάτα και ο σκύλος ήταν στο σπίτι με τον άνδρα και τη γυναίκα"
+    russian = "кошка и собака были в доме с мужчиной и женщиной вместе"
+    rows = [(100_000 + i, greek, "el" if i < 9 else None, None) for i in range(12)] + [(200_000, russian, "ru", None)]
+    common = spark.createDataFrame(small(spark), "doc_id long, text string, lang string, source string").crossJoin(spark.range(100)).drop("id")
+    docs = common.unionByName(spark.createDataFrame(rows, common.schema))
+    got = {r["doc_id"]: (r["language"], r["reason"]) for r in L.identify_language(docs).where("doc_id >= 100000").collect()}
+    assert all(got[i] == ("el", None) for i in range(100_000, 100_012)) and got[200_000] == ("ru", None)
+
+
+def test_blocks_of_languages_say_the_same(spark, monkeypatch):
+    words = {f"l{i:02}": [f"{chr(97 + i)}{chr(97 + j)}{chr(97 + (i * j) % 26)}" for j in range(20)] for i in range(20)}
+    rows = [(20 * k + i, " ".join(w[k:] + w[:k]), name, f"h{i % 3}.x") for k in range(4) for i, (name, w) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    whole = sorted(map(tuple, L.identify_language(docs).collect()))
+    monkeypatch.setattr(L, "BLOCK", 7)
+    assert sorted(map(tuple, L.identify_language(docs).collect())) == whole
+    assert {r[0]: r[2] for r in whole} == {r[0]: r[2] for r in rows}
+
+
 def test_edge_cases(spark):
     odd = [(1000, None, "en", None), (1001, "", None, "h"), (1002, "12 34 !!", "en", "h"), (None, "the dog and the cat", None, None), (1003, "the man and the dog", None, ""), (1003, "the man and the dog", None, ""), (1004, "the dog " * 50_000, "en", "h"), (1005, "жщ" * 40, None, "h")]
     rows = [(*r, 1) for r in small(spark) + odd]
