@@ -6,7 +6,8 @@ entity: digits for digits, letters of the same script and case for letters, vali
 of the same gender and script. Each mention is then written in its own layout.
 
 The distinct entities of the whole corpus are checked against each other: a surrogate that another entity has, or
-that is itself an entity of the corpus, is drawn again, in rounds of joins, until none is. Documents are rewritten
+that is itself an entity of the corpus, is drawn again, in rounds of joins, until none is. Spaces grow with the
+attempts, so that this ends however many entities there are: see ``surrogate``. Documents are rewritten
 where they are read; only those that mention an entity that was drawn again meet a table of new draws.
 """
 
@@ -48,6 +49,7 @@ _PATTERNS = [
 _DATE = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}|\d{4}\s*[-/]\s*\d{4}")
 _DIGIT = re.compile(r"\d")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")(?:\.\s*|\s+)([^\W\d_][\w'’-]+(?:[ \t]+[^\W\d_][\w'’-]+){0,2})")
+GROW = 4  # draws from one space, before it grows
 DIGITS = frozenset({"card", "ssn", "phone"})
 
 _ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω")
@@ -163,51 +165,63 @@ def _digits(entity: str, kind: str, stream: _Stream) -> str:
     return "".join(out)
 
 
-def _ipv4(entity: str, stream: _Stream) -> str:
-    """Private networks stay private."""
+def _ipv4(entity: str, stream: _Stream, attempt: int) -> str:
+    """Private addresses stay private: in their network at first, in 10.0.0.0/8 from draw GROW on.
+
+    From draw 2 * GROW on, any address there or, of a public one, below 224; when those are full too, in 0.0.0.0/0.
+    """
     own = [int(x) for x in entity.split(".")]
+    if attempt >= 4 * GROW:
+        return ".".join(str(stream.below(256)) for _ in own)
     keep = 1 if own[0] in (10, 127) else 2 if own[:2] == [192, 168] or own[0] == 172 and 16 <= own[1] < 32 else 0
-    new = [1 + stream.below(254) for _ in own]
+    if keep and attempt >= GROW and own[0] != 127:
+        own, keep = [10], 1
+    new = [1 + stream.below(254) if attempt < 2 * GROW else stream.below(256) for _ in range(4)]
     if not keep:
         public = [x for x in range(1, 224) if x not in (10, 127, 172, 192)]
         new[0] = public[stream.below(len(public))]
     return ".".join(map(str, own[:keep] + new[keep:]))
 
 
-def _name(entity: str, kind: str, stream: _Stream) -> str:
-    """Syllables in the script of the name; a vowel at the end for women, a consonant for men."""
+def _name(entity: str, kind: str, stream: _Stream, attempt: int) -> str:
+    """Syllables in the script of the name, one more every GROW draws; a vowel at the end for women, a consonant for men."""
     consonants, vowels = _SYLLABLES[_script(entity[0])]
-    out = "".join(consonants[stream.below(len(consonants))] + vowels[stream.below(5)] for _ in range(2 + (kind == "family") + stream.below(2)))
+    out = "".join(consonants[stream.below(len(consonants))] + vowels[stream.below(5)] for _ in range(2 + (kind == "family") + attempt // GROW + stream.below(2)))
     if kind == "given_f":
         return out[:-1] + vowels[0]
     return out + consonants[stream.below(len(consonants))] if kind in ("given_m", "family") else out
 
 
 def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
-    """The surrogate of a canonical entity; another one for each attempt."""
+    """The surrogate of a canonical entity; another one for each attempt.
+
+    Names and IPv4 addresses are drawn from a larger space every GROW attempts. What else is written in digits and
+    letters keeps its length for 4 * GROW attempts (GROW if shorter than 8) and then gets one digit more every GROW.
+    """
+    more = max(0, attempt // GROW - (3 if len(entity) >= 8 else 0))
     stream = _Stream(key, kind, entity, attempt)
     if kind == "email":
         local, domain = entity.rsplit("@", 1)
         host, _, top = domain.rpartition(".")
-        return f"{_same_shape(local, stream)}@{_same_shape(host, _Stream(key, 'domain', domain))}.{top}"
+        return f"{_same_shape(local + '0' * more, stream)}@{_same_shape(host, _Stream(key, 'domain', domain))}.{top}"
     if kind in DIGITS:
-        return _digits(entity, kind, stream)
+        return _digits(entity + "0" * more, kind, stream)
     if kind == "ipv4":
-        return _ipv4(entity, stream)
+        return _ipv4(entity, stream, attempt)
     if kind == "ipv6":
         return ":".join(f"{1 + stream.below(65535):x}" for _ in range(8))
     if kind == "iban":
-        return entity[:2] + _same_shape(entity[2:], stream)
-    return _same_shape(entity, stream) if kind == "secret" else _name(entity, kind, stream)
+        return entity[:2] + _same_shape(entity[2:] + "0" * more, stream)
+    return _same_shape(entity + "0" * more, stream) if kind == "secret" else _name(entity, kind, stream, attempt)
 
 
 def laid_out(kind: str, mention: str, new: str) -> str:
     """A surrogate in the layout of a mention."""
     if kind in DIGITS or kind == "iban":
         rest = iter(new)
-        return "".join(next(rest) if c.isdecimal() or kind == "iban" and c != " " else c for c in mention)
+        return "".join([next(rest) if c.isdecimal() or kind == "iban" and c != " " else c for c in mention] + list(rest))
     if kind == "email":
-        return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new))
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, new)) + new[len(mention) :]
     if kind.startswith(("given", "family")):
         return new.upper() if mention.isupper() and len(mention) > 1 else new.capitalize()
     return new

@@ -59,6 +59,20 @@ def test_distinct_entities_stay_distinct(spark):
     assert len(new) == 3000 and not new & set(entities)
 
 
+def test_full_networks_and_name_spaces_end(spark):
+    """All 254 * 254 addresses that surrogates in 192.168 are first drawn from are entities themselves."""
+    full = [("ipv4", f"192.168.{a}.{b}") for a in range(1, 255) for b in range(1, 255)]
+    small = [("secret", str(d)) for d in range(10)]
+    entities = spark.createDataFrame(full + small, "kind string, entity string")
+    got = S.settled_surrogates(entities, KEY).collect()
+    assert len(got) == len({(r["kind"], r["surrogate"]) for r in got}) == len(full) + len(small)
+    assert not {(r["kind"], r["surrogate"]) for r in got} & set(full + small)
+    assert all(r["surrogate"].startswith(("10.", "192.168.")) for r in got if r["kind"] == "ipv4")
+    for kind, entity in (("given_f", "Anna"), ("phone", "5550100"), ("email", "a@b.com"), ("secret", "a")):
+        at = [S.surrogate(kind, entity, KEY, attempt) for attempt in range(40)]
+        assert max(map(len, at)) > max(map(len, at[:4])) and S.laid_out(kind, entity, at[-1]).lower() == at[-1].lower()
+
+
 def test_edge_cases(spark):
     rows = [(1, "a@b.com", 1, "x"), (1, "a@b.com", 1, "x"), (None, "A@b.com", 1, "x"), (2, None, 1, "x"), (3, "", 1, "x"), (4, "plain", 1, "x"), (5, "w " * 200_000 + "a@b.com", 1, "x")]
     got = rewritten(spark, rows, "doc_id long, text string, row long, again string")
