@@ -5,6 +5,10 @@ layout, get the same surrogate, and different entities different ones. A surroga
 entity: digits for digits, letters of the same script and case for letters, valid addresses and check digits, names
 of the same gender and script. Each mention is then written in its own layout.
 
+Out of reach are names without a title that no titled mention in the same document gives away, the gender of names
+but for that of their title, postal addresses and dates of birth, unquoted secrets after a colon that have no digit
+and fewer than 16 characters, and secrets that no key, prefix or hexadecimal form tells.
+
 The distinct entities of the whole corpus are checked against each other: a surrogate that another entity has, or
 that is itself an entity of the corpus, is drawn again, in rounds of joins, until none is. Spaces grow with the
 attempts, so that this ends however many entities there are: see ``surrogate``. Documents are rewritten
@@ -14,6 +18,7 @@ where they are read; only those that mention an entity that was drawn again meet
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -35,12 +40,15 @@ TITLES = {
 _SECRET_WORD = r"api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth(?:[_-]?token)?|token|passw(?:or)?d|pwd"
 _PATTERNS = [
     ("secret", ("PRIVATE KEY",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.*?)-----END [A-Z ]*PRIVATE KEY-----", re.S)),
-    ("secret", ("=", ":"), re.compile(rf"\b(?:{_SECRET_WORD})\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;<>]{{8,}})", re.I)),
+    ("secret", ('"',), re.compile(rf'\b(?:{_SECRET_WORD})\b["\']?\s*[:=]\s*"(?=[^"\n]*[^\W_])([^"\n]+)"', re.I)),
+    ("secret", ("'",), re.compile(rf"\b(?:{_SECRET_WORD})\b[\"']?\s*[:=]\s*'(?=[^'\n]*[^\W_])([^'\n]+)'", re.I)),
+    ("secret", ("=",), re.compile(rf"\b(?:{_SECRET_WORD})\b[\"']?\s*=(?!=)\s*(?=[^\s\"',;<>&]*[^\W_])([^\s\"',;<>&]+)", re.I)),
+    ("weak secret", ("=", ":"), re.compile(rf"\b(?:{_SECRET_WORD})\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;<>]{{8,}})", re.I)),
     ("secret", ("AKIA", "gh", "xox", "sk-", "eyJ"), re.compile(r"\b(AKIA[0-9A-Z]{16}|gh[pousr]_\w{36,}|xox[abprs]-[\w-]{10,}|sk-[\w-]{20,}|eyJ[\w-]+\.[\w-]+\.[\w-]+)")),
     ("email", ("@",), re.compile(r"([\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})")),
     ("iban", (), re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?)\b")),
     ("secret", (), re.compile(r"\b([0-9a-f]{32,}|[0-9A-F]{32,})\b")),
-    ("ipv6", (":",), re.compile(r"(?<![\w:])((?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4})(?![\w:])")),
+    ("ipv6", (":",), re.compile(r"(?<![\w:.])((?:[0-9a-fA-F]{0,4}:){2,8}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F]{1,4})?)(?![\w:]|\.\d)")),
     ("ipv4", (".",), re.compile(r"(?<![\w.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\w|\.\d)")),
     ("card", (), re.compile(r"(?<![\w+])(\d(?:[ -]?\d){12,18})(?![\w-])")),
     ("ssn", ("-",), re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])")),
@@ -62,9 +70,20 @@ def canonical(kind: str, mention: str) -> str:
         return re.sub(r"\D", "", mention)
     if kind == "iban":
         return mention.replace(" ", "")
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(int(ipaddress.IPv6Address(mention))))
     return mention if kind == "secret" else mention.lower()
 
 
+def _ipv6(mention: str) -> bool:
+    """Whether it is an address, in any of its forms; words of a to f alone, as in add::bad, are none."""
+    try:
+        ipaddress.IPv6Address(mention)
+    except ValueError:
+        return False
+    return _DIGIT.search(mention) is not None or "::" not in mention
+
+
 def _phone(mention: str) -> bool:
     n = len(re.sub(r"\D", "", mention))
     laid_out = mention[0] in "+(" or n >= 9 or re.fullmatch(r"\d{3}[-. ]\d{4}", mention)
@@ -88,9 +107,9 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
         if any(s in text for s in signs) if signs else digits:
             for m in pattern.finditer(text):
                 value = m[1]
-                if kind == "phone" and not _phone(value) or kind == "secret" and pattern.flags & re.I and not (_DIGIT.search(value) or len(value) >= 16):
+                if kind == "phone" and not _phone(value) or kind == "ipv6" and not _ipv6(value) or kind == "weak secret" and not (_DIGIT.search(value) or len(value) >= 16):
                     continue
-                add(*m.span(1), kind)
+                add(*m.span(1), kind.removeprefix("weak "))
     families: set[str] = set()
     if any(t in text for t in TITLES):
         for m in _NAME.finditer(text):
@@ -209,7 +228,9 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ipv4":
         return _ipv4(entity, stream, attempt)
     if kind == "ipv6":
-        return ":".join(f"{1 + stream.below(65535):x}" for _ in range(8))
+        new = ":".join(f"{1 + stream.below(65535):x}" for _ in range(8))
+        local = re.match(r"fe80:|f[cd]..:", entity)  # link-local and private networks stay so
+        return local[0] + new.split(":", 1)[1] if local else new
     if kind == "iban":
         return entity[:2] + _same_shape(entity[2:] + "0" * more, stream)
     return _same_shape(entity + "0" * more, stream) if kind == "secret" else _name(entity, kind, stream, attempt)

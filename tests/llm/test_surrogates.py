@@ -27,6 +27,18 @@ def test_kinds_that_are_found():
     assert not S.mentions("On 2024-01-15, in 1990-2000, 12.5 of 100 000 words; version 1.2.3, a token: of it, Mr and Dr walk at 10:30.")
 
 
+def test_short_forms_of_addresses_and_secrets():
+    text = 'At 2001:db8::1, fe80::1 or 2001:DB8:0:0:0:0:0:1; ::ffff:10.1.2.3. password=hunter "pwd": "open sesame" api_key=\'abc\' passwd = ok'
+    found = [(text[a:b], k) for a, b, k in S.mentions(text)]
+    assert found == [
+        ("2001:db8::1", "ipv6"), ("fe80::1", "ipv6"), ("2001:DB8:0:0:0:0:0:1", "ipv6"), ("::ffff:10.1.2.3", "ipv6"),
+        ("hunter", "secret"), ("open sesame", "secret"), ("abc", "secret"), ("ok", "secret"),
+    ]
+    assert S.canonical("ipv6", "2001:db8::1") == S.canonical("ipv6", "2001:DB8:0:0:0:0:0:1")
+    assert S.surrogate("ipv6", "fe80::1", KEY).startswith("fe80:")
+    assert not S.mentions("std::sort, add::bad and a::b at 10:30:45; password == other, password=*** and token: none")
+
+
 def test_layout_type_and_coreference(spark):
     (row,) = rewritten(spark, [(1, TEXT)])
     new = row["text"]
