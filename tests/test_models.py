@@ -107,3 +107,13 @@ def test_boosting_stops_at_its_best_round(training):
 
 def test_folds_of_training_rows(training):
     assert folds(training).select("session", "fold").distinct().count() == 60
+
+
+@pytest.mark.parametrize("name", ["rank_gbt_reg", "rank_gbt_clf"])
+def test_registered_boosted_rankers_have_the_settings_of_the_class(spark, monkeypatch, name):
+    from querybook import queries as Q
+
+    monkeypatch.setattr(Q, "Testbed", lambda spark, sf_dir: None)
+    monkeypatch.setattr(Q, "_held_out", lambda t, make: make())
+    mine, whole = Q.QUERIES[name](spark, "").learner, Z.BoostedRanker().learner
+    assert (mine.getMaxIter(), mine.getMaxDepth()) == (whole.getMaxIter(), whole.getMaxDepth()) == (50, 6)
