@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlens.llm.common import lower_ascii
 from sessionlens.llm.decontaminate import contained_items
 from sessionlens.llm.jaccard_join import jaccard_components
 from sessionlens.llm.language_id import address_host, address_suffix, identify_language, markup_language
 from sessionlens.llm.line_dedup import line_dedup
 from sessionlens.llm.main_text import extract_main_text
+from sessionlens.llm.merkle import FIELDS, fold, hex_text, leaf_digest, merkle_proofs, proof_digest
 from sessionlens.llm.mixing import mix
 from sessionlens.llm.quality import quality_scores
 from sessionlens.llm.surrogates import replace_personal_data
@@ -79,6 +81,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "lines_cut", "words_cut")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    claim = leaf_digest(*[tampered if f == "text" else F.col(f) for f in FIELDS])
+    proofs = merkle_proofs(_table(spark, sf_dir, "documents"), claim=claim)
+    proofs = proofs.withColumn("folded", fold(F.col("claim"), F.col("steps")))
+    names = {"leaf": "leaf", "subroot": "subroot", "root": "root", "folded": "folded_root"}
+    texts = [hex_text(F.col(c)).alias(name) for c, name in names.items()]
+    return proofs.select("doc_id", *texts, hex_text(proof_digest(F.col("steps"))).alias("proof_sha256"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -91,6 +103,7 @@ QUERIES = {
     "page_languages": page_languages,
     "op9_mix": op9_mix,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -99,6 +112,36 @@ _TRIM = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'"
 _SHINGLES = """case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
   else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end"""
 
+
+
+def _climb(name: str, by: str, levels: int) -> str:
+    """CTEs that take {name}_n0 (by, idx, n, d) up to one node for each by, and {name}_p0 (its rows, proof, cur) with it."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}_r{k} as (select {by}, idx // 8 as run, n, list(d order by idx) as ds from {name}_n{k} group by {by}, idx // 8, n),
+{name}_n{k + 1} as (select {by}, run as idx, (n + 7) // 8 as n, case when n = 1 then ds[1] else sha256(list_aggregate(ds, 'string_agg', '')) end as d from {name}_r{k}),
+{name}_x{k} as (select p.* exclude (proof, cur), p.proof, p.cur, r.n as m, coalesce(list_aggregate(r.ds[1:(p.idx // {8**k}) % 8], 'string_agg', ''), '') as lhs,
+  coalesce(list_aggregate(r.ds[(p.idx // {8**k}) % 8 + 2:], 'string_agg', ''), '') as rhs
+  from {name}_p{k} p join {name}_r{k} r on p.{by} is not distinct from r.{by} and p.idx // {8 ** (k + 1)} = r.run),
+{name}_p{k + 1} as (select * exclude (proof, cur, m, lhs, rhs), proof || lhs || rhs as proof, case when m = 1 then cur else sha256(lhs || cur || rhs) end as cur from {name}_x{k})""")
+    return ",\n".join(out)
+
+
+_FIELD = "case when {0} is null then '-' else octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar end"
+_LEAF = " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars"))
+_CRC = """xor(list_reduce(list_transform(range(1, len(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i::int, 1))::bigint),
+  lambda c, b: list_reduce(range(8), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::bigint), 4294967295::bigint)"""
+_MERKLE = f"""
+with claims as (select *, case when {_CRC} % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as told from documents),
+leaves as (select doc_id, lang, sha256({_LEAF} || {_FIELD.format("text")}) as leaf, sha256({_LEAF} || {_FIELD.format("told")}) as claim from claims),
+a_p0 as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, '' as proof, claim as cur from leaves),
+a_n0 as (select lang, idx, count(*) over (partition by lang) as n, leaf as d from a_p0),
+{_climb("a", "lang", 7)},
+b_n0 as (select 0 as one, lang, row_number() over (order by lang nulls first) - 1 as idx, count(*) over () as n, d from a_n7),
+b_p0 as (select p.doc_id, p.leaf, p.proof, p.cur, r.d as subroot, r.idx, 0 as one from a_p7 p join b_n0 r on p.lang is not distinct from r.lang),
+{_climb("b", "one", 3)}
+select p.doc_id, p.leaf, p.subroot, r.d as root, sha256(p.proof) as proof_sha256, p.cur as folded_root, p.cur = r.d as verified from b_p3 p, b_n3 r"""
+
 ORACLES = {
     "op1_decontaminate": f"""
 with words as (select doc_id, coalesce({_WORDS}, []) as w from documents),
@@ -158,4 +201,5 @@ counts as (select doc_id, sum(n) as lines_cut from stretches group by doc_id)
 select d.doc_id, coalesce(k.text, d.text) as text, coalesce(c.lines_cut, 0)::bigint as lines_cut,
   coalesce(k.words_cut, 0)::bigint as words_cut
 from documents d left join kept k on d.doc_id = k.doc_id left join counts c on d.doc_id = c.doc_id""",
+    "op13_merkle": _MERKLE,
 }
