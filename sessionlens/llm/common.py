@@ -14,6 +14,7 @@ from sessionlens.sources.sinks import drop_staged, staged
 WORD_SPACE = "[ \\t-\\r]+"
 SHINGLE = 5
 COMPONENT_ROWS = 200_000  # links in a file
+HOT = 1000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -23,6 +24,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def lower_bytes(text: bytes) -> bytes:
+    """UTF-8 with A-Z in lower case."""
+    return text.translate(_LOWER)
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than space and \\t to \\r; 0 for null."""
     parts = F.filter(F.split(text, WORD_SPACE), lambda w: w != "")
@@ -66,6 +72,18 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["key"] == right["key"])
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with a table that has one row for each ``key`` and says how many rows have it.
+
+    A key of 1/HOT of all rows or more would fill a task. There are HOT of them at most: these rows of the table are
+    broadcast, the others meet by a shuffle. Both should be staged, as they are read twice.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(count) * HOT >= total).drop(count))  # HOT rows at most
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) * HOT < total).drop(count).hint("merge"), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def unpacked(rows: DataFrame, **changed: Column) -> DataFrame:
     """The columns inside ``row``, some of them replaced or, if they are new, appended."""
     names, own = rows.schema["row"].dataType.names, {c: f"_new{i}" for i, c in enumerate(changed)}

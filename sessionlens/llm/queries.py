@@ -14,6 +14,7 @@ from sessionlens.llm.main_text import extract_main_text
 from sessionlens.llm.merkle import FIELDS, fold, hex_text, leaf_digest, merkle_proofs, proof_digest
 from sessionlens.llm.mixing import mix
 from sessionlens.llm.quality import quality_scores
+from sessionlens.llm.simhash import simhash_components
 from sessionlens.llm.surrogates import replace_personal_data
 from sessionlens.llm.topk import top_k
 from sessionlens.llm.warc import read_warc, resolved, write_warc
@@ -81,6 +82,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "lines_cut", "words_cut")
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
     claim = leaf_digest(*[tampered if f == "text" else F.col(f) for f in FIELDS])
@@ -103,6 +108,7 @@ QUERIES = {
     "page_languages": page_languages,
     "op9_mix": op9_mix,
     "op10_line_dedup": op10_line_dedup,
+    "op12_simhash": op12_simhash,
     "op13_merkle": op13_merkle,
 }
 
