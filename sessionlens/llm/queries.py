@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlens.llm.alignment import align_tokens, alignment_scores, pair_counts
 from sessionlens.llm.common import lower_ascii
 from sessionlens.llm.decontaminate import contained_items
 from sessionlens.llm.jaccard_join import jaccard_components
@@ -18,7 +19,7 @@ from sessionlens.llm.simhash import simhash_components
 from sessionlens.llm.surrogates import replace_personal_data
 from sessionlens.llm.topk import top_k
 from sessionlens.llm.warc import read_warc, resolved, write_warc
-from sessionlens.sources.sinks import stage_path
+from sessionlens.sources.sinks import drop_staged, stage_path, staged
 
 SURROGATE_KEY = b"a key for tests; a corpus takes its own"
 
@@ -82,6 +83,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "text", "lines_cut", "words_cut")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = staged(align_tokens(_table(spark, sf_dir, "documents")))
+    counts = pair_counts(aligned)
+    scores = alignment_scores(aligned, counts)
+    drop_staged(aligned, counts)
+    return scores.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_overlaps")
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -108,6 +117,7 @@ QUERIES = {
     "page_languages": page_languages,
     "op9_mix": op9_mix,
     "op10_line_dedup": op10_line_dedup,
+    "op11_alignment": op11_alignment,
     "op12_simhash": op12_simhash,
     "op13_merkle": op13_merkle,
 }
