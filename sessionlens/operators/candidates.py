@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionlens.config import DEFAULTS, TYPES
 from sessionlens.functions.columns import round6
 from sessionlens.functions.lists import ordered_list
+from sessionlens.operators.postings import FIRST, best_sums, posting_lists
 from sessionlens.operators.ranking import top_n
 from sessionlens.operators.timeline import event_runs, numbered, with_positions
 
@@ -116,16 +117,21 @@ def sequence_tail(events: DataFrame, n: int = DEFAULTS.history_tail) -> DataFram
 
 
 def sequence_candidates(
-    events: DataFrame, model: DataFrame, n: int = DEFAULTS.history_tail, k: int = DEFAULTS.candidates
+    events: DataFrame, model: DataFrame, n: int = DEFAULTS.history_tail, k: int = DEFAULTS.candidates, first: int = FIRST
 ) -> DataFrame:
-    """Next items scored by transition probability, later history items weighing more (1/back)."""
-    scored = (
-        sequence_tail(events, n)
-        .join(model, "aid")
-        .groupBy("session", "aid_next")
-        .agg(round6(F.sum(F.col("p") / F.col("back"))).alias("score"))
-    )
-    best = top_n(scored, ["session"], [F.desc("score"), F.asc("aid_next")], k)
+    """Next items scored by transition probability, later history items weighing more (1/back).
+
+    Where an item has more than ``first`` successors, its list is read only as far as it can still change a session's
+    best ``k``; the result is the same.
+    """
+    tails = sequence_tail(events, n)
+    longest = model.groupBy("aid").count().agg(F.max("count")).first()[0] or 0
+    if longest > first:
+        best = best_sums(tails, posting_lists(model), k, first)
+    else:
+        scored = tails.join(model, "aid").groupBy("session", "aid_next")
+        scored = scored.agg(round6(F.sum(F.col("p") / F.col("back"))).alias("score"))
+        best = top_n(scored, ["session"], [F.desc("score"), F.asc("aid_next")], k)
     return best.select("session", F.col("aid_next").alias("aid"), "rank")
 
 

@@ -44,7 +44,7 @@ def test_knn_of_some_items(spark, vectors):
 
 def test_lsh_finds_copies_and_true_distances(vectors, table):
     want = distances(table)
-    rows = item_knn_lsh(vectors, k=5, bits=3, tables=4, block=9).collect()
+    rows = item_knn_lsh(vectors, k=5, per_bucket=8, tables=4, block=9).collect()
     assert all(r["dist"] == want[r["aid_x"], r["aid_y"]] for r in rows)
     copies = [r for r in rows if r["aid_x"] >= 40]
     assert all(r["dist"] == 0 for r in copies) and len(copies) == 20 * 5
