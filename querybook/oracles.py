@@ -148,12 +148,12 @@ select aid_x, aid_y, dist, n from (
     from (select distinct k.aid as x, l.aid as y from codes k join codes l on k.t = l.t and k.code = l.code) p
     join vec a on a.aid = p.x join vec b on b.aid = p.y)) where n <= 20
 """
-CTE["knn_votes"] = _voted(_walk("seen", "lsh"))
+CTE["knn_votes"] = _voted(_walk("seen", "knn"))
 CTE["newest"] = """
 select session, aid from (
   select *, row_number() over (partition by session order by ts desc, aid desc, type desc) as n from test) where n = 1
 """
-CTE["last_near"] = "select h.session, k.aid_y as aid, k.n as rank from newest h join lsh k on h.aid = k.aid_x"
+CTE["last_near"] = "select h.session, k.aid_y as aid, k.n as rank from newest h join knn k on h.aid = k.aid_x"
 CTE["moves"] = """
 select * from (
   select session, ts, row_number() over w - 1 as pos, aid, lead(aid) over w as aid_next
@@ -457,6 +457,7 @@ select session, aid, row_number() over (partition by session order by ts, aid, t
     "features_with_scores": "select * from feats left join dist_merged using (session, aid)",
     "item_knn_lsh": "select * from lsh",
     "item_knn": "select * from knn",
+    "item_knn_cells": "select * from knn",
     "session_item_distance": "select * from dist_typed",
     "pair_score": """
 select m.aid, m.aid_next, count(*) as n, round(list_dot_product(any_value(a.vector), any_value(b.vector)), 6) as score

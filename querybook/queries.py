@@ -19,7 +19,7 @@ from sessionlens.operators import models
 from sessionlens.operators import sampling as S
 from sessionlens.operators.covisit import covisit, session_tail
 from sessionlens.operators.distance import session_item_distance
-from sessionlens.operators.neighbours import item_knn, item_knn_lsh
+from sessionlens.operators.neighbours import item_knn, item_knn_cells, item_knn_lsh
 from sessionlens.operators.ranking import dense_index
 from sessionlens.operators.submission import fold_ensemble, submission
 from sessionlens.operators.timeline import with_positions
@@ -275,6 +275,14 @@ def item_knn_lsh_all(t: Testbed) -> DataFrame:
 QUERIES["item_knn_lsh"] = QUERIES.pop("item_knn_lsh_all")
 
 
+@query
+def item_knn_cells_all(t: Testbed) -> DataFrame:
+    return item_knn_cells(t.vectors())
+
+
+QUERIES["item_knn_cells"] = QUERIES.pop("item_knn_cells_all")
+
+
 @query
 def session_item_distances(t: Testbed) -> DataFrame:
     return session_item_distance(candidates_by_type(t), t.test(), t.vectors())

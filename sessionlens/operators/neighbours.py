@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.config import DEFAULTS
+from sessionlens.functions.columns import stable_hash
 from sessionlens.functions.vectors import angular, matrix, normalise
 from sessionlens.operators.blocks import block_join
-from sessionlens.operators.ranking import top_n
+from sessionlens.operators.ranking import smallest, top_n
 from sessionlens.sources.sinks import staged
 
 _OUT = "aid_x long, aid_y long, dist double"
@@ -136,3 +137,149 @@ def item_knn_lsh(
     wanted = coded if queries is None else coded.join(queries.select("aid").distinct(), "aid", "left_semi")
     near = _nearest(wanted, coded, ["tbl", "code"], k, block).distinct()
     return top_n(near, ["aid_x"], [F.asc("dist"), F.asc("aid_y")], k, out="n")
+
+
+# ---- cells ---------------------------------------------------------------------------------
+
+CELLS_MOST = 4096  # centres in a task: 4096 x 64 floats are a megabyte
+CELL_SAMPLE = 32  # vectors for each centre that the centres are drawn from, on the driver
+SLACK = 1e-5  # distances are rounded to six places, their squares to twelve
+_CELL = "aid long, vector array<float>, cell int, gap double"
+
+
+def cell_centres(vectors: DataFrame, items: int, passes: int = 8) -> np.ndarray:
+    """Unit centres of about sqrt(items) cells, by k-means over a bounded sample drawn by hash."""
+    cells = max(1, min(CELLS_MOST, round(math.sqrt(items))))
+    rows = smallest(vectors.select("aid", "vector"), stable_hash(F.col("aid"), seed=11), [F.col("aid")], cells * CELL_SAMPLE)
+    table = rows.toArrow().sort_by("aid")
+    points = np.unique(normalise(np.concatenate([matrix(c) for c in table.column("vector").chunks])).astype(np.float32), axis=0)
+    centres = points[np.random.default_rng(0).permutation(len(points))[:cells]]
+    for _ in range(passes):
+        own = np.concatenate([np.argmax(points[at : at + 8192] @ centres.T, axis=1) for at in range(0, len(points), 8192)])
+        order = np.argsort(own, kind="stable")
+        filled, starts = np.unique(own[order], return_index=True)
+        centres[filled] = np.add.reduceat(points[order], starts, axis=0)
+        centres = normalise(centres).astype(np.float32)
+    return normalise(centres.astype(np.float64))
+
+
+def _cell_kernel(centres: np.ndarray):
+    """The nearest centre of each vector, and how far it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            far = angular(normalise(matrix(batch.column("vector"))), centres)
+            cell = np.argmin(far, axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("aid"), batch.column("vector").cast(pa.list_(pa.float32())), pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(far)), cell])],
+                ["aid", "vector", "cell", "gap"],
+            )
+
+    return run
+
+
+def _probe_kernel(centres: np.ndarray, radius: np.ndarray, nearest: int, before: int, bounded: bool):
+    """(block, cell) of the cells that a block of queries must look at.
+
+    The ``nearest`` cells of each query; with ``bounded`` all cells but the ``before`` nearest, which were looked at, as
+    far as the triangle inequality leaves room for a member nearer than the query's k-th so far.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for block, rows in zip(batch.column("block").to_pylist(), batch.column("left")):
+                far = angular(normalise(matrix(rows.values.field("vector"))), centres)
+                place = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1)
+                wanted = place < nearest
+                if bounded:
+                    least = rows.values.field("kth").to_numpy(zero_copy_only=False)
+                    wanted &= (far - radius <= least[:, None] + SLACK) | np.isnan(least)[:, None]
+                    seen = (place < before).any(axis=0)  # the whole block looked there
+                    wanted &= ~seen
+                out += [(block, c) for c in np.flatnonzero(wanted.any(axis=0)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.string()), pa.array([c for _, c in out], pa.int32())], ["block", "cell"])
+
+    return run
+
+
+class Cells:
+    """An inverted file: every vector once, under its nearest centre, with each cell's radius."""
+
+    def __init__(self, vectors: DataFrame, block: int = 2048):
+        self.block = block
+        self.items = vectors.count()
+        self.centres = cell_centres(vectors, self.items) if self.items else np.zeros((0, 1))
+        self.rows = staged(vectors.select("aid", "vector").mapInArrow(_cell_kernel(self.centres), _CELL))
+        sizes = self.rows.groupBy("cell").agg(F.max("gap").alias("gap"), F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
+        self.sizes = staged(sizes)
+        self.radius = np.zeros(len(self.centres))
+        for r in self.sizes.collect():  # a row for each cell
+            self.radius[r["cell"]] = r["gap"]
+
+    def packed(self, rows: DataFrame, *more: str) -> DataFrame:
+        """Rows in blocks of one cell: block (its name), cell, and the list of structs ``left``."""
+        dealt = rows.join(self.sizes.select("cell", "parts"), "cell").withColumn("part", F.pmod(F.xxhash64("aid"), F.col("parts")))
+        lists = dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("aid", "vector", *more)).alias("left"))
+        return lists.select(F.concat_ws(":", "cell", "part").alias("block"), "cell", "left")
+
+    def search(self, queries: DataFrame, k: int, first: int = 4, probes: int | None = None) -> DataFrame:
+        """The ``k`` nearest of the rows ``queries`` of this file: exactly, or among ``probes`` cells of each at most."""
+        if not self.items:
+            return self.rows.select(F.col("aid").alias("aid_x"), F.col("aid").alias("aid_y"), F.col("gap").alias("dist"), F.lit(1).cast("long").alias("n"))
+        most = len(self.centres) if probes is None else min(probes, len(self.centres))
+        first = min(first, most)
+        held = staged(self.packed(self.rows).select("cell", F.col("left").alias("right")))
+
+        def near(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+            met = pairs.join(asked.select("block", "left"), "block").join(held, "cell")
+            return met.select("left", "right").mapInArrow(_nearest_kernel(k), _OUT)
+
+        order = [F.asc("dist"), F.asc("aid_y")]
+        asked = staged(self.packed(queries))
+        probe = asked.select("block", "left").mapInArrow(_probe_kernel(self.centres, self.radius, first, 0, False), "block string, cell int")
+        found = staged(top_n(near(asked, probe), ["aid_x"], order, k, out="n"))
+        if first == len(self.centres):
+            return found
+        kth = found.where(F.col("n") == k).select(F.col("aid_x").alias("aid"), F.col("dist").alias("kth"))
+        again = staged(self.packed(queries.join(kth, "aid", "left"), "kth"))
+        probe = again.select("block", "left").mapInArrow(_probe_kernel(self.centres, self.radius, most, first, True), "block string, cell int")
+        slim = again.select("block", F.transform("left", lambda x: F.struct(x["aid"].alias("aid"), x["vector"].alias("vector"))).alias("left"))
+        both = found.drop("n").unionByName(near(slim, probe)).distinct()
+        return top_n(both, ["aid_x"], order, k, out="n")
+
+    def probes_for(self, recall: float, k: int, sample: int = 200) -> int:
+        """Cells to look at so that a share ``recall`` of the neighbours of ``sample`` queries lies in them, by exact search of these."""
+        drawn = smallest(self.rows.select("aid"), stable_hash(F.col("aid"), seed=13), [F.col("aid")], sample)
+        some = staged(self.rows.join(drawn, "aid", "left_semi"))
+        exact = item_knn(self.rows.select("aid", "vector"), some.select("aid"), k, self.block)
+        cells = self.rows.select(F.col("aid").alias("aid_y"), "cell")
+        homes = {}
+        for r in exact.join(cells, "aid_y").select("aid_x", "cell").collect():  # sample x k rows
+            homes.setdefault(r["aid_x"], []).append(r["cell"])
+        places = []
+        for r in some.select("aid", "vector").collect():
+            far = angular(normalise(np.array([r["vector"]], np.float64)), self.centres)[0]
+            places += np.argsort(np.argsort(far, kind="stable"))[homes.get(r["aid"], [])].tolist()
+        return 1 + sorted(places)[min(len(places) - 1, math.ceil(recall * len(places)))] if places else 1
+
+
+def item_knn_cells(
+    vectors: DataFrame,
+    queries: DataFrame | None = None,
+    k: int = DEFAULTS.neighbours,
+    block: int = 2048,
+    recall: float | None = None,
+) -> DataFrame:
+    """Neighbours (aid_x, aid_y, dist, n) of the items in ``queries`` (default: all items), through an inverted file.
+
+    A vector is stored once, whatever the catalogue. A query looks at its nearest cells, and then at all whose centre
+    and radius leave room for something nearer than its k-th: the result is exact. With ``recall`` it looks at as many of
+    its nearest cells as hold that share of the neighbours of a sample of queries, and no further.
+    """
+    cells = Cells(vectors, block)
+    wanted = cells.rows if queries is None else cells.rows.join(queries.select("aid").distinct(), "aid", "left_semi")
+    probes = cells.probes_for(recall, k) if recall is not None and cells.items else None
+    return cells.search(wanted, k, probes=probes)

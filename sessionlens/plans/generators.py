@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from sessionlens.operators import candidates as G
 from sessionlens.operators.covisit import covisit, covisit_by_day
-from sessionlens.operators.neighbours import item_knn_lsh
+from sessionlens.operators.neighbours import item_knn_cells
 from sessionlens.sources.sinks import staged_together
 
 
@@ -18,7 +18,7 @@ def covisit_candidates(train: DataFrame, test: DataFrame, span: tuple[int, int]
 
 def vector_neighbours(test: DataFrame, vectors: DataFrame) -> DataFrame:
     """Embedding neighbours of the items that occur in the test sessions."""
-    return item_knn_lsh(vectors, test.select("aid"))
+    return item_knn_cells(vectors, test.select("aid"))
 
 
 def sequence_job(train: DataFrame, test: DataFrame) -> DataFrame:
