@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +51,13 @@ class Rows:
     def of(cls, rows: np.ndarray, columns: np.ndarray, height: int, values: np.ndarray | None = None) -> Rows:
         """From entries in any order; entries of one place are added up."""
         values = np.ones(len(rows), np.int64) if values is None else values
-        order = np.lexsort((columns, rows))
-        rows, columns, values = rows[order], columns[order], values[order]
+        if not ((rows[1:] > rows[:-1]) | ((rows[1:] == rows[:-1]) & (columns[1:] >= columns[:-1]))).all():
+            order = np.lexsort((columns, rows))
+            rows, columns, values = rows[order], columns[order], values[order]
         first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])][: len(rows)])
         rows, columns = rows[first], columns[first]
         values = np.add.reduceat(values, first) if len(first) else values
-        return cls(np.searchsorted(rows, np.arange(height + 1)), columns, values)
+        return cls(np.r_[0, np.cumsum(np.bincount(rows, minlength=height))], columns, values)
 
     def row_numbers(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
@@ -70,6 +73,8 @@ class Rows:
             own = terms[at:to]
             places = np.arange(own.sum()) + np.repeat(right.starts[self.columns[at:to]] - (before[at:to] - before[at]), own)
             part = Rows.of(np.repeat(entries[at:to], own), right.columns[places], len(self.starts) - 1, np.repeat(self.values[at:to], own) * right.values[places])
+            if to - at == len(entries):
+                return part
             out.append((part.row_numbers(), part.columns, part.values))
             at = to
         if not out:
@@ -85,42 +90,111 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+# Fixed value: how byte-level vocabularies of this kind cut a text into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteLevel:
-    """A byte-level tokenizer (JSON); special tokens inside a text are ordinary text."""
+    """A byte-level tokenizer (JSON); special tokens inside a text are ordinary text.
+
+    Texts of Latin-1 characters go through a faster implementation of the same merges, where the file's ids are in the
+    order of its merges; classes of other characters depend on a library's Unicode tables, so those texts
+    go through the library the file is made for.
+    """
 
     def __init__(self, data: bytes):
+        spec = json.loads(data)
+        self.data, letters, special = data, byte_letters(), {t["id"] for t in spec.get("added_tokens", ())}
+        vocabulary = spec["model"]["vocab"]
+        self.bytes = [b""] * (1 + max([*vocabulary.values(), *special]))
+        for token, i in vocabulary.items():
+            self.bytes[i] = token.encode() if i in special else bytes(letters[c] for c in token)
+        merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        plain = merged == list(range(256, 256 + len(merged))) and spec.get("normalizer") is None
+        plain = plain and (spec.get("pre_tokenizer") or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items()
+        self.ranks = {self.bytes[i]: i for i in vocabulary.values() if i not in special} if plain else None
+
+    @cached_property
+    def tokenizer(self):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the threads
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
-        letters, special = byte_letters(), {t["id"] for t in json.loads(data).get("added_tokens", ())}
-        vocabulary = self.tokenizer.get_vocab()
-        self.bytes = [b""] * (1 + max(vocabulary.values()))
-        for token, i in vocabulary.items():
-            self.bytes[i] = token.encode() if i in special else bytes(letters[c] for c in token)
+        tokenizer = Tokenizer.from_str(self.data.decode())
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
+    @cached_property
+    def fast(self):
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=self.ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        out = [self.fast.encode_ordinary(" " + t) if self.ranks and _latin(t) else None for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([" " + texts[i] for i in rest], add_special_tokens=False) if rest else ()):
+            out[i] = e.ids
+        return out
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Pieces:
-    """A sentence-piece tokenizer (model), which puts a space in front of a text itself."""
+    """A sentence-piece tokenizer (model), which puts a space in front of a text itself.
+
+    Where no piece has a space behind another character, no merge reaches over the front of a word with its spaces:
+    then texts of Latin-1 characters are cut there, and words that come again are looked up.
+    """
+
+    KEPT, LONGEST = 1 << 18, 64  # words, and characters of one
 
     def __init__(self, data: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_proto=data)
-        self.bytes = []
+        self.bytes, pieces = [], []
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             if self.model.is_byte(i):
                 self.bytes.append(bytes([int(piece[3:5], 16)]))
+            elif self.model.is_control(i) or self.model.is_unknown(i):
+                self.bytes.append(b"")
             else:
-                self.bytes.append(b"" if self.model.is_control(i) or self.model.is_unknown(i) else piece.replace("▁", " ").encode())
+                self.bytes.append(piece.replace("▁", " ").encode())
+                pieces.append(piece)
+        apart = self.model.encode("a  b ", out_type=str) == ["▁a", "▁", "▁b", "▁"]
+        self.words: dict[str, list[int]] | None = {} if apart and not any("▁" in p.lstrip("▁") for p in pieces) else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        return [self._by_words(t) if self.words is not None and _latin(t) else self.model.encode(t) for t in texts]
+
+    def _by_words(self, text: str) -> list[int]:
+        out, words = [], self.words
+        for word in re.findall(" +[^ ]*", " " + text):
+            ids = words.get(word)
+            if ids is None:
+                ids = self.model.encode(word[1:]) if len(word) > 1 else [self.model.piece_to_id("▁")]
+                if len(word) <= self.LONGEST:
+                    if len(words) >= self.KEPT:
+                        words.clear()
+                    words[word] = ids
+            out += ids
+        return out
+
+
+@lru_cache(maxsize=2)
+def _tokenizers(first: bytes, second: bytes) -> tuple:
+    """Both tokenizers, the sizes of their tokens, and their ids as text after each separator; kept by the worker."""
+    both = ByteLevel(first), Pieces(second)
+    sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in both]
+    texts = [{c: np.array([f"{c}{i}" for i in range(len(t.bytes))], object) for c in ("", ",", ";", "|")} for t in both]
+    return both, sizes, texts
 
 
 class _Side:
@@ -160,15 +234,21 @@ def shared_groups(a: _Side, b: _Side, of_a: np.ndarray, of_b: np.ndarray, width:
     return own // width, own % width, product.columns, product.values
 
 
-def _texts_of(a: _Side, b: _Side, of_a: np.ndarray, of_b: np.ndarray) -> Iterator[str]:
+def _texts_of(a: _Side, b: _Side, of_a: np.ndarray, of_b: np.ndarray, texts: list[dict]) -> Iterator[str]:
     """``a1,a2|b1;a3|b2,b3`` of each document."""
-    ids = [list(map(str, s.ids.tolist())) for s in (a, b)]
-    last = int(of_a[-1])
-    cuts = [np.searchsorted(of, np.arange(last + 2)).tolist() for of in (of_a, of_b)]
-    firsts = of_a[a.starts[:-1]].tolist() + [last + 1]
-    for first, stop in zip(firsts, firsts[1:]):
-        bounds = zip(cuts[0][first:stop], cuts[0][first + 1 : stop + 1], cuts[1][first:stop], cuts[1][first + 1 : stop + 1])
-        yield ";".join([",".join(ids[0][i:j]) + "|" + ",".join(ids[1][k:m]) for i, j, k, m in bounds])
+    groups = np.arange(int(of_a[-1]) + 2)
+    cuts = [np.searchsorted(of, groups) for of in (of_a, of_b)]
+    parts = np.empty(len(of_a) + len(of_b), object)
+    for k, (side, own, other) in enumerate(((a, of_a, cuts[1]), (b, of_b, cuts[0][1:]))):
+        words = texts[k][","][side.ids]
+        firsts = cuts[k][:-1]
+        words[firsts] = texts[k][";|"[k]][side.ids[firsts]]
+        if k == 0:
+            words[side.starts[:-1]] = texts[0][""][side.ids[side.starts[:-1]]]
+        parts[np.arange(len(own)) + other[own]] = words
+    ends = a.starts + b.starts
+    for start, stop in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield "".join(parts[start:stop].tolist())
 
 
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_overlaps long, n_links long, groups string, a array<int>, b array<int>, links array<long>"
@@ -176,8 +256,7 @@ _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_overlaps long, n_l
 
 def _align(first: bytes, second: bytes, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = ByteLevel(first), Pieces(second)
-        sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (one, two)]
+        (one, two), sizes, names = _tokenizers(first, second)
         for batch in slices(batches, 512):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
@@ -185,13 +264,13 @@ def _align(first: bytes, second: bytes, whole: bool):
                 to, chars = at + 1, len(texts[at])
                 while to < len(texts) and chars + len(texts[to]) <= BATCH_CHARS:
                     chars, to = chars + len(texts[to]), to + 1
-                yield _aligned(batch.column("doc_id").slice(at, to - at), texts[at:to], one, two, sizes, whole)
+                yield _aligned(batch.column("doc_id").slice(at, to - at), texts[at:to], one, two, sizes, names, whole)
                 at = to
 
     return run
 
 
-def _aligned(ids: pa.Array, texts: list[str], one: ByteLevel, two: Pieces, sizes: list[np.ndarray], whole: bool) -> pa.RecordBatch:
+def _aligned(ids: pa.Array, texts: list[str], one: ByteLevel, two: Pieces, sizes: list[np.ndarray], names: list[dict], whole: bool) -> pa.RecordBatch:
     counts, pairs, said = np.zeros((5, len(texts)), np.int64), [[np.empty(0, np.int64)] * len(texts) for _ in range(3)], [""] * len(texts)
     places = [i for i, t in enumerate(texts) if t]
     cut = [t.encode([texts[i] for i in places]) for t in (one, two)]
@@ -213,7 +292,7 @@ def _aligned(ids: pa.Array, texts: list[str], one: ByteLevel, two: Pieces, sizes
         for column, values in zip(pairs, (a_ids, b_ids, links)):
             for i, own in zip(places, np.split(values, bounds[1:-1])):
                 column[i] = own
-        for i, text in zip(places, _texts_of(a, b, of_a, of_b)):
+        for i, text in zip(places, _texts_of(a, b, of_a, of_b, names)):
             said[i] = text if whole else hashlib.sha256(text.encode()).hexdigest()
     lists = [list_array(c).cast(pa.list_(t)) for c, t in zip(pairs, (pa.int32(), pa.int32(), pa.int64()))]
     return pa.RecordBatch.from_arrays([ids, *[pa.array(c) for c in counts], pa.array(said, pa.string()), *lists], [c.split()[0] for c in _ALIGNED.split(", ")])
