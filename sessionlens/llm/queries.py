@@ -164,7 +164,7 @@ with words as (select doc_id, coalesce({_WORDS}, []) as w from documents),
 asked as (select item_id, coalesce({_WORDS}, []) as w from benchmark),
 shingles as (select doc_id, unnest({_SHINGLES}) as t from words),
 items as (select item_id, {_SHINGLES} as s from asked),
-parts as (select item_id, len(s) as n, unnest(s) as t from items)
+parts as (select i.item_id, len(s) as n, unnest(s) as t from items i join asked a on a.item_id = i.item_id where len(a.w) >= 5)
 select d.doc_id, p.item_id, p.n as item_shingles, count(*) as shared from shingles d join parts p on d.t = p.t
 group by d.doc_id, p.item_id, p.n having 4 * count(*) >= 3 * p.n""",
     "op3_topk": """

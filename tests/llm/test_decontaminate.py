@@ -4,7 +4,7 @@ import random
 
 from sessionlens.llm import decontaminate as D
 
-from .brute import contained
+from .brute import contained, words
 
 
 def tables(spark, seed=4):
@@ -31,11 +31,34 @@ def test_agrees_with_brute_force(spark, monkeypatch):
     assert len(want) > 40
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in D.contained_items(df, bench).collect()} == want
+    found = lambda **more: {(r["doc_id"], r["item_id"]) for r in D.contained_items(df, bench, **more).collect()}
+    assert found(least_words=1) == want
+    long = {(i, k) for i, k in want if len(words(dict(items)[k])) >= 5}
+    assert found() == long != want
     monkeypatch.setattr(D, "BLOCK_WORDS", 100)  # several blocks
-    assert {(r["doc_id"], r["item_id"]) for r in D.contained_items(df, bench).collect()} == want
+    assert found(least_words=1) == want
     kept = D.decontaminate(df, bench)
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in long}
+    short = {r["item_id"] for r in D.short_items(bench).collect()}
+    assert short == {k for k, q in items if len(words(q)) < 5}
+
+
+def test_a_corpus_survives_a_short_item(spark):
+    """Items of one to four words stand in any text; code and SQL pass them over alike."""
+    import duckdb
+
+    from sessionlens.llm.queries import ORACLES
+
+    docs = [(1, "the cat sat on the mat"), (2, "a b c d e f g"), (3, "the"), (4, "a b c d")]
+    items = [(1, "the"), (2, "a b c d"), (3, "b c d e f"), (4, None), (5, "the cat")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["item_shingles"], r["shared"]) for r in D.contained_items(df, bench).collect()}
+    duck = duckdb.connect()
+    for name, rows in (("documents", docs), ("benchmark", items)):
+        duck.execute(f"create table {name} ({'doc_id' if name == 'documents' else 'item_id'} bigint, text varchar)")
+        duck.executemany(f"insert into {name} values (?, ?)", rows)
+    assert got == set(duck.execute(ORACLES["op1_decontaminate"]).fetchall()) == {(2, 3, 1, 1)}
+    assert {r["doc_id"] for r in D.decontaminate(df, bench).collect()} == {1, 3, 4}
 
 
 def test_edge_cases(spark):
