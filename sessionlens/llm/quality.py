@@ -213,7 +213,7 @@ def fold(doc_id: Column) -> Column:
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", held_fold: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
-    Learns from labels of 0 and 1 whose fold is not ``held_fold``, from FIT_ROWS of them at most; labels of other
+    Learns from labels of 0 and 1 whose fold is not ``held_fold``, from the FIT_ROWS of them with the smallest hashes; labels of other
     values and rows without a label are not learned from. Nothing but the text makes a score. Null and empty texts
     and texts of white space have measures of 0 and are scored like all others. A null id is never held out.
     Repeated rows get the same score. Without labels of both kinds the score is a constant. Other columns are not
@@ -223,7 +223,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     measured = staged(only.mapInArrow(_measures, "doc_id long, " + ", ".join(f"{m} double" for m in MEASURES)))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
     known = known.where(F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != held_fold))
-    sample = measured.distinct().join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *MEASURES).limit(FIT_ROWS).toPandas()
+    # The rows with the smallest hashes: a threshold leaves a few more than FIT_ROWS labels, before anything is joined or sorted.
+    known = staged(known.withColumn("place", F.xxhash64("doc_id")))
+    below = int(2**64 * min(1.0, 1.2 * FIT_ROWS / max(1, known.count()))) - 2**63 - 1
+    asked = known.where(F.col("place") <= below)
+    sample = measured.join(asked, "doc_id").distinct().orderBy("place", "doc_id", "label", *MEASURES).limit(FIT_ROWS).drop("place").toPandas()
     stop = sample["doc_id"].map(lambda i: hash((int(i), 7)) % 6 == 0).to_numpy(bool) if len(sample) else np.zeros(0, bool)
     model = fit_additive(sample[list(MEASURES)].to_numpy(float), sample["label"].to_numpy(float), stop)
 
