@@ -426,6 +426,7 @@ select session, aid, row_number() over (partition by session order by ts, aid, t
     "session_tail": "select * from tail",
     "session_tail_baskets": "select * from tail_baskets",
     "covisit_clicks": "select * from cov_clicks",
+    "covisit_by_increments": "select * from cov_clicks",
     "covisit_carts_orders": "select * from cov_buys",
     "covisit_buy2buy": "select * from cov_b2b",
     "covisit_clicks_baskets": "select * from cov_baskets",
@@ -558,17 +559,36 @@ join dealt_{_t} d on d.session = k.session
 left join truth t on t.session = k.session and t.aid = k.aid and t.type = '{_t}'
 """
 CTE["labels_all"] = " union all ".join(f"select * from labels_{_t}" for _t in TYPES)
-for _name in ("rank_gbt_reg", "rank_gbt_clf", "rank_pairwise", "rank_ndcg"):
-    FINAL[_name] = "select session, aid, type, fold, gt, true as finite, true as stopped from labels_all"
+CTE["in_order"] = " union all ".join(
+    f"""select l.*, row_number() over (partition by l.session order by f.covisit_{_t}_candidate_num, l.aid) as rank
+from labels_{_t} l join feats f on f.session = l.session and f.aid = l.aid"""
+    for _t in TYPES
+)
+CTE["order_ndcg"] = """
+select type, round(avg(dcg / ideal), 6) as ndcg from (
+  select type, session, coalesce(sum(1 / log2(rank + 1)) filter (where gt = 1 and rank <= 20), 0) as dcg,
+    list_sum(list_transform(range(1, least(sum(gt), 20)::bigint + 1), lambda i: 1 / log2(i + 1))) as ideal
+  from in_order group by 1, 2 having sum(gt) > 0) group by 1
+"""
+for _name in ("rank_gbt_reg", "rank_gbt_clf", "rank_pairwise", "rank_ndcg", "rank_lambda"):
+    FINAL[_name] = """
+select l.session, l.aid, l.type, l.fold, l.gt, true as finite, o.ndcg as order_ndcg, true as above
+from labels_all l join order_ndcg o on o.type = l.type"""
+FINAL["boosting_curve"] = """
+select type, fold, true as best_is_highest, true as one_best, true as stops
+from (select unnest(['clicks', 'carts', 'orders']) as type) cross join (select unnest(range(5)) as fold)"""
 FINAL["ranker_rows"] = """
 select * from feats join (select session, aid, gt, fold from labels_carts) using (session, aid)
 left join dist_merged using (session, aid)"""
-FINAL["cv_recall"] = """
-select type, fold, sum(gt_count)::bigint as gt_count, true as ok
-from gt join (select distinct session, type, fold from labels_all) using (session, type) group by grouping sets ((type, fold), (type))"""
+for _name in ("cv_recall", "cv_recall_lambda"):
+    FINAL[_name] = """
+select type, fold, sum(gt_count)::bigint as gt_count, round(sum(hits)::double / sum(gt_count), 6) as order_recall, true as above
+from gt join (select session, type, fold, count(*) filter (where gt = 1 and rank <= 20) as hits from in_order group by all) using (session, type)
+group by grouping sets ((type, fold), (type))"""
 FINAL["submission_of_models"] = """
 select session::varchar || '_' || type as session_type, least(20, n) as n, true as "distinct"
 from (select session, count(*) as n from merged group by 1) cross join (select unnest(['clicks', 'carts', 'orders']) as type)"""
+FINAL["submission_of_lambda"] = FINAL["submission_of_models"]
 CTE["placed"] = "select session, aid, row_number() over (partition by session order by ts, aid, type) as pos from baskets"
 FINAL["window_pair_counts"] = """
 select x.aid, y.aid as aid_near, count(*) as n from placed x join placed y on x.session = y.session and y.pos > x.pos and y.pos <= x.pos + 25
@@ -592,6 +612,81 @@ select * from feats where (session, aid) in
   (select session, aid from pos_{_t} union all select session, aid from neg_{_t})"""
 
 
+def _names(columns: str) -> list[str]:
+    parts, depth, start = [], 0, 0
+    for i, ch in enumerate(columns):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0:
+            parts.append(columns[start:i].strip())
+            start = i + 1
+    parts.append(columns[start:].strip())
+    return [p.split(" as ")[-1].strip() for p in parts]
+
+
+def _root_splits() -> str:
+    """First splits of the list-wise models: gradients at equal scores, quantile bins, the gain of every bin as a cut."""
+    names = [*_names(_feature_columns()), "score_mean", "score_std", "score_max", "score_min", "score_length"]
+    x = "[" + ", ".join(f"{n}::double" for n in names) + "]"
+    rows = " union all ".join(
+        f"""select l.*, {x} as x from labels_{t} l join feats f on f.session = l.session and f.aid = l.aid
+  left join dist_merged d on d.session = l.session and d.aid = l.aid"""
+        for t in TYPES
+    )
+    unit = 1 << 20
+
+    def part(g: str, h: str) -> str:
+        return f"(({g}) / {unit}::double) * (({g}) / {unit}::double) / (({h}) / {unit}::double + 1.0::double)"
+
+    CTE["split_rows"] = rows
+    CTE["split_values"] = """
+select type, session, aid, fold, unnest(range(len(x))) as feature, unnest(x) as value from split_rows
+"""
+    CTE["split_edges"] = f"""
+select type, feature, list_sort(list_distinct(list_transform(range(1, 64), lambda i: v[(i * len(v)) // 64 + 1]))) as edges from (
+  select v.type, v.feature, list_sort(list(v.value)) as v from split_values v join (
+    select type, session, aid, row_number() over (partition by type order by {_hash('session', 'aid', seed=29)}, session, aid) as place
+    from split_rows) s on s.type = v.type and s.session = v.session and s.aid = v.aid
+  where s.place <= 20000 and v.value is not null group by 1, 2)
+"""
+    CTE["split_places"] = """
+select type, session, aid, gt, row_number() over (partition by type, session order by aid) - 1 as place,
+  sum(gt) over (partition by type, session) as positives from split_rows
+"""
+    CTE["split_pairs"] = """
+select p.type, p.session, p.aid as good, q.aid as bad, abs(1 / log2(p.place + 2) - 1 / log2(q.place + 2))
+    / list_sum(list_transform(range(1, least(p.positives, 20)::bigint + 1), lambda i: 1 / log2(i + 1))) as change
+from split_places p join split_places q on p.type = q.type and p.session = q.session and p.gt = 1 and q.gt = 0
+where least(p.place, q.place) < 20
+"""
+    CTE["split_gradients"] = f"""
+select type, session, aid, round_even(sum(g) * {unit}, 0)::bigint as g, round_even(sum(h) * {unit}, 0)::bigint as h from (
+  select type, session, good as aid, -0.5::double * change as g, 0.25::double * change as h from split_pairs union all
+  select type, session, bad as aid, 0.5::double * change as g, 0.25::double * change as h from split_pairs) group by 1, 2, 3
+"""
+    CTE["split_cells"] = """
+select v.type, v.fold, v.feature, case when v.value is null then 0 else 1 + len(list_filter(e.edges, lambda x: x <= v.value)) end as bin,
+  coalesce(sum(d.g), 0) as g, coalesce(sum(d.h), 0) as h, count(*) as n
+from split_values v left join split_edges e on e.type = v.type and e.feature = v.feature
+left join split_gradients d on d.type = v.type and d.session = v.session and d.aid = v.aid group by all
+"""
+    CTE["split_sums"] = """
+select type, model, feature, bin, sum(g) over upto as g, sum(h) over upto as h, sum(n) over upto as n,
+  sum(g) over whole_ as gg, sum(h) over whole_ as hh, sum(n) over whole_ as nn
+from (select c.type, m.model, c.feature, c.bin, sum(c.g) as g, sum(c.h) as h, sum(c.n) as n
+  from split_cells c join (select unnest(range(5)) as model) m on c.fold <> m.model group by all)
+window upto as (partition by type, model, feature order by bin), whole_ as (partition by type, model, feature)
+"""
+    listed = "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    return f"""
+select type, model as fold, {listed}[feature + 1] as feature, bin::bigint as bin, gain, n::bigint as rows_left, (nn - n)::bigint as rows_right
+from (select *, row_number() over (partition by type, model order by gain desc, feature, bin) as place
+  from (select *, round({part('g', 'h')} + {part('gg - g', 'hh - h')} - {part('gg', 'hh')}, 6) as gain from split_sums
+    where n >= 20 and nn - n >= 20) where gain > 1e-6) where place = 1"""
+
+
+FINAL["lambda_root_split"] = _root_splits()
+
+
 def _sql(final: str) -> str:
     """The statement with the CTEs it needs, in dependency order."""
     needed: list[str] = []
@@ -609,17 +704,6 @@ def _sql(final: str) -> str:
     return "with " + ",\n".join(f"{n} as ({CTE[n].strip()}\n)" for n in needed) + "\n" + final.strip()
 
 
-def _names(columns: str) -> list[str]:
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(columns):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            parts.append(columns[start:i].strip())
-            start = i + 1
-    parts.append(columns[start:].strip())
-    return [p.split(" as ")[-1].strip() for p in parts]
-
-
 def _compact_sql() -> str:
     kinds = []
     for name in _names(_feature_columns()):

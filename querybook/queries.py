@@ -8,15 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.config import DEFAULTS, TYPES, CovisitSpec
+from sessionlens.config import COVISIT, DEFAULTS, TYPES, CovisitSpec
 from sessionlens.functions import lists as L
 from sessionlens.functions import vectors as V
 from sessionlens.functions.columns import round6, stable_hash
 from sessionlens.operators import candidates as G
 from sessionlens.operators import features as X
 from sessionlens.operators import metrics as M
-from sessionlens.operators import models
+from sessionlens.operators import increments, models
 from sessionlens.operators import sampling as S
+from sessionlens.operators.boosting import Boost, Boosted
 from sessionlens.operators.covisit import covisit, session_tail
 from sessionlens.operators.distance import session_item_distance
 from sessionlens.operators.neighbours import item_knn, item_knn_cells, item_knn_lsh
@@ -28,7 +29,7 @@ from sessionlens.plans import generators as P
 from sessionlens.plans import ranking as R
 from sessionlens.sources import tables
 from sessionlens.sources.sinks import stage_path, staged, write_score_chunks
-from sessionlens.sources.testbed import BASKET_WINDOW_MS, Testbed
+from sessionlens.sources.testbed import BASKET_WINDOW_MS, LABEL_DAYS, Testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -118,6 +119,18 @@ def covisit_clicks_baskets(t: Testbed) -> DataFrame:
     return covisit(t.baskets(), spec=BASKET_SPEC)
 
 
+@query
+def covisit_by_increments(t: Testbed) -> DataFrame:
+    """The clicks matrix kept up over the log: its first days at once, the last six one by one."""
+    log = t.events().where(~F.col("day").between(*LABEL_DAYS)).select("session", "aid", "ts", "type", "day")
+    log, spec, path = staged(log), COVISIT["clicks"], stage_path(t.spark)
+    ends = log.agg(F.max("day"), F.floor(F.min("ts") / 1000), F.floor(F.max("ts") / 1000)).first()
+    for day in range(ends[0] - 6, ends[0] + 1):
+        own = F.col("day") <= day if day == ends[0] - 6 else F.col("day") == day
+        increments.add_day(path, day, log.where(own), spec)
+    return increments.covisit_kept(t.spark, path, spec, (ends[1], ends[2]))
+
+
 # ---- candidates ----------------------------------------------------------------------------
 
 
@@ -598,14 +611,16 @@ def features_with_session_emb(t: Testbed) -> DataFrame:
 
 
 def _ranker_tables(t: Testbed) -> dict[str, DataFrame]:
-    """Training rows of each objective: sampled keys, then features and distance scores for those only."""
+    """Training rows of each objective: sampled keys, then features and distance scores for those only.
+
+    What two objectives share is worked out once.
+    """
     stats, sources = FT.Stats(t.test()), FT.together(_sources(t))
     candidates = staged(FT.candidate_keys(stats, sources))
-    out = {}
-    for type_ in TYPES:
-        keys = staged(S.training_keys(candidates, t.labels(), type_))
-        out[type_] = staged(_with_scores(FT.candidate_features(stats, sources, keys), t))
-    return out
+    keys = {type_: staged(S.training_keys(candidates, t.labels(), type_)) for type_ in TYPES}
+    wanted = staged(reduce(DataFrame.unionByName, [k.select("session", "aid") for k in keys.values()]).distinct())
+    features = staged(_with_scores(FT.candidate_features(stats, sources, wanted), t))
+    return {type_: staged(features.join(k.select("session", "aid"), ["session", "aid"], "left_semi")) for type_, k in keys.items()}
 
 
 @query
@@ -614,17 +629,30 @@ def ranker_rows(t: Testbed) -> DataFrame:
     return S.folds(rows)
 
 
+def _candidate_order(training: dict[str, DataFrame], labels: DataFrame) -> DataFrame:
+    """The training rows scored by their place in the co-visitation list of the objective, which a model has to beat."""
+    parts = []
+    for type_, rows in training.items():
+        rows = R.labelled(rows, labels, type_).withColumn("score", -F.col(f"covisit_{type_}_candidate_num"))
+        parts.append(rows.select("session", "aid", F.lit(type_).alias("type"), "gt", "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _against_order(scored: DataFrame, training: dict[str, DataFrame], labels: DataFrame) -> DataFrame:
+    """Held-out rows with the NDCG of the candidate order, and whether that of the scores is above it, by type."""
+    order = R.held_out_ndcg(_candidate_order(training, labels)).withColumnRenamed("ndcg", "order_ndcg")
+    mine = R.held_out_ndcg(scored).withColumnRenamed("ndcg", "_mine")
+    both = order.join(mine, "type").select("type", "order_ndcg", (F.col("_mine") > F.col("order_ndcg")).alias("above"))
+    rows = scored.select("session", "aid", "type", F.col("fold").cast("long").alias("fold"), F.col("gt").cast("long").alias("gt"), _finite("score"))
+    return rows.join(F.broadcast(both), "type")  # three rows
+
+
 def _held_out(t: Testbed, make: Callable[[], object]) -> DataFrame:
     """Out-of-fold results of all five folds of all objectives."""
     training = _ranker_tables(t)
     fitted = R.fit_types(training, t.labels(), make, R.feature_names(training["clicks"]))
-    parts = []
-    for type_, pairs in fitted.items():
-        for model, scored in pairs:
-            rounds = getattr(model, "best_round", 1)
-            parts.append(scored.withColumn("type", F.lit(type_)).withColumn("stopped", F.lit(1 <= rounds <= GBT_ROUNDS)))
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.select("session", "aid", "type", "fold", F.col("gt").cast("long").alias("gt"), _finite("score"), "stopped")
+    parts = [scored.withColumn("type", F.lit(type_)) for type_, pairs in fitted.items() for _, scored in pairs]
+    return _against_order(staged(reduce(DataFrame.unionByName, parts)), training, t.labels())
 
 
 @query
@@ -647,11 +675,66 @@ def rank_ndcg(t: Testbed) -> DataFrame:
     return _held_out(t, lambda: models.PairwiseRanker(ndcg=DEFAULTS.submit_k))
 
 
+def _boosted(t: Testbed, training: dict[str, DataFrame], settings: Boost = Boost()) -> tuple[Boosted, DataFrame]:
+    return R.boosted(training, t.labels(), R.feature_names(training["clicks"]), settings)
+
+
+@query
+def rank_lambda(t: Testbed) -> DataFrame:
+    """The list-wise ranker, held out."""
+    training = _ranker_tables(t)
+    return _against_order(_boosted(t, training)[1], training, t.labels())
+
+
+@query
+def lambda_root_split(t: Testbed) -> DataFrame:
+    """The first split of each model: feature, bin and gain, and the training rows on both sides."""
+    training = _ranker_tables(t)
+    fitted, _ = _boosted(t, training, Boost(rounds=1, depth=1))
+    rows = [(type_, fold, fitted.names[f], cut, gain, left, right) for (type_, fold), (f, cut, gain, left, right) in fitted.first_splits.items()]
+    return t.spark.createDataFrame(rows, "type string, fold long, feature string, bin long, gain double, rows_left long, rows_right long")
+
+
+@query
+def boosting_curve(t: Testbed) -> DataFrame:
+    """Of each model's curve of NDCG by round: the best round is the first highest, and the rounds end where patience does."""
+    settings = Boost()
+    fitted, _ = _boosted(t, _ranker_tables(t), settings)
+    curve = fitted.curve(t.spark)
+    highest = F.max(F.struct("ndcg", (-F.col("round")).alias("back")))["back"]
+    best = F.max(F.when(F.col("best"), F.col("round")))
+    models_ = curve.groupBy("type", F.col("fold").cast("long").alias("fold")).agg((best == -highest).alias("best_is_highest"), F.max("round").alias("rounds"), best.alias("best"), (F.count_if(F.col("best")) == 1).alias("one_best"))
+    stop = F.col("rounds") == F.least(F.lit(settings.rounds), F.col("best") + settings.patience)
+    return models_.select("type", "fold", "best_is_highest", "one_best", stop.alias("stops"))
+
+
+def _recalls(recalls: DataFrame, training: dict[str, DataFrame], labels: DataFrame) -> DataFrame:
+    """Recall of the candidate order by type and fold, and whether the model's is not below it over all folds."""
+    order = _candidate_order(training, labels)
+    folds_ = [S.folds(rows).select("session", "fold").distinct().withColumn("type", F.lit(type_)) for type_, rows in training.items()]
+    order = staged(order.join(reduce(DataFrame.unionByName, folds_), ["session", "type"]))
+    base = R.out_of_fold_recalls(order, labels, TYPES).select("type", "fold", F.col("recall").alias("order_recall"), F.col("hits").alias("order_hits"))
+    above = F.col("fold").isNotNull() | (F.col("hits") >= F.col("order_hits"))
+    return recalls.join(base.withColumnRenamed("fold", "_fold").withColumnRenamed("type", "_type"), (recalls["type"] == F.col("_type")) & recalls["fold"].eqNullSafe(F.col("_fold"))).select("type", F.col("fold").cast("long").alias("fold"), "gt_count", "order_recall", above.alias("above"))
+
+
 @query
 def cv_recall(t: Testbed) -> DataFrame:
     training = _ranker_tables(t)
     _, recalls = R.cross_validate(training, t.labels(), models.PairwiseRanker, R.feature_names(training["clicks"]))
-    return recalls.select("type", "fold", "gt_count", F.col("hits").between(0, F.col("gt_count")).alias("ok"))
+    return _recalls(recalls, training, t.labels())
+
+
+@query
+def cv_recall_lambda(t: Testbed) -> DataFrame:
+    training = _ranker_tables(t)
+    _, scored = _boosted(t, training)
+    return _recalls(R.out_of_fold_recalls(scored, t.labels(), TYPES), training, t.labels())
+
+
+def _well_formed(lists: DataFrame) -> DataFrame:
+    aids = F.split("labels", " ")
+    return lists.select("session_type", F.size(aids).cast("long").alias("n"), (F.size(F.array_distinct(aids)) == F.size(aids)).alias("distinct"))
 
 
 @query
@@ -661,6 +744,12 @@ def submission_of_models(t: Testbed) -> DataFrame:
     names = R.feature_names(training["clicks"])
     fitted = R.fit_types(training, t.labels(), models.PairwiseRanker, names)
     every = staged(_with_scores(candidate_features(t), t))
-    lists = R.predict(every, {type_: [m for m, _ in pairs] for type_, pairs in fitted.items()}, names)
-    aids = F.split("labels", " ")
-    return lists.select("session_type", F.size(aids).cast("long").alias("n"), (F.size(F.array_distinct(aids)) == F.size(aids)).alias("distinct"))
+    return _well_formed(R.predict(every, {type_: [m for m, _ in pairs] for type_, pairs in fitted.items()}, names))
+
+
+@query
+def submission_of_lambda(t: Testbed) -> DataFrame:
+    """The same by the list-wise rankers, in one pass over the features."""
+    training = _ranker_tables(t)
+    fitted, _ = _boosted(t, training)
+    return _well_formed(R.predict(staged(_with_scores(candidate_features(t), t)), fitted, fitted.names))

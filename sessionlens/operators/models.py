@@ -171,6 +171,10 @@ class PairwiseRanker:
             self.model = self.learner.copy({self.learner.weightCol: "weight"}).fit(self.pairs(placed, self.ndcg))
         return self
 
+    def weights(self) -> list[float]:
+        """The score of a row is the sum of its features times these."""
+        return self.model.coefficients.toArray().tolist()
+
     def score(self, rows: DataFrame) -> DataFrame:
         scored = self.model.transform(rows)
         return scored.withColumn("score", vector_to_array("rawPrediction")[1]).drop(

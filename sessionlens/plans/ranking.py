@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from sessionlens.config import DEFAULTS
 from sessionlens.functions.columns import round6
+from sessionlens.functions.vectors import matrix
 from sessionlens.operators import metrics as M
 from sessionlens.operators import sampling as S
+from sessionlens.operators.boosting import Boost, Boosted, fit_boosted
 from sessionlens.operators.models import vectorised
 from sessionlens.operators.submission import fold_ensemble, submission, top_items
 from sessionlens.sources.sinks import staged
@@ -81,6 +86,31 @@ def cross_validate(
     return models, reduce(DataFrame.unionByName, recalls)
 
 
+def labelled(rows: DataFrame, labels: DataFrame, type_: str) -> DataFrame:
+    """Rows with gt = 1.0 where they are a label of the objective, else 0.0."""
+    hits = labels.filter(F.col("type") == type_).select(*KEYS, F.lit(1.0).alias("gt"))
+    return rows.join(hits, list(KEYS), "left").withColumn("gt", F.coalesce("gt", F.lit(0.0)))
+
+
+def boosted(training: dict[str, DataFrame], labels: DataFrame, names: Sequence[str], settings: Boost = Boost()) -> tuple[Boosted, DataFrame]:
+    """Boosted models of all types and folds, grown together, and their scores of held-out rows."""
+    rows = {type_: staged(S.folds(labelled(df, labels, type_))) for type_, df in training.items()}
+    fitted, lists = fit_boosted(rows, names, settings, DEFAULTS.folds)
+    return fitted, staged(fitted.held_out(lists))
+
+
+def out_of_fold_recalls(scored: DataFrame, labels: DataFrame, types: Sequence[str]) -> DataFrame:
+    """``out_of_fold_recall`` of each type of scored rows (session, aid, type, fold, score)."""
+    parts = [out_of_fold_recall([scored.filter(F.col("type") == t)], labels, t) for t in types]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def held_out_ndcg(scored: DataFrame, k: int = DEFAULTS.submit_k) -> DataFrame:
+    """(type, ndcg) of rows (session, aid, type, gt, score) over the sessions that have positives."""
+    truth = scored.filter(F.col("gt") == 1).select("session", "type", "aid")
+    return M.ndcg_at_k(top_items(scored, k).select("session", "type", "aid", "rank"), truth, k).select("type", "ndcg")
+
+
 def fit_types(
     training: dict[str, DataFrame],
     labels: DataFrame,
@@ -91,27 +121,41 @@ def fit_types(
     """(model, scored held-out rows) of every fold of every type; types are worked on side by side."""
 
     def one(type_: str) -> list[tuple[object, DataFrame]]:
-        hits = labels.filter(F.col("type") == type_).select(*KEYS, F.lit(1.0).alias("gt"))
-        labeled = training[type_].join(hits, list(KEYS), "left").withColumn("gt", F.coalesce("gt", F.lit(0.0)))
-        return fit_folds(prepared(labeled, names), make, single=single)
+        return fit_folds(prepared(labelled(training[type_], labels, type_), names), make, single=single)
 
     return dict(zip(training, _side_by_side(labels, one, list(training))))
 
 
-def fold_scores(features: DataFrame, models: dict[str, list], names: Sequence[str]) -> DataFrame:
-    """Scores of every fold model on all rows (session, aid, type, fold, score)."""
+def fold_scores(features: DataFrame, models: dict[str, list] | Boosted, names: Sequence[str]) -> DataFrame:
+    """Scores of every fold model on all rows (session, aid, type, fold, score), in one pass over the features.
+
+    Linear models are rows of one matrix that a batch is multiplied with; boosted ones walk their trees on
+    one binned batch. Other models are scored one by one.
+    """
+    if isinstance(models, Boosted):
+        return models.fold_scores(features)
     rows = vectorised(features, names, KEYS)
-    scored = [
-        model.score(rows).select(*KEYS, F.lit(type_).alias("type"), F.lit(i).alias("fold"), "score")
-        for type_, fitted in models.items()
-        for i, model in enumerate(fitted)
-    ]
+    every = [(type_, i, model) for type_, fitted in models.items() for i, model in enumerate(fitted)]
+    if all(hasattr(model, "weights") for _, _, model in every):
+        weights = np.array([model.weights() for _, _, model in every])
+        wide = rows.select(*KEYS, vector_to_array("features").alias("x"))
+        scores = wide.mapInArrow(_linear_kernel(weights), "session long, aid long, scores array<double>")
+        names_ = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(i).alias("fold")) for t, i, _ in every])
+        return scores.select(*KEYS, F.inline(F.zip_with(names_, "scores", lambda m, s: F.struct(m["type"].alias("type"), m["fold"].alias("fold"), s.alias("score")))))
+    scored = [model.score(rows).select(*KEYS, F.lit(t).alias("type"), F.lit(i).alias("fold"), "score") for t, i, model in every]
     return reduce(DataFrame.unionByName, scored)
 
 
-def predict(features: DataFrame, models: dict[str, list], names: Sequence[str]) -> DataFrame:
-    """Final lists: fold mean, best 20 per session and type, as submission rows."""
-    return submission(fold_ensemble(fold_scores(features, models, names)))
+def _linear_kernel(weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = matrix(batch.column("x")) @ weights.T if batch.num_rows else np.zeros((0, len(weights)))
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(weights))
+            yield pa.RecordBatch.from_arrays([batch.column("session"), batch.column("aid"), pa.ListArray.from_arrays(ends, pa.array(scores.ravel()))], ["session", "aid", "scores"])
 
+    return run
 
 
+def predict(features: DataFrame, models: dict[str, list] | Boosted, names: Sequence[str]) -> DataFrame:
+    """Final lists: fold mean, best 20 per session and type, as submission rows."""
+    return submission(fold_ensemble(fold_scores(features, models, names)))
