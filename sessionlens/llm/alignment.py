@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL = f"{TOKENIZERS}/byte_bpe_50k.json"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 FREQUENT = 1 << 19  # pairs of ids sent to the tasks, 13 bytes each
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 _TERMS = 1 << 21  # terms of a product at a time
 
 
@@ -152,7 +153,7 @@ class Pieces:
     then texts of Latin-1 characters are cut there, and words that come again are looked up.
     """
 
-    KEPT, LONGEST = 1 << 18, 64  # words, and characters of one
+    KEPT = 1 << 17  # words, and those of one batch
 
     def __init__(self, data: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -172,20 +173,20 @@ class Pieces:
         self.words: dict[str, list[int]] | None = {} if apart and not any("▁" in p.lstrip("▁") for p in pieces) else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self._by_words(t) if self.words is not None and _latin(t) else self.model.encode(t) for t in texts]
-
-    def _by_words(self, text: str) -> list[int]:
-        out, words = [], self.words
-        for word in re.findall(" +[^ ]*", " " + text):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.model.encode(word[1:]) if len(word) > 1 else [self.model.piece_to_id("▁")]
-                if len(word) <= self.LONGEST:
-                    if len(words) >= self.KEPT:
-                        words.clear()
-                    words[word] = ids
-            out += ids
-        return out
+        cut = [re.findall(" +[^ ]*", " " + t) if self.words is not None and _latin(t) else None for t in texts]
+        self._look_up([c for c in cut if c is not None])
+        return [self.model.encode(t) if c is None else list(chain.from_iterable(map(self.words.__getitem__, c))) for t, c in zip(texts, cut)]
+
+    def _look_up(self, cut: list[list[str]]) -> None:
+        """Have the ids of all these words; what was kept before goes when it is too much."""
+        new = list(set().union(*cut).difference(self.words)) if cut else []
+        if len(self.words) + len(new) > self.KEPT:
+            self.words = {}
+            new = list(set().union(*cut))
+        asked = [w for w in new if len(w) > 1]
+        self.words.update(zip(asked, self.model.encode([w[1:] for w in asked], num_threads=1) if asked else ()))
+        if len(asked) < len(new):
+            self.words[" "] = [self.model.piece_to_id("▁")]
 
 
 @lru_cache(maxsize=2)
