@@ -50,6 +50,24 @@ def top_n_by(
     )
 
 
+HOT_KEYS = 1000
+LANES = 64
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], count: str, spread: Column) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row for each value of ``keys``, which says how many rows have it.
+
+    A value of 1/HOT_KEYS of all rows or more, of which there are HOT_KEYS at most, is dealt over LANES keys by
+    ``spread``, and its row of the table is repeated for each. ``table`` should be staged: it is read three times.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * HOT_KEYS >= total
+    hot = F.broadcast(table.where(often).select(*keys, F.lit(LANES).alias("_lanes")))  # HOT_KEYS rows at most
+    dealt = rows.join(hot, list(keys), "left").withColumn("_lane", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_lanes")), F.lit(0)))
+    lanes = F.explode(F.sequence(F.lit(0).cast("long"), F.when(often, F.lit(LANES - 1)).otherwise(0).cast("long")))
+    return dealt.drop("_lanes").join(table.withColumn("_lane", lanes).drop(count), [*keys, "_lane"]).drop("_lane")
+
+
 def competition_ranks(
     df: DataFrame, ids: Sequence[str], measures: Sequence[str], within: Sequence[str] = ()
 ) -> DataFrame:
@@ -66,9 +84,10 @@ def competition_ranks(
     ranks = (
         tall.groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(*keys, "value", (F.lit(1) + F.coalesce(F.sum("n").over(above), F.lit(0))).alias("rank"))
+        .select(*keys, "value", "n", (F.lit(1) + F.coalesce(F.sum("n").over(above), F.lit(0))).alias("rank"))
     )
-    return tall.join(ranks, [*keys, "value"]).select(*ids, *keys, "rank")
+    spread = F.struct(*[F.col(c) for c in ids])
+    return salted_join(tall, staged(ranks), [*keys, "value"], "n", spread).select(*ids, *keys, "rank")
 
 
 SLOT_BITS = 20
