@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sessionlens.llm.common import components, groups, keyed, list_array, number_lists, same_document, shingle_hashes, slices, text_key, unpacked, word_hashes
+from sessionlens.llm.common import components, groups, hot_join, keyed, list_array, number_lists, same_document, shingle_hashes, slices, text_key, unpacked, word_hashes
 from sessionlens.sources.sinks import drop_staged, staged
 
 NUM, DEN = 3, 4  # the similarity, as a fraction
@@ -411,12 +411,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         drop_staged(roots)
         roots = components(links)
 
-    ids = rows.groupBy("cid").agg(F.min("doc_id").alias("own"))
-    labels = ids.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    lowest = labels.groupBy("root").agg(F.min("own").alias("lowest"))
-    labels = labels.join(lowest, "root").select("cid", "root", "lowest")
+    full = rows.where("cid is not null")
+    ids = full.groupBy("cid").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows"))
+    labels = staged(ids.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    lowest = staged(labels.groupBy("root").agg(F.min("own").alias("lowest"), F.count("*").alias("members")))
+    labels = staged(hot_join(labels, lowest, "root", "members").select("cid", "root", "lowest", "rows"))
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("lowest"))
-    joined = rows.join(labels, "cid", "left")
+    joined = hot_join(full, labels, "cid", "rows").unionByName(rows.where("cid is null"), allowMissingColumns=True)
     return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), F.col("root").alias("group_id"), component.alias("component_id"))
 
 

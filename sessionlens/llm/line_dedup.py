@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sessionlens.llm.common import keyed, same_document, text_key, unpacked, word_count
+from sessionlens.operators.ranking import salted_join
 from sessionlens.sources.sinks import drop_staged, staged
 
 MIN_WORDS = 50
@@ -52,9 +53,9 @@ def _ranks(rows: DataFrame, by: list[str], parts: int) -> DataFrame:
 
     Only the distinct values are sorted, in ranges; the increasing row id of a sorted table is the rank.
     """
-    again = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    again = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
     ranked = staged(again.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
-    return staged(rows.join(ranked, by).select(*DOC, "seq", "rank").coalesce(parts))
+    return staged(salted_join(rows, ranked, by, "n", F.struct("key", "seq")).select(*DOC, "seq", "rank").coalesce(parts))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -64,9 +65,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Copies in one document count, also if they overlap. The first copy is the one with the smallest id (null
     last), then text hash, then line.
     """
-    lines = line_sequences(docs, text, doc_id).distinct()  # repeated rows are one document
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    lines = lines.join(often, ["h1", "h2"])
+    every = staged(line_sequences(docs, text, doc_id).distinct())  # repeated rows are one document
+    often = staged(every.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
+    lines = salted_join(every, often, ["h1", "h2"], "n", F.struct("key", "seq"))
     # Stretches of lines that all occur again; those with too few words hold no run.
     stretch = F.col("seq") - F.row_number().over(Window.partitionBy(*DOC).orderBy("seq"))
     lines = lines.withColumn("part", stretch)
@@ -77,6 +78,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     lines = lines.withColumn("ahead", F.when(F.max("end").over(ahead) >= F.col("begin") + min_words, F.count("*").over(ahead)))
     lines = lines.withColumn("behind", F.when(F.min("begin").over(behind) <= F.col("end") - min_words, F.count("*").over(behind)))
     lines = staged(lines.select(*DOC, "pos", "seq", "part", "ahead", "behind", "h1", "h2"))
+    drop_staged(every, often)
 
     rows, deepest = lines.agg(F.count("*"), F.max(F.greatest("ahead", "behind"))).first()
     parts, deepest = 1 + rows // FILE_ROWS, deepest or 0
