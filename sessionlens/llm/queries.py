@@ -78,6 +78,18 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not drawn in the mix: sizes and targets."""
+    return op9_mix(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not learned in the quality scores: which documents are held out, and that a score is a share and its cut is right."""
+    scored = op2_quality(spark, sf_dir)
+    fits = F.col("score").between(0, 1) & (F.col("predicted") == (F.col("score") >= 0.7).cast("int"))
+    return scored.select("doc_id", "held_out", fits.alias("fits"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(_table(spark, sf_dir, "documents"), report=True)
     return kept.select("doc_id", "text", "lines_cut", "words_cut")
@@ -120,6 +132,8 @@ QUERIES = {
     "op11_alignment": op11_alignment,
     "op12_simhash": op12_simhash,
     "op13_merkle": op13_merkle,
+    "mix_targets": mix_targets,
+    "quality_folds": quality_folds,
 }
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -218,4 +232,14 @@ select d.doc_id, coalesce(k.text, d.text) as text, coalesce(c.lines_cut, 0)::big
   coalesce(k.words_cut, 0)::bigint as words_cut
 from documents d left join kept k on d.doc_id = k.doc_id left join counts c on d.doc_id = c.doc_id""",
     "op13_merkle": _MERKLE,
+    "quality_folds": f"select doc_id, {_CRC} % 4 = 2 as held_out, true as fits from documents",
+    "mix_targets": f"""
+with d as (select doc_id, source, len(coalesce({_WORDS}, [])) as size from documents),
+s as (select source, sum(size)::bigint as size, [5, 2, 1][(row_number() over (order by source nulls last) - 1)::int % 3 + 1]::double as w from d group by source),
+r as (select *, sum(size) over () as total, coalesce(sum(3 * size) over before, 0) as capped, sum(w) over rest as open
+  from s window before as (order by 3 * size / w, source rows between unbounded preceding and 1 preceding),
+  rest as (order by 3 * size / w, source rows between current row and unbounded following)),
+level as (select min((total - capped) / open) filter (where 3 * size / w >= (total - capped) / open) as share from r)
+select d.doc_id, d.size, s.size as source_size, round(least(3 * s.size, s.w * l.share), 3) as target
+from d join s on d.source is not distinct from s.source, level l""",
 }

@@ -84,8 +84,17 @@ def _ipv6(mention: str) -> bool:
     return _DIGIT.search(mention) is not None or "::" not in mention
 
 
+def _card(mention: str) -> bool:
+    """Whether the check digit fits; 13 digits only as the first issuer of such cards has them (others are article and order numbers)."""
+    digits = re.sub(r"\D", "", mention)
+    return _luhn(digits) == 0 and (len(digits) > 13 or digits[0] == "4")
+
+
 def _phone(mention: str) -> bool:
-    n = len(re.sub(r"\D", "", mention))
+    digits = re.sub(r"\D", "", mention)
+    n = len(digits)
+    if mention.isdecimal() and n > 11 or n == 13 and digits[:3] in ("978", "979"):  # running, order and book numbers
+        return False
     laid_out = mention[0] in "+(" or n >= 9 or re.fullmatch(r"\d{3}[-. ]\d{4}", mention)
     return bool(laid_out) and 7 <= n <= 15 and not _DATE.fullmatch(mention.strip())
 
@@ -107,10 +116,10 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
         if any(s in text for s in signs) if signs else digits:
             for m in pattern.finditer(text):
                 value = m[1]
-                if kind == "phone" and not _phone(value) or kind == "ipv6" and not _ipv6(value) or kind == "weak secret" and not (_DIGIT.search(value) or len(value) >= 16):
+                if kind == "card" and not _card(value) or kind == "phone" and not _phone(value) or kind == "ipv6" and not _ipv6(value) or kind == "weak secret" and not (_DIGIT.search(value) or len(value) >= 16):
                     continue
                 add(*m.span(1), kind.removeprefix("weak "))
-    families: set[str] = set()
+    families, given = set(), {}
     if any(t in text for t in TITLES):
         for m in _NAME.finditer(text):
             parts = [p for p in re.finditer(r"\S+", m[2])]
@@ -125,9 +134,13 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
                 add(m.start(2) + p.start(), m.start(2) + stop, kind)
                 if kind == "family":
                     families.add(p[0].rstrip("'’-"))
+                elif kind != "given_u":
+                    given.setdefault(p[0].rstrip("'’-").lower(), kind)
     for name in families:  # later mentions without a title
         for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
             add(*m.span(), "family")
+    if given:  # a title that says nothing of the gender: as elsewhere in the text
+        found = [(a, b, given.get(text[a:b].lower(), k) if k == "given_u" else k) for a, b, k in found]
     return sorted(found)
 
 

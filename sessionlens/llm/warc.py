@@ -201,13 +201,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id): revisits with what they refer to."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id): revisits with what they refer to; an error where that is missing."""
     slim = records.select("page_id", "record_type", "record_id", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("digest"), "payload_digest")
     slim = slim.withColumn("digest", F.when((F.col("record_type") == "revisit") | (F.col("digest") == F.col("payload_digest")), F.col("digest")).otherwise(F.raise_error(F.lit("a payload differs from its digest"))))
     slim = staged(slim)
     first = slim.where("record_type = 'response'")
     named = first.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id"), "payload_bytes", F.col("digest").alias("payload_digest"))
-    revisits = slim.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(named, "refers_to")
+    revisits = slim.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(named, "refers_to", "left")
+    there = F.when(F.col("first_id").isNotNull() | F.col("payload_digest").isNotNull(), F.col("record_type"))
+    revisits = revisits.withColumn("record_type", there.otherwise(F.raise_error(F.lit("a revisit refers to a record that is not in the archives"))))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     plain = first.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     return plain.union(revisits.select(*columns, F.col("first_id").alias("refers_to")))

@@ -96,3 +96,17 @@ def test_edge_cases(spark):
     assert next(r["text"] for r in got if r["doc_id"] == 5).endswith(" " + mail)
     assert {r["row"] for r in got} == {1} and {r["again"] for r in got} == {"x"}
     assert rewritten(spark, [], "doc_id long, text string") == []
+
+
+def test_numbers_that_are_no_cards_stay(spark):
+    for text in ("order 1234567890123", "ISBN 978-3-16-148410-0", "9783161484100", "a run of 5731080387325255 here"):
+        assert S.mentions(text) == []
+    assert [k for *_, k in S.mentions("card 4111 1111 1111 1111 and 4222222222222")] == ["card", "card"]
+    assert [k for *_, k in S.mentions("call +49 30 901820 or 030 9018200")] == ["phone", "phone"]
+
+
+def test_one_person_has_one_given_name_whatever_the_title(spark):
+    text = "Dr Maria Lopez spoke. Mrs Maria Lopez left."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    words = S.replace_personal_data(docs, b"key").first()["text"].split()
+    assert words[1] == words[5] != "Maria" and words[2] == words[6] != "Lopez"
