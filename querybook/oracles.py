@@ -570,10 +570,11 @@ select type, round(avg(dcg / ideal), 6) as ndcg from (
     list_sum(list_transform(range(1, least(sum(gt), 20)::bigint + 1), lambda i: 1 / log2(i + 1))) as ideal
   from in_order group by 1, 2 having sum(gt) > 0) group by 1
 """
-for _name in ("rank_gbt_reg", "rank_gbt_clf", "rank_pairwise", "rank_ndcg", "rank_lambda"):
-    FINAL[_name] = """
+FINAL["rank_lambda"] = """
 select l.session, l.aid, l.type, l.fold, l.gt, true as finite, o.ndcg as order_ndcg, true as above
 from labels_all l join order_ndcg o on o.type = l.type"""
+for _name in ("rank_gbt_reg", "rank_gbt_clf", "rank_pairwise", "rank_ndcg"):
+    FINAL[_name] = "select session, aid, type, fold, gt, true as finite, true as learned from labels_all"
 FINAL["boosting_curve"] = """
 select type, fold, true as best_is_highest, true as one_best, true as stops
 from (select unnest(['clicks', 'carts', 'orders']) as type) cross join (select unnest(range(5)) as fold)"""
@@ -678,9 +679,9 @@ window upto as (partition by type, model, feature order by bin), whole_ as (part
 """
     listed = "[" + ", ".join(f"'{n}'" for n in names) + "]"
     return f"""
-select type, model as fold, {listed}[feature + 1] as feature, bin::bigint as bin, gain, n::bigint as rows_left, (nn - n)::bigint as rows_right
+select type, model as fold, {listed}[feature + 1] as feature, bin::bigint as bin, round(gain, 6) as gain, n::bigint as rows_left, (nn - n)::bigint as rows_right
 from (select *, row_number() over (partition by type, model order by gain desc, feature, bin) as place
-  from (select *, round({part('g', 'h')} + {part('gg - g', 'hh - h')} - {part('gg', 'hh')}, 6) as gain from split_sums
+  from (select *, {part('g', 'h')} + {part('gg - g', 'hh - h')} - {part('gg', 'hh')} as gain from split_sums
     where n >= 20 and nn - n >= 20) where gain > 1e-6) where place = 1"""
 
 

@@ -610,7 +610,31 @@ def features_with_session_emb(t: Testbed) -> DataFrame:
     return rows.select("session", "aid", finite)
 
 
+_KEPT: dict[tuple, dict[str, DataFrame]] = {}
+_FITTED: dict[tuple, Boosted] = {}
+RANKERS = Boost(patience=20)
+
+
+def _there(table: DataFrame) -> bool:
+    """Whether a staged table still is where it was written."""
+    spark, files = table.sparkSession, table.inputFiles()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0]) if files else None
+    return target is None or target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _kept(t: Testbed, name: str, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Staged tables that several queries of a session read; made again if they were dropped."""
+    key = (t.spark.sparkContext.applicationId, t.root, name)
+    if key not in _KEPT or not all(_there(x) for x in _KEPT[key].values()):
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def _ranker_tables(t: Testbed) -> dict[str, DataFrame]:
+    return _kept(t, "training", lambda: _made_ranker_tables(t))
+
+
+def _made_ranker_tables(t: Testbed) -> dict[str, DataFrame]:
     """Training rows of each objective: sampled keys, then features and distance scores for those only.
 
     What two objectives share is worked out once.
@@ -647,12 +671,18 @@ def _against_order(scored: DataFrame, training: dict[str, DataFrame], labels: Da
     return rows.join(F.broadcast(both), "type")  # three rows
 
 
+LEAST_AUC = 0.6  # of held-out rows; one half is no better than chance
+
+
 def _held_out(t: Testbed, make: Callable[[], object]) -> DataFrame:
-    """Out-of-fold results of all five folds of all objectives."""
+    """Out-of-fold results of all five folds of all objectives, and whether the AUC of each objective says the model learned something."""
     training = _ranker_tables(t)
     fitted = R.fit_types(training, t.labels(), make, R.feature_names(training["clicks"]))
     parts = [scored.withColumn("type", F.lit(type_)) for type_, pairs in fitted.items() for _, scored in pairs]
-    return _against_order(staged(reduce(DataFrame.unionByName, parts)), training, t.labels())
+    rows = staged(reduce(DataFrame.unionByName, parts))
+    learned = M.auc(rows, "type").select("type", (F.col("auc") > LEAST_AUC).alias("learned"))
+    rows = rows.select("session", "aid", "type", "fold", F.col("gt").cast("long").alias("gt"), _finite("score"))
+    return rows.join(F.broadcast(learned), "type")  # three rows
 
 
 @query
@@ -675,22 +705,30 @@ def rank_ndcg(t: Testbed) -> DataFrame:
     return _held_out(t, lambda: models.PairwiseRanker(ndcg=DEFAULTS.submit_k))
 
 
-def _boosted(t: Testbed, training: dict[str, DataFrame], settings: Boost = Boost()) -> tuple[Boosted, DataFrame]:
-    return R.boosted(training, t.labels(), R.feature_names(training["clicks"]), settings)
+def _boosted(t: Testbed) -> tuple[Boosted, DataFrame]:
+    """The list-wise rankers and their held-out scores, fitted once for the queries that look at them."""
+    key = (t.spark.sparkContext.applicationId, t.root)
+
+    def make() -> dict[str, DataFrame]:
+        training = _ranker_tables(t)
+        _FITTED[key], scored = R.boosted(training, t.labels(), R.feature_names(training["clicks"]), RANKERS)
+        return {"scored": scored}
+
+    scored = _kept(t, "held out", make)["scored"]
+    return _FITTED[key], scored
 
 
 @query
 def rank_lambda(t: Testbed) -> DataFrame:
     """The list-wise ranker, held out."""
-    training = _ranker_tables(t)
-    return _against_order(_boosted(t, training)[1], training, t.labels())
+    return _against_order(_boosted(t)[1], _ranker_tables(t), t.labels())
 
 
 @query
 def lambda_root_split(t: Testbed) -> DataFrame:
     """The first split of each model: feature, bin and gain, and the training rows on both sides."""
     training = _ranker_tables(t)
-    fitted, _ = _boosted(t, training, Boost(rounds=1, depth=1))
+    fitted, _ = R.boosted(training, t.labels(), R.feature_names(training["clicks"]), Boost(rounds=1, depth=1))
     rows = [(type_, fold, fitted.names[f], cut, gain, left, right) for (type_, fold), (f, cut, gain, left, right) in fitted.first_splits.items()]
     return t.spark.createDataFrame(rows, "type string, fold long, feature string, bin long, gain double, rows_left long, rows_right long")
 
@@ -698,9 +736,8 @@ def lambda_root_split(t: Testbed) -> DataFrame:
 @query
 def boosting_curve(t: Testbed) -> DataFrame:
     """Of each model's curve of NDCG by round: the best round is the first highest, and the rounds end where patience does."""
-    settings = Boost()
-    fitted, _ = _boosted(t, _ranker_tables(t), settings)
-    curve = fitted.curve(t.spark)
+    fitted, _ = _boosted(t)
+    settings, curve = fitted.settings, fitted.curve(t.spark)
     highest = F.max(F.struct("ndcg", (-F.col("round")).alias("back")))["back"]
     best = F.max(F.when(F.col("best"), F.col("round")))
     models_ = curve.groupBy("type", F.col("fold").cast("long").alias("fold")).agg((best == -highest).alias("best_is_highest"), F.max("round").alias("rounds"), best.alias("best"), (F.count_if(F.col("best")) == 1).alias("one_best"))
@@ -727,8 +764,7 @@ def cv_recall(t: Testbed) -> DataFrame:
 
 @query
 def cv_recall_lambda(t: Testbed) -> DataFrame:
-    training = _ranker_tables(t)
-    _, scored = _boosted(t, training)
+    training, (_, scored) = _ranker_tables(t), _boosted(t)
     return _recalls(R.out_of_fold_recalls(scored, t.labels(), TYPES), training, t.labels())
 
 
@@ -750,6 +786,5 @@ def submission_of_models(t: Testbed) -> DataFrame:
 @query
 def submission_of_lambda(t: Testbed) -> DataFrame:
     """The same by the list-wise rankers, in one pass over the features."""
-    training = _ranker_tables(t)
-    fitted, _ = _boosted(t, training)
+    fitted, _ = _boosted(t)
     return _well_formed(R.predict(staged(_with_scores(candidate_features(t), t)), fitted, fitted.names))

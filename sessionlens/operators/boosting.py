@@ -2,8 +2,8 @@
 
 Training rows are kept as lists, one row for a session's candidates with their features binned to a byte each, written
 once. A level of a tree is one job: tasks work out the scores and gradients of their lists, add the gradients up by
-(model, node, feature, bin), and one grouped sum brings the cells of all tasks together. Prefix sums over the bins give
-the gain of every split; one row for each node, its best split, comes to the driver. The models of all types and
+(model, node, feature, bin), and one shuffle by (model, node, feature) brings the cells of all tasks together. Prefix sums
+over the bins give the gain of every split; one row for each node, its best split, comes to the driver. The models of all types and
 folds grow in the same jobs, so fifteen models cost as many jobs as one.
 
 Gradients are whole numbers (multiples of 2^-20), so that sums, splits and scores do not depend on the order of addition
@@ -20,7 +20,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionlens.functions.columns import stable_hash
@@ -215,7 +214,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-_CELLS = "model int, node int, feature int, bin int, g long, h long, n long"
+_CELLS = "model int, node int, feature int, g array<long>, h array<long>, n array<long>"
 
 
 @dataclass
@@ -313,33 +312,67 @@ def _level(models: list[Model], pending: dict[Model, list[Tree]], partial: dict[
                         sums[m] = np.zeros((3, size), np.int64)
                     for k, weight in enumerate((g[rows], h[rows], np.ones(len(rows)))):
                         sums[m][k] += np.bincount(cells.ravel(), np.repeat(weight, width), size).astype(np.int64)
-        names = [c.split()[0] for c in _CELLS.split(", ")]
+        names, depth = [c.split()[0] for c in _CELLS.split(", ")], settings.bins + 1
         for m, cells in sums.items():
-            full = np.flatnonzero(cells[2])
-            node, rest = np.divmod(full, len(used[m]) * (settings.bins + 1))
-            feature, bin_ = np.divmod(rest, settings.bins + 1)
-            columns = [np.full(len(full), numbers[m]), np.array(frontier[m])[node], used[m][feature], bin_]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in columns], *[pa.array(c[full]) for c in cells]], names)
-        for m, (total, n) in metric.items():
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32()) for v in (numbers[m], -1, -1, 0)] + [pa.array([v], pa.int64()) for v in (total, 0, n)], names)
+            cells = cells.reshape(3, -1, depth)
+            full = np.flatnonzero(cells[2].any(axis=1))
+            node, feature = np.divmod(full, len(used[m]))
+            columns = [np.full(len(full), numbers[m]), np.array(frontier[m])[node], used[m][feature]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in columns], *[_lists_of(c[full]) for c in cells]], names)
+        for m, total in metric.items():
+            whole = [_lists_of(np.array([[v] + [0] * settings.bins])) for v in (total[0], 0, total[1])]
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (numbers[m], -1, -1)], *whole], names)
 
     return run
 
 
-def best_splits(cells: DataFrame, settings: Boost) -> DataFrame:
-    """Of the cells (model, node, feature, bin, g, h, n): the sums of each node and its best split, if it has one."""
-    keys = ["model", "node", "feature"]
-    cells = cells.repartition(*keys).groupBy(*keys, "bin").agg(*[F.sum(c).alias(c) for c in "ghn"])  # tasks have added up already
-    upto, whole = W.partitionBy(*keys).orderBy("bin"), W.partitionBy(*keys)
-    sums = cells.select(*keys, "bin", *[F.sum(c).over(upto).alias(c) for c in "ghn"], *[F.sum(c).over(whole).alias(c + c) for c in "ghn"])
+def _lists_of(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of whole numbers as a list column."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel().astype(np.int64)))
+
+
+_SPLIT = "model int, node int, feature int, gain double, bin int, g long, h long, n long, gg long, hh long, nn long"
+
 
-    def part(g: str, h: str) -> str:
-        return f"(({g}) / {UNIT}D) * (({g}) / {UNIT}D) / (({h}) / {UNIT}D + {settings.reg!r}D)"
+def _split_kernel(settings: Boost):
+    """Adds the cells of all tasks up, and finds the best cut of each (model, node, feature); gain NaN where none fits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        depth, places, total = settings.bins + 1, {}, np.zeros((3, 0, settings.bins + 1), np.int64)
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("model", "node", "feature")]))
+            at = np.array([places.setdefault(k, len(places)) for k in keys], np.int64)
+            total = np.pad(total, ((0, 0), (0, len(places) - total.shape[1]), (0, 0)))
+            for k, c in enumerate("ghn"):
+                np.add.at(total[k], at, batch.column(c).flatten().to_numpy().reshape(-1, depth))
+        if not places:
+            return
+        g, h, n = np.cumsum(total, axis=2)
+        part = lambda g, h: (g / UNIT) * (g / UNIT) / (h / UNIT + settings.reg)
+        gg, hh, nn = (x[:, -1:] for x in (g, h, n))
+        gain = part(g, h) + part(gg - g, hh - h) - part(gg, hh)
+        fits = (n >= settings.least_rows) & (nn - n >= settings.least_rows) & (gain > 1e-6)
+        best = np.argmax(np.where(fits, gain, -np.inf), axis=1)
+        rows = np.arange(len(best))
+        keys = np.array(list(places), np.int32)
+        columns = [pa.array(keys[:, k]) for k in range(3)]
+        columns += [pa.array(np.where(fits[rows, best], gain[rows, best], np.nan)), pa.array(best.astype(np.int32))]
+        columns += [pa.array(x[rows, best]) for x in (g, h, n)] + [pa.array(x[:, 0]) for x in (gg, hh, nn)]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SPLIT.split(", ")])
 
-    gain = F.expr(f"{part('g', 'h')} + {part('gg - g', 'hh - h')} - {part('gg', 'hh')}")
-    split = F.struct(F.round(gain, 6).alias("gain"), (-F.col("feature")).alias("feature"), (-F.col("bin")).alias("bin"), "g", "h", "n")
-    fits = (F.col("n") >= settings.least_rows) & (F.col("nn") - F.col("n") >= settings.least_rows) & (gain > 1e-6)
-    return sums.groupBy("model", "node").agg(F.max("gg").alias("g"), F.max("hh").alias("h"), F.max("nn").alias("n"), F.max(F.when(fits, split)).alias("split"))
+    return run
+
+
+def best_splits(cells: DataFrame, settings: Boost) -> DataFrame:
+    """Of the cells (model, node, feature, and g, h, n by bin): the sums of each node and its best split, if it has one.
+
+    Equal gains go to the lower feature and bin.
+    """
+    cuts = cells.repartition("model", "node", "feature").mapInArrow(_split_kernel(settings), _SPLIT)
+    split = F.struct("gain", (-F.col("feature")).alias("feature"), (-F.col("bin")).alias("bin"), "g", "h", "n")
+    best = F.max(F.when(~F.isnan("gain"), split)).alias("split")
+    return cuts.groupBy("model", "node").agg(F.max("gg").alias("g"), F.max("hh").alias("h"), F.max("nn").alias("n"), best)
 
 
 def fit_boosted(training: dict[str, DataFrame], names: Sequence[str], settings: Boost = Boost(), folds: int = 5) -> tuple[Boosted, DataFrame]:
@@ -381,7 +414,7 @@ def fit_boosted(training: dict[str, DataFrame], names: Sequence[str], settings:
                     tree.value[child] = _leaf(g, h, settings)
                     below[m].append(child)
                 if i == 0 and m not in out.first_splits:
-                    out.first_splits[m] = (-split["feature"], -split["bin"], split["gain"], split["n"], r["n"] - split["n"])
+                    out.first_splits[m] = (-split["feature"], -split["bin"], round(split["gain"], 6), split["n"], r["n"] - split["n"])
             frontier = {m: sorted(c) for m, c in below.items()}
             if not any(frontier.values()):
                 break
