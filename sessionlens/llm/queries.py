@@ -239,7 +239,7 @@ s as (select source, sum(size)::bigint as size, [5, 2, 1][(row_number() over (or
 r as (select *, sum(size) over () as total, coalesce(sum(3 * size) over before, 0) as capped, sum(w) over rest as open
   from s window before as (order by 3 * size / w, source rows between unbounded preceding and 1 preceding),
   rest as (order by 3 * size / w, source rows between current row and unbounded following)),
-level as (select min((total - capped) / open) filter (where 3 * size / w >= (total - capped) / open) as share from r)
+level as (select max((total - capped) / open) as share from r)
 select d.doc_id, d.size, s.size as source_size, round(least(3 * s.size, s.w * l.share), 3) as target
 from d join s on d.source is not distinct from s.source, level l""",
 }
