@@ -124,5 +124,26 @@ def staging_scope(spark: SparkSession) -> Iterator[None]:
         drop_staged(spark=spark)
 
 
+@contextmanager
+def only_kept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """What is staged inside the scope is deleted at its end, but for the tables put into the list; earlier tables stay."""
+    before, keep = _staged_paths(spark), []
+    try:
+        yield keep
+    finally:
+        files = [df.inputFiles() for df in keep]
+        kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for own in files for f in own}
+        for path in _staged_paths(spark) - before if all(files) else ():  # a table without files can't be told from the others
+            if path.rsplit("/", 1)[1] not in kept:
+                target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _staged_paths(spark: SparkSession) -> set[str]:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {x.getPath().toString() for x in system.listStatus(root)} if system.exists(root) else set()
+
+
 def _stage_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"

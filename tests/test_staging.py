@@ -48,3 +48,15 @@ def test_one_table_is_dropped(spark):
     one, two = sinks.staged(spark.range(3)), sinks.staged(spark.range(4))
     sinks.drop_staged(one)
     assert two.count() == 4
+
+
+def test_scope_that_keeps_its_result(spark):
+    earlier = sinks.staged(spark.range(3))
+    with sinks.only_kept(spark) as keep:
+        between = sinks.staged(spark.range(5))
+        result = sinks.staged(between.selectExpr("id + 1 as id"))
+        keep.append(result)
+    assert result.count() == 5 and earlier.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(between.inputFiles()[0])
+    sinks.drop_staged(result, earlier)
