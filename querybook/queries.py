@@ -15,7 +15,7 @@ from sessionlens.functions.columns import round6, stable_hash
 from sessionlens.operators import candidates as G
 from sessionlens.operators import features as X
 from sessionlens.operators import metrics as M
-from sessionlens.operators import increments, models
+from sessionlens.operators import factors, increments, models
 from sessionlens.operators import sampling as S
 from sessionlens.operators.boosting import Boost, Boosted
 from sessionlens.operators.covisit import covisit, session_tail
@@ -630,6 +630,54 @@ def _kept(t: Testbed, name: str, make: Callable[[], dict[str, DataFrame]]) -> di
     return _KEPT[key]
 
 
+def _near_pairs(t: Testbed) -> DataFrame:
+    """How often items of the log stand near each other, both orders."""
+    pairs = models.window_pairs(t.train())
+    return staged(pairs.union(pairs.select("aid_near", "aid", "n")).groupBy("aid", "aid_near").agg(F.sum("n").alias("n")))
+
+
+@query
+def skip_gram_cells(t: Testbed) -> DataFrame:
+    return factors.shifted_pmi(_near_pairs(t))
+
+
+@query
+def skip_gram_factors(t: Testbed) -> DataFrame:
+    """How much of the matrix 32 factors hold: no less than their share of all, no more than all."""
+    cells = staged(factors.shifted_pmi(_near_pairs(t)))
+    parts = factors.factorised(cells, 32).select(F.posexplode("vector").alias("k", "v")).groupBy("k").agg(F.pow(F.sum(F.col("v") * F.col("v")), F.lit(2)).alias("held"))
+    held = parts.agg(F.sum("held").alias("held")).first()["held"] or 0.0
+    whole = cells.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("aid").alias("items"), F.sum(F.col("pmi") * F.col("pmi")).alias("norm"))
+    share = F.least(F.lit(1.0), F.lit(32.0) / F.col("items"))
+    return whole.select("cells", "items", F.round("norm", 3).alias("norm"), (F.lit(held).between(F.col("norm") * share * 0.999, F.col("norm") * 1.001)).alias("fits"))
+
+
+def _learned(pairs: DataFrame, left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """Of pairs (key, other), the share that scores above the same key with the partner of another pair, against 0.6."""
+    pairs = staged(dense_index(pairs.select(F.struct(key, other).alias("pair")).distinct(), "pair", out="i")).select("i", "pair.*")
+    n = pairs.count()
+    wrong = pairs.select((F.pmod(F.col("i") + n // 2, F.lit(n))).alias("i"), F.col(other).alias("wrong"))
+    rows = pairs.join(wrong, "i").join(left.select(key, F.col("vector").alias("l")), key)
+    for name, out in ((other, "r"), ("wrong", "w")):
+        rows = rows.join(right.select(F.col(right.columns[0]).alias(name), F.col("vector").alias(out)), name)
+    above = V.dot(F.col("l"), F.col("r")) > V.dot(F.col("l"), F.col("w"))
+    return rows.select(above.alias("above")).agg(F.count(F.lit(1)).alias("pairs"), (F.avg(F.col("above").cast("int")) > 0.6).alias("learned"))
+
+
+@query
+def warp_factors(t: Testbed) -> DataFrame:
+    matrix_ = S.interaction_matrix(t.train()).select("session", "aid")
+    sessions, items = factors.warp_vectors(matrix_, epochs=5)
+    return _learned(matrix_, sessions, items, "session", "aid")
+
+
+@query
+def next_item_factors(t: Testbed) -> DataFrame:
+    moves = staged(G.move_counts(t.train()).withColumnRenamed("moves", "n"))
+    vectors, _ = factors.pair_vectors(moves, epochs=5)
+    return _learned(moves, vectors, vectors, "aid", "aid_next")
+
+
 def _ranker_tables(t: Testbed) -> dict[str, DataFrame]:
     return _kept(t, "training", lambda: _made_ranker_tables(t))
 

@@ -11,7 +11,7 @@ from sessionlens.functions.columns import count_when, stable_hash
 from sessionlens.operators.candidates import next_item_pairs
 from sessionlens.operators.ranking import global_index, hash_batches, smallest, top_n_by
 from sessionlens.operators.timeline import with_positions
-from sessionlens.sources.sinks import checkpointed
+from sessionlens.sources.sinks import drop_staged, staged
 
 
 def join_labels(candidates: DataFrame, labels: DataFrame) -> DataFrame:
@@ -135,16 +135,37 @@ def kcore_round(events: DataFrame, min_session: int = 5, min_item: int = 5) -> D
     return events.join(sessions, "session", "left_semi").join(items, "aid", "left_semi")
 
 
-def kcore(events: DataFrame, min_session: int = 5, min_item: int = 5) -> DataFrame:
-    """Passes until nothing more is dropped. Each pass is written out, so lineage stays short."""
-    current = checkpointed(events)
-    size = current.count()
-    while True:
-        current = checkpointed(kcore_round(current, min_session, min_item))
-        left = current.count()
-        if left == size:
-            return current
-        size = left
+def kcore(events: DataFrame, min_session: int = 5, min_item: int = 5, log: list | None = None) -> DataFrame:
+    """Rows of sessions and items that keep enough rows when all others are dropped, and theirs, and so on.
+
+    Peeling: the log is folded into (session, item, n) once. What falls below its minimum is the frontier; its pairs lower the
+    counts of the other side, and only counts that were lowered can make the next frontier. The log itself is read
+    again at the end only. ``log`` gets the pairs that each pass took away. Rows without a session or item are dropped.
+    """
+    events = events.where(F.col("session").isNotNull() & F.col("aid").isNotNull())
+    pairs = staged(events.groupBy("session", "aid").agg(F.count(F.lit(1)).alias("n")))
+    least, sides = {"session": min_session, "aid": min_item}, (("session", "aid"), ("aid", "session"))
+    degree = {k: staged(pairs.groupBy(k).agg(F.sum("n").alias("all"))) for k in least}
+    new = {k: staged(degree[k].where(F.col("all") < least[k]).select(k)) for k in least}
+    gone, lost, made = {k: new[k].limit(0) for k in least}, {k: None for k in least}, [pairs, *degree.values()]
+    while not all(frontier.isEmpty() for frontier in new.values()):
+        taken = {}
+        for k, other in sides:  # pairs of the frontier whose other end is still there, and stays for now
+            cut = pairs.join(new[k], k, "left_semi").join(gone[other], other, "left_anti").join(new[other], other, "left_anti")
+            taken[other] = staged(cut.groupBy(other).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs")))
+        if log is not None:
+            log.append(sum(t.agg(F.sum("pairs")).first()[0] or 0 for t in taken.values()))
+        made += [*taken.values(), *new.values()]
+        for k in least:
+            gone[k] = gone[k].union(new[k])
+            total = taken[k].select(k, "n") if lost[k] is None else lost[k].union(taken[k].select(k, "n")).groupBy(k).agg(F.sum("n").alias("n"))
+            lost[k] = staged(total)
+            made.append(lost[k])
+            touched = lost[k].join(taken[k].select(k), k, "left_semi").join(degree[k], k)
+            new[k] = staged(touched.where(F.col("all") - F.col("n") < least[k]).select(k))
+    removed = {k: staged(gone[k]) for k in least}
+    drop_staged(*made, *new.values())
+    return events.join(removed["session"], "session", "left_anti").join(removed["aid"], "aid", "left_anti").select(events.columns)
 
 
 def ratio_split(events: DataFrame, parts: tuple[int, ...] = (9, 1, 0)) -> DataFrame:

@@ -25,7 +25,7 @@ VARIANTS = {
 # Fits with thresholds that mean something from sf0.01 on (15 labelled sessions here are noise): tools/check.py --sf .../sf0.01.
 QUALITY = {
     "boosting_curve", "cv_recall", "cv_recall_lambda", "rank_gbt_clf", "rank_gbt_reg", "rank_lambda", "rank_ndcg", "rank_pairwise",
-    "submission_of_lambda", "submission_of_models",
+    "next_item_factors", "submission_of_lambda", "submission_of_models", "warp_factors",
 }
 CORPUS = {name for name in ORACLES if name.startswith(("op", "mix_", "quality_")) or name == "pipeline"}  # in tests/llm
 CHECKED = sorted((set(ORACLES) if os.environ.get("ALL_QUERIES") else set(ORACLES) - VARIANTS) - QUALITY - CORPUS)

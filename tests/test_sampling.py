@@ -135,3 +135,15 @@ def test_kcore_needs_several_passes(spark):
         left, passes = spark.createDataFrame(after, events.schema), passes + 1
     assert passes >= 3
     assert sorted(S.kcore(events, 2, 2).collect()) == sorted(left.collect())
+
+
+def test_peeling_touches_what_it_removes(spark):
+    """A chain that falls apart from its end: every pass takes two pairs, whatever else is in the log."""
+    chain = [(s, a, 0, "clicks") for s in range(10) for a in (s, s + 1)]
+    core = [(s, a, 0, "clicks") for s in range(100, 150) for a in range(1000, 1040)]
+    events = spark.createDataFrame(chain + core, "session long, aid long, ts long, type string")
+    log = []
+    kept = S.kcore(events, 2, 2, log)
+    assert sorted((r["session"], r["aid"]) for r in kept.collect()) == sorted((s, a) for s, a, *_ in core)
+    assert sum(log) <= 2 * len(chain) and max(log) <= 4 and kept.columns == events.columns
+    assert S.kcore(events.limit(0), 2, 2).count() == 0
