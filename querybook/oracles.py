@@ -581,9 +581,9 @@ from (select unnest(['clicks', 'carts', 'orders']) as type) cross join (select u
 FINAL["ranker_rows"] = """
 select * from feats join (select session, aid, gt, fold from labels_carts) using (session, aid)
 left join dist_merged using (session, aid)"""
-for _name in ("cv_recall", "cv_recall_lambda"):
-    FINAL[_name] = """
-select type, fold, sum(gt_count)::bigint as gt_count, round(sum(hits)::double / sum(gt_count), 6) as order_recall, true as above
+for _name, _says in (("cv_recall", "ok"), ("cv_recall_lambda", "above")):
+    FINAL[_name] = f"""
+select type, fold, sum(gt_count)::bigint as gt_count, round(sum(hits)::double / sum(gt_count), 6) as order_recall, true as {_says}
 from gt join (select session, type, fold, count(*) filter (where gt = 1 and rank <= 20) as hits from in_order group by all) using (session, type)
 group by grouping sets ((type, fold), (type))"""
 FINAL["submission_of_models"] = """
