@@ -215,7 +215,7 @@ def _warp_step(users: _Block, items: _Block, u: np.ndarray, i: np.ndarray, rng:
         items.move(pj, reg * vj + weight * vu)
 
 
-def warp_vectors(interactions: DataFrame, size: int = 16, epochs: int = 30, blocks: int | None = None, step: float = 0.05, trials: int = 50, seed: int = 42, batch: int = 64, reg: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def warp_vectors(interactions: DataFrame, size: int = 16, epochs: int = 30, blocks: int | None = None, step: float = 0.05, trials: int = 50, seed: int = 42, batch: int = 64, reg: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Session and item vectors from rows (session, aid), so that a session's items score above others: WARP.
 
     A score is the inner product. Vectors have ``size`` numbers and one more: 1 for sessions, the lead of an item for all sessions.

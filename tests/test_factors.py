@@ -81,8 +81,8 @@ def test_warp_finds_held_out_items_as_well_as_implicit_als(spark, log):
                 hits.append(len(own & set(order[:10])) / 10)
         return np.mean(hits)
 
-    first = Z.warp_vectors(train, size=16, epochs=12, step=0.1, blocks=2)
-    again = Z.warp_vectors(train.repartition(5), size=16, epochs=12, step=0.1, blocks=2)
+    first = Z.warp_vectors(train, size=16, epochs=12, step=0.1, blocks=2, reg=0.3)
+    again = Z.warp_vectors(train.repartition(5), size=16, epochs=12, step=0.1, blocks=2, reg=0.3)
     key = lambda t: sorted((r[0], tuple(r[1])) for r in t.collect())
     assert key(first[1]) == key(again[1])  # whatever the partitioning
     als = interaction_factors(train.withColumn("n", F.lit(1)), rank=16, epochs=10, blocks=2)
