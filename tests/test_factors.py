@@ -97,7 +97,7 @@ def test_both_sides_of_a_pair_move_one_table(spark, log):
     moves = Z.staged(Z.move_counts(log).withColumnRenamed("moves", "n"))
     wrong = moves.where("aid != aid_next").select("aid", "aid_next", F.pmod(F.col("aid_next") + 57, F.lit(GROUPS * PER)).alias("aid_wrong"))
     vectors, curve = Z.pair_vectors(moves, 16, epochs=6, blocks=4, valid=wrong)
-    assert curve[-1] > 0.8 and curve[-1] > curve[0] and len(curve) == 6
+    assert curve[-1] > 0.65 and curve[-1] > curve[0] + 0.05 and len(curve) == 6  # a third of the distinct moves are random steps
     assert purity(vectors) > 0.6
     assert vectors.count() == moves.select(F.explode(F.array("aid", "aid_next"))).distinct().count()
 
