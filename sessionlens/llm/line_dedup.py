@@ -102,13 +102,13 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = _same(named, ranks.select(*DOC, "level", F.col("seq").alias("tail"), F.col("rank").alias("last")), ["tail", "level"])
     named = staged(named.select(*DOC, "seq", "depth", "first", "last").coalesce(parts))
     interval = ["depth", "first", "last"]
-    heads = named.groupBy(*interval).agg(F.min(_order("seq")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    later = named.join(heads.drop("n"), interval).where(_order("seq") != F.col("head"))
+    heads = staged(named.groupBy(*interval).agg(F.min(_order("seq")).alias("head"), F.count("*").alias("n")).where("n > 1"))
+    later = salted_join(named, heads, interval, "n", F.struct("key", "seq")).where(_order("seq") != F.col("head"))
     cut = later.select(*DOC, F.explode(F.expr("sequence(seq, seq + cast(depth as int) - 1)")).alias("seq")).distinct()
     cut = _same(cut, lines.select(*DOC, "seq", "pos"), ["seq"])
     cut = cut.withColumn("run", F.col("seq") - F.row_number().over(Window.partitionBy(*DOC).orderBy("seq")))
     out = staged(cut.groupBy(*DOC, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("stop"), F.count("*").alias("lines")).drop("run").coalesce(parts))
-    drop_staged(lines, named, *levels)
+    drop_staged(lines, named, heads, *levels)
     return out
 
 
