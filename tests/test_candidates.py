@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sessionlens.config import COVISIT, COVISIT_TYPE_WEIGHT
 from sessionlens.operators import candidates as G
+from sessionlens.operators import ranking as K
 from sessionlens.operators.covisit import covisit, item_pairs
+from sessionlens.sources.sinks import staged
 from sessionlens.sources.tables import explode_candidates
 
 from conftest import EVENT
@@ -130,3 +132,24 @@ def test_rank_cut(spark):
 def test_move_counts_equal_the_pairs(events):
     pairs = G.next_item_pairs(events).groupBy("aid", "aid_next").count()
     assert sorted(map(tuple, G.move_counts(events).collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_pairs_and_votes_are_made_in_parts_of_bounded_size(spark, monkeypatch):
+    """What is made of many rows does not land in the few partitions that its small input would fill."""
+    rows = [(s, a, 1_700_000_000_000 + a, "clicks") for s in range(300) for a in range(8)]
+    log = spark.createDataFrame(rows, EVENT)
+    near = spark.createDataFrame([(a, (a + j) % 8, float(j), j) for a in range(8) for j in range(1, 6)], "aid_x long, aid_y long, wgt double, n int")
+    monkeypatch.setattr(K, "DEALT_ROWS", 100)
+    assert item_pairs(log, COVISIT["clicks"]).rdd.getNumPartitions() == 24
+    assert G.suggest_clicks(log, near).rdd.getNumPartitions() == 24
+    assert G.suggest_buys(log, near, near).rdd.getNumPartitions() == 24
+    assert G.sequence_candidates(log, staged(G.transitions(log))).rdd.getNumPartitions() == 24
+
+
+def test_long_histories_vote_alike(spark, events, monkeypatch):
+    near, bought = covisit(events, "carts_orders"), covisit(events, "buy2buy")
+    lists = lambda: (G.suggest_clicks(events, near), G.suggest_buys(events, near, bought))
+    whole = [sorted(map(tuple, x.collect())) for x in lists()]
+    monkeypatch.setattr(G, "LONG", 14)
+    assert events.groupBy("session").agg(F.count_distinct("aid").alias("n")).agg((F.max("n") > 14) & (F.min("n") <= 14)).first()[0]
+    assert [sorted(map(tuple, x.collect())) for x in lists()] == whole

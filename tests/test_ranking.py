@@ -111,3 +111,13 @@ def _positions_equal_a_window(events):
     cols = sorted(want.columns)
     key = repr
     assert sorted(got.select(cols).collect(), key=key) == sorted(want.select(cols).collect(), key=key)
+
+
+def test_rows_are_dealt_by_their_number_not_their_bytes(spark, monkeypatch):
+    """A partition that adaptive execution would merge stays as it was dealt; a key stays in one of them."""
+    monkeypatch.setattr(K, "DEALT_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 200).alias("session"), "id")
+    placed = K.dealt(rows, "session").withColumn("part", F.spark_partition_id())
+    assert placed.rdd.getNumPartitions() == 10
+    assert placed.count() == 1000 and placed.select("session", "part").distinct().count() == 200
+    assert K.dealt(rows.limit(0), "session").count() == 0
