@@ -114,3 +114,16 @@ def test_linear_models_in_one_pass(spark, rows):
     wide = R.vectorised(plain, ["x", "noise"], R.KEYS)
     for i, model in enumerate(models["carts"]):
         assert all(abs(got[r["session"], r["aid"], i] - r["score"]) < 1e-9 for r in model.score(wide).collect())
+
+
+def test_cells_a_feature_at_a_time():
+    """The sums of a piece equal a loop over its rows, also of a share of rows and features."""
+    rng = np.random.default_rng(3)
+    x, node, g, h = rng.integers(0, 17, (60, 5)).astype(np.uint8), rng.integers(0, 3, 60), rng.integers(-9, 9, 60), rng.integers(0, 9, 60)
+    for rows, used in ((np.arange(60), np.arange(5)), (np.arange(0, 60, 3), np.array([1, 4]))):
+        sums, want = np.zeros((3, 3, len(used), 17), np.int64), np.zeros((3, 3, len(used), 17), np.int64)
+        B._add_cells(sums, node[rows], np.ascontiguousarray(x.T), rows, used, g[rows].astype(float), h[rows].astype(float))
+        for r in rows:
+            for i, f in enumerate(used):
+                want[:, node[r], i, x[r, f]] += (g[r], h[r], 1)
+        assert (sums == want).all()
