@@ -117,3 +117,41 @@ def test_registered_boosted_rankers_have_the_settings_of_the_class(spark, monkey
     monkeypatch.setattr(Q, "_held_out", lambda t, make: make())
     mine, whole = Q.QUERIES[name](spark, "").learner, Z.BoostedRanker().learner
     assert (mine.getMaxIter(), mine.getMaxDepth()) == (whole.getMaxIter(), whole.getMaxDepth()) == (50, 6)
+
+
+def test_folds_share_their_pairs_and_large_ones_are_fitted_one_by_one(spark, monkeypatch):
+    """Pairs of a fold's training rows are those of all rows without the fold; fits beyond FIT_ROWS don't overlap."""
+    import threading
+
+    from sessionlens.operators.models import PairwiseRanker
+    from sessionlens.plans import ranking as R
+
+    data = [(s, a, float(a == s % 4), s % 5, float((s * 7 + a * 3) % 11), float(a)) for s in range(20) for a in range(6)]
+    rows = spark.createDataFrame(data, "session long, aid long, gt double, fold long, x double, y double")
+    rows = R.vectorised(rows, ["x", "y"], [*R.KEYS, "gt", "fold"]).cache()
+    flat = lambda df: sorted((r["label"], *r["features"], r["weight"]) for r in df.collect())
+    shared = PairwiseRanker.shared(rows).cache()
+    for fold in range(5):
+        assert flat(shared.where(F.col("fold") != fold)) == flat(PairwiseRanker.pairs(rows.where(F.col("fold") != fold)))
+
+    made, running, most, lock = [], [0], [0], threading.Lock()
+
+    class Watched(PairwiseRanker):
+        @classmethod
+        def shared(cls, rows):
+            made.append(1)
+            return super().shared(rows)
+
+        def fit(self, *args, **more):
+            with lock:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            try:
+                return super().fit(*args, **more)
+            finally:
+                with lock:
+                    running[0] -= 1
+
+    monkeypatch.setattr(R, "FIT_ROWS", 100)
+    assert len(R.fit_folds(rows, lambda: Watched(epochs=2))) == 5
+    assert len(made) == 1 and most[0] == 1
