@@ -51,3 +51,36 @@ def test_recall_of_the_nearest_cells(spark):
     assert probes < len(cells.centres)
     found = {(r[0], r[2]) for r in rows(N.item_knn_cells(vectors, k=20, recall=0.92))}
     assert len(exact & found) / len(exact) >= 0.9
+
+
+@pytest.mark.parametrize("search", [N.item_knn, N.item_knn_cells])
+def test_what_is_shuffled_grows_as_the_table(spark, monkeypatch, search):
+    """Noise, where no cell can be left out: rows that leave the kernels are bounded for each query, whatever the number of blocks."""
+    offered, top_n = [], N.top_n
+
+    def counted(rows_, *args, **more):
+        offered.append(rows_.count())
+        return top_n(rows_, *args, **more)
+
+    monkeypatch.setattr(N, "top_n", counted)
+    points = clusters(900, 900, 1.0)
+    search(frame(spark, points), k=5, block=16)
+    assert max(offered) <= 900 * 5 * (N.LANES + 1)
+
+
+def test_lots_and_lanes():
+    assert N.grid_size(100, 100) == (1, 1) and N.grid_size(0, 0) == (1, 1)
+    assert N.grid_size(10_000, 10_000) == N.grid_size(1_000_000, 1_000_000) == (N.LOTS, N.LANES)
+    lots, _ = N.grid_size(100_000_000, 100_000_000)
+    assert 100_000_000 / lots <= N.LOT_MOST
+
+
+def test_queries_of_one_cell_in_several_lots(spark):
+    """More copies of a vector than a lot holds, all in one cell."""
+    points = clusters(1500, 30, 0.4)
+    points[200:1100] = points[5]
+    vectors = frame(spark, points)
+    cells = N.Cells(vectors)
+    asked, lots, _ = cells.lots_of(cells.rows)
+    assert asked.groupBy("lot").count().agg({"count": "max"}).first()[0] < 1500 / lots * 3
+    assert rows(N.item_knn_cells(vectors, k=6)) == rows(N.item_knn(vectors, k=6, block=100))
