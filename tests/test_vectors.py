@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlens.functions import vectors as V
+from sessionlens.operators import distance
+from sessionlens.operators.blocks import block_keys
 from sessionlens.operators.distance import session_item_distance
 from sessionlens.operators.neighbours import item_knn, item_knn_lsh
 
@@ -64,3 +66,23 @@ def test_history_distance(spark, vectors, table, events, event_rows, block):
 def test_dot(vectors, table):
     rows = vectors.select("aid", V.dot(F.col("vector"), F.col("vector")).alias("d")).collect()
     assert np.allclose([r["d"] for r in sorted(rows)], (table.astype(np.float64) ** 2).sum(axis=1))
+
+
+@pytest.mark.parametrize("part_rows", [11, 200_000])
+def test_history_distance_in_parts(spark, vectors, table, monkeypatch, part_rows):
+    """Keys travel and vectors only once to a part; a session over many blocks, an item without a vector and one with two."""
+    monkeypatch.setattr(distance, "PART_ROWS", part_rows)
+    sessions = {1: list(range(50)), 2: [3, 3, 999], 3: [998], 4: [2]}
+    events = spark.createDataFrame([(s, a) for s, own in sessions.items() for a in own], "session long, aid long")
+    candidates = spark.createDataFrame([(s, a) for s in (1, 2, 3, 5) for a in (*range(30), 999)] + [(None, 3), (2, None)], "session long, aid long")
+    twice = vectors.union(vectors.where("aid = 3"))
+    keys = block_keys(candidates.where("aid is not null"), events.withColumn("n", F.lit(1).cast("long")).distinct(), "session", "aid", 8)
+    assert "vector" not in keys.columns
+    assert {(r["session"], r["lb"], r["rb"]) for r in keys.where("session = 1").collect()} == {(1, i, j) for i in range(4) for j in range(7)}
+    got = {(r["session"], r["aid"]): r for r in session_item_distance(candidates, events, twice, block=8).collect()}
+    assert set(got) == {(s, a) for s in (1, 2) for a in range(30)}
+    d = distances(table)
+    for (s, a), r in got.items():
+        own = [d[a, h] for h in sessions[s] if h < 60 for _ in range(2 if h == 3 else 1)] * (2 if a == 3 else 1)
+        assert r["score_length"] == len(own)
+        assert np.allclose([r["score_mean"], r["score_max"], r["score_min"]], [np.mean(own), max(own), min(own)], atol=2e-6)
