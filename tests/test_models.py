@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.operators import models as Z
 from sessionlens.operators.sampling import folds, interaction_matrix
+from sessionlens.operators.timeline import with_positions
 from sessionlens.plans import ranking as R
 from sessionlens.sources import sinks
 
@@ -89,6 +90,34 @@ def test_window_pairs_of_a_long_session(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("shift", [0, 1 << 40])
+def test_window_pairs_of_frequent_and_other_items(spark, shift):
+    """An item with a third of the rows, one without an id, copies of an event and items too rare for a list of frequent ones."""
+    rng = random.Random(5)
+    rows = [(s, rng.choice([7, None, 100 + rng.randrange(5000)]), rng.randrange(50), "clicks") for s in range(40) for _ in range(60 + s)]
+    rows = [(s, None if a is None else a - shift, ts, t) for s, a, ts, t in rows] + rows[:30]
+    events = spark.createDataFrame(rows, "session long, aid long, ts long, type string")
+    got = {(r["aid"], r["aid_near"]): r["n"] for r in Z.window_pairs(events, 9).collect()}
+    placed, want = {}, {}
+    for r in with_positions(events).select("session", "pos", "aid").collect():
+        placed.setdefault(r["session"], {})[r["pos"]] = r["aid"]
+    for own in placed.values():
+        for p, a in own.items():
+            for q in range(p + 1, p + 10):
+                if q in own:
+                    want[a, own[q]] = want.get((a, own[q]), 0) + 1
+    assert got == want
+
+
+def test_window_pairs_travel_as_lists(spark, monkeypatch):
+    """Rows that meet in the last shuffle are those of the log, not its pairs, and go to as many parts as the pairs ask for."""
+    monkeypatch.setattr(Z, "PART_PAIRS", 5000)
+    rows = [(s, s * 50 + i, i, "clicks") for s in range(60) for i in range(50)]
+    pairs = Z.window_pairs(spark.createDataFrame(rows, "session long, aid long, ts long, type string"))
+    assert pairs.count() == 60 * sum(min(25, 49 - i) for i in range(50))
+    assert pairs.rdd.getNumPartitions() >= 15
+
+
 def test_pairs_that_matter_for_the_first_places_weigh_more(training):
     rows = Z.vectorised(training, ["x"], ["session", "aid", "gt"])
     ranker = Z.PairwiseRanker(ndcg=20).fit(rows)
