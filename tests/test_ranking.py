@@ -121,3 +121,13 @@ def test_rows_are_dealt_by_their_number_not_their_bytes(spark, monkeypatch):
     assert placed.rdd.getNumPartitions() == 10
     assert placed.count() == 1000 and placed.select("session", "part").distinct().count() == 200
     assert K.dealt(rows.limit(0), "session").count() == 0
+
+
+def test_rows_of_a_varying_bound_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(K, "RANKED_ROWS", 100)
+    rows = [(s, a, s % 4) for s in range(50) for a in range(20)] + [(99, a, 30) for a in range(500)]
+    df = spark.createDataFrame(rows, "session long, aid long, quota long")
+    best = K.top_n_by(df, ["session"], [F.asc("aid")], F.col("quota"), F.col("aid"), rows=50)
+    assert best.rdd.getNumPartitions() >= 15
+    want = sorted([(s, a) for s in range(50) for a in range(s % 4)] + [(99, a) for a in range(30)])
+    assert sorted((r["session"], r["aid"]) for r in best.collect()) == want
