@@ -146,6 +146,27 @@ def test_pairs_and_votes_are_made_in_parts_of_bounded_size(spark, monkeypatch):
     assert G.sequence_candidates(log, staged(G.transitions(log))).rdd.getNumPartitions() == 24
 
 
+def test_successors_are_added_up_in_parts_whatever_the_join(spark, monkeypatch):
+    """A model that does not go to all executors meets the tails by item; its sums are still made where the session is."""
+    rows = [(s, a * (s % 3 + 1) % 8, 1_700_000_000_000 + a, "clicks") for s in range(300) for a in range(8)]
+    log = spark.createDataFrame(rows, EVENT)
+    model = staged(G.transitions(log))
+    want = sorted(map(tuple, G.sequence_candidates(log, model, k=3).collect()))
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        monkeypatch.setattr(K, "DEALT_ROWS", 100)
+        parts = G.sequence_tail(log).count() // 100
+        for small in (G.SMALL_MODEL, 1):
+            monkeypatch.setattr(G, "SMALL_MODEL", small)
+            got = G.sequence_candidates(log, model, k=3)
+            assert sorted(map(tuple, got.collect())) == want
+            assert got.rdd.getNumPartitions() == parts
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+
+
 def test_long_histories_vote_alike(spark, events, monkeypatch):
     near, bought = covisit(events, "carts_orders"), covisit(events, "buy2buy")
     lists = lambda: (G.suggest_clicks(events, near), G.suggest_buys(events, near, bought))
