@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,56 @@ def test_long_sessions_are_several_lists(spark, rows, monkeypatch):
     assert lists.count() > 50 and fitted.held_out(lists).count() == 600
 
 
+def test_parts_of_a_session_learn_as_one_list(spark, rows, monkeypatch):
+    """Trees, curves and scores are the same whether sessions are stored whole or in parts, and whatever pieces they are worked on in."""
+    trees = lambda fitted: [(m, [(t.feature.tolist(), t.cut.tolist(), t.value.tolist()) for t in own]) for m, own in fitted.trees.items()]
+    held = lambda fitted, lists: sorted(map(tuple, fitted.held_out(lists).collect()))
+    one = B.fit_boosted({"carts": rows}, NAMES, small(rounds=3))
+    monkeypatch.setattr(B, "LIST_ROWS", 5)
+    monkeypatch.setattr(B, "PIECE", 30)
+    two = B.fit_boosted({"carts": rows}, NAMES, small(rounds=3))
+    assert two[1].where("parts > 1").count() > 50
+    assert trees(one[0]) == trees(two[0]) and one[0].curves == two[0].curves and held(*one) == held(*two)
+
+
+def _stored(sessions):
+    """A batch of stored parts (session, aids, labels), one feature, in fold 0 of one."""
+    schema = pa.schema([("type", pa.string()), ("session", pa.int64()), ("fold", pa.int32()), ("aid", pa.list_(pa.int64())), ("gt", pa.list_(pa.int32())), ("x", pa.list_(pa.binary())), ("base", pa.list_(pa.float64()))])
+    return pa.RecordBatch.from_pylist([{"type": "carts", "session": s, "fold": 0, "aid": a, "gt": y, "x": [b"\x00"] * len(a), "base": [0.0] * len(a)} for s, a, y in sessions], schema)
+
+
+def test_pieces_hold_whole_sessions(monkeypatch):
+    monkeypatch.setattr(B, "PIECE", 4)
+    parts = [(s, [3 * p, 3 * p + 1, 3 * p + 2], [0, 0, 1]) for s in range(6) for p in range(1 + s % 3)]
+    for size in (1, 2, 5, 20):
+        pieces = list(B._pieces(iter([_stored(parts[i : i + size]) for i in range(0, len(parts), size)])))
+        seen = [s for piece in pieces for s in sorted(set(piece.column("session").to_pylist()))]
+        assert seen == list(range(6)) and sum(piece.num_rows for piece in pieces) == len(parts) and len(pieces) > 2
+
+
+@pytest.mark.parametrize("unit", [7, 1 << 20])
+def test_pairs_of_a_parted_session_equal_brute_force(monkeypatch, unit):
+    """One of a pair stands among the first k of its whole session; the two may lie in different parts."""
+    monkeypatch.setattr(B, "UNIT", unit)
+    rng = np.random.default_rng(5)
+    aids, y, score = rng.permutation(40), (rng.random(40) < 0.3).astype(int), rng.normal(size=40)
+    parts = [(8, aids[:15], y[:15]), (8, aids[15:30], y[15:30]), (9, aids[30:], y[30:])]
+    own = B._Lists(_stored([(s, a.tolist(), b.tolist()) for s, a, b in parts]), 1)
+    g, h = own._lambdas(score, np.full(40, True), 5)
+    want = np.zeros((2, 40))
+    for rows in (np.arange(30), np.arange(30, 40)):
+        place = {r: i for i, r in enumerate(sorted(rows, key=lambda r: (-score[r], aids[r])))}
+        ideal = sum(1 / np.log2(i + 2) for i in range(min(5, y[rows].sum())))
+        for p in rows[y[rows] > 0]:
+            for q in rows[y[rows] == 0]:
+                if min(place[p], place[q]) < 5:
+                    change = abs(1 / np.log2(place[p] + 2) - 1 / np.log2(place[q] + 2)) / ideal
+                    rho = 1 / (1 + np.exp(score[p] - score[q]))
+                    want[:, p] += (-rho * change, rho * (1 - rho) * change)
+                    want[:, q] += (rho * change, rho * (1 - rho) * change)
+    assert np.allclose(g, want[0]) and np.allclose(h, want[1])
+
+
 def test_linear_models_in_one_pass(spark, rows):
     from sessionlens.operators.models import PairwiseRanker
 
