@@ -104,10 +104,12 @@ def test_long_sessions_are_several_lists(spark, rows, monkeypatch):
     assert lists.count() > 50 and fitted.held_out(lists).count() == 600
 
 
-def test_parts_of_a_session_learn_as_one_list(spark, rows, monkeypatch):
+@pytest.mark.parametrize("cells", [0, 1 << 26])
+def test_parts_of_a_session_learn_as_one_list(spark, rows, monkeypatch, cells):
     """Trees, curves and scores are the same whether sessions are stored whole or in parts, and whatever pieces they are worked on in."""
     trees = lambda fitted: [(m, [(t.feature.tolist(), t.cut.tolist(), t.value.tolist()) for t in own]) for m, own in fitted.trees.items()]
     held = lambda fitted, lists: sorted(map(tuple, fitted.held_out(lists).collect()))
+    monkeypatch.setattr(B, "TASK_CELLS", cells)
     one = B.fit_boosted({"carts": rows}, NAMES, small(rounds=3))
     monkeypatch.setattr(B, "LIST_ROWS", 5)
     monkeypatch.setattr(B, "PIECE", 30)
@@ -116,6 +118,26 @@ def test_parts_of_a_session_learn_as_one_list(spark, rows, monkeypatch):
     assert trees(one[0]) == trees(two[0]) and one[0].curves == two[0].curves and held(*one) == held(*two)
 
 
+@pytest.mark.parametrize("more", [{}, {"objective": "log", "columns": 0.5}, {"rounds": 12, "patience": 2, "depth": 3}])
+def test_models_grown_in_a_task_equal_those_grown_by_level(spark, rows, monkeypatch, more):
+    """Of two types, one in a task for each model and one by levels, or both: trees, curves and first splits are the same."""
+    copies = {"same": F.col("x"), "still": F.lit(3.0)}
+    training = {"carts": rows.withColumns(copies), "orders": rows.where("aid < 9").withColumns(copies)}
+    names, found = ["same", *NAMES, "still"], []
+    for cells in (1 << 26, 500 * len(names), 0):
+        monkeypatch.setattr(B, "TASK_CELLS", cells)
+        fitted, _ = B.fit_boosted(training, names, small(**{"rounds": 3, **more}))
+        trees = {m: [(t.feature.tolist(), t.cut.tolist(), t.value.tolist()) for t in own] for m, own in fitted.trees.items()}
+        found.append((trees, fitted.curves, fitted.first_splits))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 10
+
+
+def test_small_types_take_no_job_for_a_level(spark, rows, monkeypatch):
+    monkeypatch.setattr(B, "best_splits", None)
+    fitted, _ = B.fit_boosted({"carts": rows}, NAMES, small(rounds=40, patience=40))
+    assert all(len(own) == 40 for own in fitted.trees.values())
+
+
 def _stored(sessions):
     """A batch of stored parts (session, aids, labels), one feature, in fold 0 of one."""
     schema = pa.schema([("type", pa.string()), ("session", pa.int64()), ("fold", pa.int32()), ("aid", pa.list_(pa.int64())), ("gt", pa.list_(pa.int32())), ("x", pa.list_(pa.binary())), ("base", pa.list_(pa.float64()))])
