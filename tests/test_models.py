@@ -184,3 +184,26 @@ def test_folds_share_their_pairs_and_large_ones_are_fitted_one_by_one(spark, mon
     monkeypatch.setattr(R, "FIT_ROWS", 100)
     assert len(R.fit_folds(rows, lambda: Watched(epochs=2))) == 5
     assert len(made) == 1 and most[0] == 1
+
+
+def test_weights_of_the_second_fit_are_made_for_all_folds_at_once(spark, monkeypatch):
+    """Weights and pairs of a fold's second fit are those that its own placed rows give; duplicates of a row stay apart; pairs are made once."""
+    rng = random.Random(3)
+    data = [(s, a, float(a % 5 == s % 5), rng.gauss(a % 5 == s % 5, 1.0), rng.random()) for s in range(30) for a in range(12)]
+    rows = R.prepared(spark.createDataFrame([*data, data[1]], "session long, aid long, gt double, x double, y double"), ["x", "y"])
+    made, pairs = [], Z.PairwiseRanker.pairs
+    monkeypatch.setattr(Z.PairwiseRanker, "pairs", staticmethod(lambda *args, **more: made.append(1) or pairs(*args, **more)))
+    fitted = R.fit_folds(rows, lambda: Z.PairwiseRanker(epochs=4, ndcg=3))
+    assert len(made) == 1 and len(fitted) == 5 and sum(scored.count() for _, scored in fitted) == 361
+
+    shared = Z.PairwiseRanker.shared(rows).cache()
+    first = [Z.PairwiseRanker(epochs=4, ndcg=3).fit_pairs(shared.where(F.col("fold") != f)) for f in range(5)]
+    weighed = first[0].reweighed(shared, rows, first).cache()
+    flat = lambda df: sorted((r["label"], *r["features"], round(r["weight"], 9)) for r in df.collect())
+    for f in range(5):
+        order = W.partitionBy("session").orderBy(F.desc("score"), F.asc("aid"))
+        placed = first[f].score(rows.where(F.col("fold") != f)).withColumn("place", F.row_number().over(order)).drop("score")
+        want = pairs(placed, 3)
+        assert flat(weighed.where(F.col("fold") != f).withColumn("weight", F.col(f"weight{f}"))) == flat(want)
+        whole = Z.PairwiseRanker(epochs=4, ndcg=3).fit(rows.where(F.col("fold") != f))
+        assert [round(w, 6) for w in whole.weights()] == [round(w, 6) for w in fitted[f][0].weights()]
